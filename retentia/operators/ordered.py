@@ -1,0 +1,181 @@
+"""Exact ordered scans (row numbers, running totals, next-row values) at scale.
+
+Spark's ``Window.partitionBy(g).orderBy(k)`` puts a whole group into one task,
+and a window with no ``partitionBy`` puts the whole table into one task. The
+renewal operators need ordered scans over groups that are huge by nature (two
+label classes, a dozen feature columns, two drift sides), so they use this
+instead:
+
+1. ``repartitionByRange`` on (group, order) keys: every partition holds one
+   contiguous key range, so a hot group is spread over many partitions;
+2. one pass per partition (numpy inside an Arrow-batched ``mapInPandas``)
+   computes partition-local row numbers, running sums and next-row values;
+3. per-(partition, group) totals are aggregated on the JVM from the same
+   checkpointed partitions; a running sum over those totals gives each group's
+   offset in each partition. Only groups that continue from an earlier
+   partition have a non-zero offset: at most one per partition, so the offset
+   table is bounded by the partition count and is safe to broadcast;
+4. the first row of each partition (again at most one row per partition)
+   supplies the next-row value of the previous partition's last row.
+
+The ranged table is checkpointed (reliably, in the shared checkpoint folder)
+before it is read twice: range bounds come from sampling, and the partition
+ids must not change between the readers or after a lost executor.
+The result is exact and needs one range shuffle plus two tiny broadcasts.
+Order keys must make rows unique when next-row values or row numbers need to
+be deterministic; group keys must not be null.
+"""
+
+from __future__ import annotations
+
+from typing import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut_lineage
+
+PID = "_scan_pid"
+LAST = "_scan_has_next"
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _sum_type(dt: T.DataType) -> T.DataType:
+    return T.LongType() if isinstance(dt, _INTEGRAL) else T.DoubleType()
+
+
+def ordered_scan(
+    df: DataFrame,
+    order_by: Sequence[str],
+    group_by: Sequence[str] = (),
+    sums: Sequence[str] = (),
+    leads: Sequence[str] = (),
+    rank: str = "row_number",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Add ``rank`` (1-based), ``cum_<s>`` (inclusive running sums) and
+    ``next_<l>`` (the value of ``l`` on the next row of the same group, null
+    on a group's last row) in (group_by, order_by) order."""
+    spark = df.sparkSession
+    group_by, order_by, sums, leads = list(group_by), list(order_by), list(sums), list(leads)
+    keys = group_by + order_by
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(PID, F.spark_partition_id())
+    # Range bounds come from sampling, so two executions of the exchange may
+    # cut partitions differently. Store the partition id as data and cut the
+    # lineage: every branch below (and any retry after a lost executor) then
+    # sees the same partitions and the same order.
+    ranged = cut_lineage(ranged)
+
+    cum_names = [f"cum_{s}" for s in sums]
+    next_names = [f"next_{c}" for c in leads]
+    out_schema = T.StructType(
+        list(ranged.schema.fields)
+        + [T.StructField(rank, T.LongType(), False)]
+        + [T.StructField(c, _sum_type(types[s]), True) for c, s in zip(cum_names, sums)]
+        + [T.StructField(c, types[l], True) for c, l in zip(next_names, leads)]
+        + [T.StructField(LAST, T.BooleanType(), False)]
+    )
+    integral = [isinstance(types[s], _INTEGRAL) for s in sums]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry_key: tuple | None = None
+        carry_rank = 0
+        carry_sums = [0] * len(sums)
+        pending: pd.DataFrame | None = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.reset_index(drop=True)
+            m = len(pdf)
+            if group_by:
+                gcols = pdf[group_by]
+                changed = (gcols != gcols.shift()).any(axis=1).to_numpy()
+                first_key = tuple(gcols.iloc[0])
+                last_key = tuple(gcols.iloc[-1])
+            else:
+                changed = np.zeros(m, dtype=bool)
+                changed[0] = True
+                first_key = last_key = ()
+            changed[0] = True
+            gid = np.cumsum(changed)
+            continues = carry_key is not None and first_key == carry_key
+            in_first = gid == 1
+            grouped = pd.Series(gid)
+
+            r = grouped.groupby(gid).cumcount().to_numpy() + 1
+            if continues:
+                r = r + np.where(in_first, carry_rank, 0)
+            pdf[rank] = r.astype(np.int64)
+            for i, (s, c) in enumerate(zip(sums, cum_names)):
+                vals = pdf[s].fillna(0)
+                cs = vals.groupby(gid).cumsum().to_numpy()
+                if continues:
+                    cs = cs + np.where(in_first, carry_sums[i], 0)
+                pdf[c] = cs.astype(np.int64) if integral[i] else cs.astype(np.float64)
+            has_next = np.append(gid[1:] == gid[:-1], False)
+            for l, c in zip(leads, next_names):
+                pdf[c] = pdf[l].groupby(gid).shift(-1)
+            pdf[LAST] = has_next
+
+            if pending is not None:
+                if group_by:
+                    prev_key = tuple(pending[group_by].iloc[-1])
+                else:
+                    prev_key = ()
+                if prev_key == first_key:
+                    j = len(pending) - 1
+                    for l, c in zip(leads, next_names):
+                        pending.at[j, c] = pdf.at[0, l]
+                    pending.at[j, LAST] = True
+                yield pending
+            pending = pdf
+            carry_key = last_key
+            carry_rank = int(r[-1])
+            carry_sums = [pdf[c].iloc[-1] for c in cum_names]
+        if pending is not None:
+            yield pending
+
+    scanned = ranged.mapInPandas(scan, out_schema)
+
+    # Offsets of groups that continue from earlier partitions (<= 1 per partition).
+    totals = ranged.groupBy(PID, *group_by).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.coalesce(F.col(s), F.lit(0))).alias(f"_t_{s}") for s in sums]
+    )
+    before = Window.partitionBy(*group_by).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        PID,
+        *group_by,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_rank"),
+        *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
+    ).where(F.col("_off_rank") > 0)
+    result = scanned.join(F.broadcast(offsets), [PID, *group_by], "left")
+    fixes = {rank: F.col(rank) + F.coalesce(F.col("_off_rank"), F.lit(0))}
+    for s, c in zip(sums, cum_names):
+        fixes[c] = (F.col(c) + F.coalesce(F.col(f"_off_{s}"), F.lit(0))).cast(_sum_type(types[s]))
+    result = result.withColumns(fixes).drop("_off_rank", *[f"_off_{s}" for s in sums])
+
+    if leads:
+        # First row of every non-empty partition, then the next partition's one.
+        first = ranged.groupBy(PID).agg(F.min(F.struct(*keys, *[F.col(l).alias(f"_l_{l}") for l in leads])).alias("_first"))
+        following = first.select(PID, F.lead("_first").over(Window.orderBy(PID)).alias("_nf"))
+        result = result.join(F.broadcast(following), PID, "left")
+        same_group = F.lit(True)
+        for g in group_by:
+            same_group = same_group & (F.col(f"_nf.{g}") == F.col(g))
+        cross = (~F.col(LAST)) & F.col("_nf").isNotNull() & same_group
+        result = result.withColumns(
+            {c: F.when(cross, F.col(f"_nf._l_{l}")).otherwise(F.col(c)) for l, c in zip(leads, next_names)}
+        ).drop("_nf")
+    return result.drop(PID, LAST)
+
+
+def row_numbers(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (), name: str = "row_number") -> DataFrame:
+    """``row_number()`` over (partition by group order by keys), without a
+    single-task group. Keys should be unique within a group."""
+    return ordered_scan(df, order_by, group_by, rank=name)
