@@ -115,12 +115,35 @@ def param_map(gbt: GBTClassifier, params: Mapping[str, Any], seed: int) -> dict:
     return {getattr(gbt, k): v for k, v in gbt_settings(params, seed).items()}
 
 
+ROWS_PER_TRAINING_PARTITION = 500_000
+
+
 def training_table(features: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
     """Model frame + numeric label column, with the id kept for folds."""
     frame = model_frame(features, config, keep=[config.id_column, config.target])
     return frame.withColumn(LABEL_COL, (F.col(config.target) == config.positive_class).cast(T.DoubleType()))
 
 
+def materialized_training_table(features: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Checkpointed training table with partitions sized to its rows.
+
+    Tree boosting runs several jobs per tree over the same table; reading a
+    checkpoint keeps lost executors cheap, and ~500k rows per partition keeps
+    task scheduling from dominating small tables while large ones keep their
+    full width (coalesce only narrows, never shuffles).
+    """
+    return sized_checkpoint(training_table(features, config))
+
+
+def sized_checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, then narrow to ~500k rows per partition."""
+    table = cut_lineage(df)
+    rows = table.count()
+    width = table.rdd.getNumPartitions()
+    wanted = max(1, min(width, math.ceil(rows / ROWS_PER_TRAINING_PARTITION)))
+    return table.coalesce(wanted) if wanted < width else table
+
+
 # -- search -----------------------------------------------------------------------
 
 
@@ -137,7 +160,7 @@ def cross_validate(
 ) -> SearchResult:
     """Mean ROC-AUC of every candidate over the stratified folds."""
     pipeline, gbt = build_pipeline(config)
-    folded = cv_folds(train, config)
+    folded = sized_checkpoint(cv_folds(train, config))
     maps = [param_map(gbt, p, config.random_state) for p in candidates]
     evaluator = BinaryClassificationEvaluator(labelCol=LABEL_COL, rawPredictionCol="probability", metricName="areaUnderROC")
     cv = CrossValidator(
@@ -271,7 +294,7 @@ def train_and_evaluate(
     bundle_path: str | None = None,
 ) -> Bundle:
     """Search (or probe), final fit on train, evaluation on test, bundle."""
-    table = cut_lineage(training_table(split_features.where(F.col("split") == "train"), config))
+    table = materialized_training_table(split_features.where(F.col("split") == "train"), config)
     test = split_features.where(F.col("split") == "test")
     result = search(table, config, n_trials, parallelism)
     pipeline, gbt = build_pipeline(config)
@@ -295,7 +318,7 @@ def q_score_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cfg = DEFAULT_CONFIG
     split = splits(spark, sf_dir)
-    table = cut_lineage(training_table(split.where(F.col("split") == "train"), cfg))
+    table = materialized_training_table(split.where(F.col("split") == "train"), cfg)
     pipeline, gbt = build_pipeline(cfg)
     model = pipeline.fit(table, params=param_map(gbt, default_params(cfg), cfg.random_state))
     bundle = Bundle(model, {"positive_label": 1, "prediction_threshold": cfg.prediction_threshold,
@@ -312,7 +335,7 @@ def q_cv_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cfg = DEFAULT_CONFIG
     split = splits(spark, sf_dir)
-    table = cut_lineage(training_table(split.where(F.col("split") == "train"), cfg))
+    table = materialized_training_table(split.where(F.col("split") == "train"), cfg)
     result = search(table, cfg, PUBLISHED_TRIALS, parallelism=2)
     rows = [
         (i, p["n_estimators"], p["learning_rate"], p["max_depth"], p["min_samples_split"], p["min_samples_leaf"],

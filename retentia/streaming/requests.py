@@ -106,9 +106,17 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, max_files
     return reader.parquet(path)
 
 
+def with_event_time(log: DataFrame) -> DataFrame:
+    """Watermarks need an instant type: a local (NTZ) time is read as a time
+    in the session zone (UTC in our sessions)."""
+    if isinstance(log.schema["ts"].dataType, T.TimestampNTZType):
+        return log.withColumn("ts", F.col("ts").cast(T.TimestampType()))
+    return log
+
+
 def windowed_rate_stream(log: DataFrame, window: str = RATE_WINDOW, slide: str | None = RATE_SLIDE, watermark: str = STREAM_WATERMARK) -> DataFrame:
     """Streaming request rate with a watermark on event time."""
-    return request_rate(log.withWatermark("ts", watermark), window, slide)
+    return request_rate(with_event_time(log).withWatermark("ts", watermark), window, slide)
 
 
 def start_monitor(

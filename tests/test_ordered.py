@@ -1,0 +1,34 @@
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from retentia.operators.ordered import ordered_scan
+
+
+def test_ordered_scan_matches_windows_with_hot_group(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        df = spark.range(0, 3000).select(
+            F.when(F.col("id") < 2000, F.lit("hot")).otherwise((F.col("id") % 3).cast("string")).alias("g"),
+            (F.col("id") * 7919 % 1013).alias("k"), F.col("id"),
+            (F.col("id") % 5).alias("v"), (F.col("id") / 3.0).alias("x"))
+        res = ordered_scan(df, ["k", "id"], ["g"], sums=["v", "x"], leads=["k"], partitions=7)
+        w = W.partitionBy("g").orderBy("k", "id")
+        ref = df.select("id", F.row_number().over(w).alias("rn"),
+                        F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("cv"),
+                        F.sum("x").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("cx"),
+                        F.lead("k").over(w).alias("nk"))
+        j = res.join(ref, "id")
+        bad = j.where((F.col("row_number") != F.col("rn")) | (F.col("cum_v") != F.col("cv"))
+                      | (F.abs(F.col("cum_x") - F.col("cx")) > 1e-6) | ~F.col("next_k").eqNullSafe(F.col("nk")))
+        assert res.count() == 3000
+        assert bad.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ordered_scan_without_groups(spark):
+    df = spark.range(0, 1000).select(F.col("id"), (F.col("id") % 7).alias("v"), (F.col("id") / 3.0).alias("x"))
+    res = ordered_scan(df, ["x"], sums=["v"], leads=["x"], partitions=5)
+    ref = df.select("id", F.row_number().over(W.orderBy("x")).alias("rn"), F.lead("x").over(W.orderBy("x")).alias("nx"))
+    j = res.join(ref, "id")
+    assert j.where((F.col("row_number") != F.col("rn")) | ~F.col("next_x").eqNullSafe(F.col("nx"))).count() == 0
