@@ -1,10 +1,24 @@
 """Stratified train/test split and stratified cross-validation folds.
 
-Both are exact and reproducible: each row gets a seeded hash key, rows are
-ranked inside their class by (key, id) with the distributed ordered scan (a
-class is never held by one task, even when it has a third of all rows or
-more), and the per-class test sizes come from a tiny table with one row per
-class.
+Both are exact and reproducible: each row gets a seeded md5 key and rows are
+ranked inside their class by (key, id). Because the key is a uniform hash,
+the ranking needs no global sort:
+
+* rows are counted per (class, first 4 hex digits of the key): at most
+  65,536 buckets per class, a table bounded by the bucket count, not by the
+  data; running counts over it give every bucket's offset inside its class;
+* the split only needs the rank inside the one bucket per class that holds
+  the test/train boundary; every other row is decided by its bucket alone,
+  so the full table is never shuffled (one partial aggregation and a
+  broadcast of the bounded bucket table);
+* folds need every row's rank: rows are ranked inside their (class, bucket)
+  group, about n / 65,536 rows each.
+
+If a bucket is unexpectedly large (duplicate ids hash to the same bucket:
+"one id holds a third of all rows"), the ranking falls back to the
+distributed ordered scan, which splits any group over many tasks. Both paths
+give the same exact ranks. Per-class test sizes come from a table with one
+row per class.
 
 Test sizes follow the usual shuffle-split rule: ``n_test = ceil(share * n)``,
 ``n_train = n - n_test``; the train rows are shared out over the classes by
@@ -54,31 +68,68 @@ def class_allocation(df: DataFrame, target: str, share: float) -> DataFrame:
     return sized.select(target, "n_class", (F.col("n_class") - train).cast(T.LongType()).alias("n_test"))
 
 
+BUCKET_DIGITS = 4  # 16**4 = 65,536 hash buckets per class
+MAX_BUCKET_ROWS = 2_000_000  # above this a bucket is ranked by the ordered scan
+
+
+def _keyed(df: DataFrame, ident: str, seed: int, salt: str = "") -> DataFrame:
+    key = hash_key(ident, seed, salt)
+    return df.withColumn("_key", key).withColumn(
+        "_bucket", F.conv(F.substring("_key", 1, BUCKET_DIGITS), 16, 10).cast(T.IntegerType())
+    )
+
+
+def _bucket_offsets(keyed: DataFrame, target: str) -> DataFrame:
+    """``(target, _bucket, _cnt, _before)``: rows in each bucket and rows in
+    the class's earlier buckets. At most 65,536 rows per class."""
+    counts = keyed.groupBy(target, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    earlier = Window.partitionBy(target).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
+
+
+def _rank_within(rows: DataFrame, target: str, ident: str, by_bucket: bool, largest: int) -> DataFrame:
+    """``_rank`` inside (target[, bucket]) by (key, id): a window when the
+    groups are small, the ordered scan when one is hot."""
+    groups = [target, "_bucket"] if by_bucket else [target]
+    if largest <= MAX_BUCKET_ROWS:
+        w = Window.partitionBy(*groups).orderBy("_key", ident)
+        return rows.withColumn("_rank", F.row_number().over(w))
+    return ordered_scan(rows, order_by=["_key", ident], group_by=groups, rank="_rank")
+
+
 def stratified_split(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
     """All input columns + ``split`` in {'train', 'test'}."""
     target, ident = config.target, config.id_column
     alloc = class_allocation(df, target, config.test_share)
-    ranked = ordered_scan(
-        df.withColumn("_split_key", hash_key(ident, config.random_state)),
-        order_by=["_split_key", ident],
-        group_by=[target],
-        rank="_split_rank",
+    keyed = _keyed(df, ident, config.random_state)
+    decide = F.when(F.col("_before") + F.col("_cnt") <= F.col("n_test"), F.lit("test")).when(
+        F.col("_before") >= F.col("n_test"), F.lit("train")
+    )
+    buckets = (
+        _bucket_offsets(keyed, target)
+        .join(F.broadcast(alloc.select(target, "n_test")), target)
+        .select(target, "_bucket", "_cnt", decide.alias("_status"), (F.col("n_test") - F.col("_before")).alias("_need"))
     )
-    # one row per class: a broadcast with a proven bound
-    joined = ranked.join(F.broadcast(alloc.select(target, "n_test")), target, "left")
-    return joined.withColumn(
-        SPLIT, F.when(F.col("_split_rank") <= F.col("n_test"), F.lit("test")).otherwise(F.lit("train"))
-    ).drop("_split_key", "_split_rank", "n_test")
+    # bounded: (classes x 65,536) rows; classes are validated to be {0, 1}
+    joined = keyed.join(F.broadcast(buckets), [target, "_bucket"])
+    decided = joined.where(F.col("_status").isNotNull()).withColumn(SPLIT, F.col("_status"))
+    boundary_size = buckets.where(F.col("_status").isNull()).agg(F.max("_cnt")).first()[0] or 0
+    boundary = _rank_within(joined.where(F.col("_status").isNull()), target, ident, False, int(boundary_size))
+    boundary = boundary.withColumn(
+        SPLIT, F.when(F.col("_rank") <= F.col("_need"), F.lit("test")).otherwise(F.lit("train"))
+    ).drop("_rank")
+    drop = ["_key", "_bucket", "_cnt", "_status", "_need"]
+    return decided.drop(*drop).unionByName(boundary.drop(*drop))
 
 
 def cv_folds(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, folds: int | None = None) -> DataFrame:
     """All input columns + ``fold`` in 0..k-1, balanced inside each class."""
     k = folds or config.cv_folds
     target, ident = config.target, config.id_column
-    ranked = ordered_scan(
-        df.withColumn("_fold_key", hash_key(ident, config.random_state, "fold")),
-        order_by=["_fold_key", ident],
-        group_by=[target],
-        rank="_fold_rank",
-    )
-    return ranked.withColumn(FOLD, ((F.col("_fold_rank") - 1) % k).cast(T.IntegerType())).drop("_fold_key", "_fold_rank")
+    keyed = _keyed(df, ident, config.random_state, "fold")
+    offsets = _bucket_offsets(keyed, target)
+    largest = offsets.agg(F.max("_cnt")).first()[0] or 0
+    ranked = _rank_within(keyed.join(F.broadcast(offsets.select(target, "_bucket", "_before")), [target, "_bucket"]),
+                          target, ident, True, int(largest))
+    rank = F.col("_before") + F.col("_rank")
+    return ranked.withColumn(FOLD, ((rank - 1) % k).cast(T.IntegerType())).drop("_key", "_bucket", "_before", "_rank")

@@ -33,6 +33,7 @@ from ..operators.split import cv_folds, stratified_split
 from ..sources.accounts import account_table
 from ..streaming import requests as req
 from ..sources.tables import table
+from ..session import cut_lineage
 
 CFG = DEFAULT_CONFIG
 DERIVED_ROUNDED = ("engagement_score", "activity_ratio", "support_pressure", "payment_reliability", "usage_momentum")
@@ -53,7 +54,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(features(spark, sf_dir), CFG)
+    """The split table, materialized once (like the original's train / test
+    files): every later operator reads the checkpoint instead of re-running
+    the order-history scans, and a lost executor costs a re-read, not a
+    recomputation."""
+    return cut_lineage(stratified_split(features(spark, sf_dir), CFG))
 
 
 def scored_split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,16 @@ def test_exact_quantiles_match_numpy(spark):
     for col, arr in (("a", a), ("b", b)):
         for p in (0.1, 0.5, 0.9):
             assert abs(got[(col, p)] - np.quantile(arr, p)) < 1e-12
+
+
+def test_hot_bucket_fallback_gives_same_ranks(spark, monkeypatch):
+    import retentia.operators.split as S
+
+    df = _data(spark, 1500)
+    window_split = stratified_split(df).select("account_id", "split")
+    window_folds = cv_folds(df).select("account_id", "fold")
+    monkeypatch.setattr(S, "MAX_BUCKET_ROWS", 0)  # every bucket counts as hot
+    scan_split = stratified_split(df).select("account_id", "split")
+    scan_folds = cv_folds(df).select("account_id", "fold")
+    assert window_split.exceptAll(scan_split).count() == 0
+    assert window_folds.exceptAll(scan_folds).count() == 0
