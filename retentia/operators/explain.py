@@ -7,7 +7,7 @@ Contribution of feature i for one account = (value_i - training median_i)
 The basis (medians + importances) is fitted once, like an MLlib model: the
 medians are computed exactly and distributed, then collected (one number per
 feature, a bounded collect) and used as literals. Contributions and top-k
-drivers are then computed inside each row (array of structs, ``array_sort``,
+drivers are then computed inside each row (array of structs, ``sort_array``,
 ``slice``, ``posexplode``): no join and no shuffle per account, and a top-k
 never needs a window over an account's rows.
 """
@@ -94,7 +94,7 @@ def contributions(df: DataFrame, basis: ExplanationBasis, keep: Sequence[str] =
 def top_factors(df: DataFrame, basis: ExplanationBasis, k: int, keep: Sequence[str] = ("account_id",)) -> DataFrame:
     """The ``k`` largest |contribution| per row, ties in feature order:
     ``keep..., rank, feature, feature_value, contribution``."""
-    ranked = F.slice(F.array_sort(_entries(basis)), 1, int(k))
+    ranked = F.slice(F.sort_array(_entries(basis), asc=True), 1, int(k))
     return df.select(*keep, F.posexplode(ranked).alias("pos", "e")).select(
         *keep,
         (F.col("pos") + 1).alias("rank"),
