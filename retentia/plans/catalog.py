@@ -233,7 +233,10 @@ def q_scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = score_ops.apply_scenarios(account_table(spark, sf_dir), scenarios)
     feats = registered_features(build_renewal_features(inputs, CFG))
     scored = score_ops.score_stand_in(feats)
-    return score_ops.add_segments(scored).drop(score_ops.INSIGHT)
+    # one non-null text key for accounts and profiles alike
+    subject = F.coalesce(F.col("account_id").cast(T.StringType()), F.col("profile")).alias("subject")
+    out = score_ops.add_segments(scored).drop(score_ops.INSIGHT)
+    return out.select(subject, *[c for c in out.columns if c != "account_id"])
 
 
 # -- F: drift ------------------------------------------------------------------------

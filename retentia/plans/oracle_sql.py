@@ -384,7 +384,7 @@ inputs AS (
         features_ctes("inputs", "profile, account_id", prefix="s_"),
     ) + f""",
 s_scored AS (SELECT *, {probability_expr()} AS renewal_probability FROM s_feat)
-SELECT *, {_segment()} AS risk_segment FROM s_scored"""
+SELECT COALESCE(CAST(account_id AS VARCHAR), profile) AS subject, * EXCLUDE (account_id), {_segment()} AS risk_segment FROM s_scored"""
 
 
 def _drift_sides() -> str:
