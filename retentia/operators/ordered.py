@@ -59,13 +59,14 @@ def ordered_scan(
     """Add ``rank`` (1-based), ``cum_<s>`` (inclusive running sums) and
     ``next_<l>`` (the value of ``l`` on the next row of the same group, null
     on a group's last row) in (group_by, order_by) order."""
-    spark = df.sparkSession
     group_by, order_by, sums, leads = list(group_by), list(order_by), list(sums), list(leads)
     keys = group_by + order_by
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     types = {f.name: f.dataType for f in df.schema.fields}
 
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(PID, F.spark_partition_id())
+    # Without an explicit count, AQE sizes the range partitions by bytes
+    # (coalescing merges neighbouring ranges, so the order is kept).
+    exchange = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = exchange.sortWithinPartitions(*keys).withColumn(PID, F.spark_partition_id())
     # Range bounds come from sampling, so two executions of the exchange may
     # cut partitions differently. Store the partition id as data and cut the
     # lineage: every branch below (and any retry after a lost executor) then

@@ -32,3 +32,21 @@ def test_ordered_scan_without_groups(spark):
     ref = df.select("id", F.row_number().over(W.orderBy("x")).alias("rn"), F.lead("x").over(W.orderBy("x")).alias("nx"))
     j = res.join(ref, "id")
     assert j.where((F.col("row_number") != F.col("rn")) | ~F.col("next_x").eqNullSafe(F.col("nx"))).count() == 0
+
+
+def test_ordered_scan_with_aqe_sized_partitions(spark):
+    # tiny advisory size: AQE coalesces the range partitions into many
+    # small, still ordered, partitions
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        df = spark.range(0, 4000).select(
+            (F.col("id") % 2).alias("g"), (F.col("id") * 31 % 997).alias("k"), F.col("id"), (F.col("id") % 3).alias("v"))
+        res = ordered_scan(df, ["k", "id"], ["g"], sums=["v"], leads=["k"])
+        w = W.partitionBy("g").orderBy("k", "id")
+        ref = df.select("id", F.row_number().over(w).alias("rn"),
+                        F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("cv"), F.lead("k").over(w).alias("nk"))
+        j = res.join(ref, "id")
+        assert j.where((F.col("row_number") != F.col("rn")) | (F.col("cum_v") != F.col("cv"))
+                       | ~F.col("next_k").eqNullSafe(F.col("nk"))).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
