@@ -87,49 +87,111 @@ def _bucket_offsets(keyed: DataFrame, target: str) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
 
 
-def _rank_within(rows: DataFrame, target: str, ident: str, by_bucket: bool, largest: int) -> DataFrame:
-    """``_rank`` inside (target[, bucket]) by (key, id): a window when the
-    groups are small, the ordered scan when one is hot."""
-    groups = [target, "_bucket"] if by_bucket else [target]
+def _tie_breakers(df: DataFrame, exclude: set[str]) -> list[str]:
+    """Every other orderable column: with them the order is total up to
+    rows that are equal in every column, which are interchangeable. So a
+    duplicated id ranks the same way on every recomputation (a lost executor,
+    two readers of one split) without materializing anything."""
+    return [
+        f.name
+        for f in df.schema.fields
+        if f.name not in exclude and not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
+
+
+def _rank_within(rows: DataFrame, groups: list[str], order: list[str], largest: int) -> DataFrame:
+    """``_rank`` inside ``groups`` by ``order``: a window when the groups are
+    small, the ordered scan (which splits a group over many tasks) when one
+    is hot."""
     if largest <= MAX_BUCKET_ROWS:
-        w = Window.partitionBy(*groups).orderBy("_key", ident)
+        w = Window.partitionBy(*groups).orderBy(*order)
         return rows.withColumn("_rank", F.row_number().over(w))
-    return ordered_scan(rows, order_by=["_key", ident], group_by=groups, rank="_rank")
+    return ordered_scan(rows, order_by=order, group_by=groups, rank="_rank")
+
+
+def split_boundaries(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> list[tuple]:
+    """Per class: ``(class, bucket, rows in it, test rows still needed)`` of
+    the bucket that holds the class's last test row.
+
+    One distributed job: bucket counts (partial aggregation, at most 65,536
+    rows per class), their running offsets, and the one bucket per class
+    where the test share ends. The collect is bounded by the number of
+    classes; a class with no test rows has no entry.
+    """
+    target = config.target
+    keyed = _keyed(df, config.id_column, config.random_state)
+    alloc = class_allocation(df, target, config.test_share)
+    n_test = F.col("n_test")
+    buckets = _bucket_offsets(keyed, target)
+    sizes = alloc.select(F.col(target).alias("_class"), "n_test")
+    rows = (
+        buckets.join(F.broadcast(sizes), buckets[target].eqNullSafe(sizes["_class"]))
+        .where((F.col("_before") < n_test) & (n_test <= F.col("_before") + F.col("_cnt")))
+        .select(target, "_bucket", "_cnt", (n_test - F.col("_before")).alias("_need"))
+        .collect()
+    )
+    return [(r[0], int(r[1]), int(r[2]), int(r[3])) for r in rows]
 
 
 def stratified_split(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
-    """All input columns + ``split`` in {'train', 'test'}."""
+    """All input columns + ``split`` in {'train', 'test'}.
+
+    In each class, buckets before the boundary bucket are test and buckets
+    after it are train: a narrow projection with the (collected, bounded)
+    boundaries as literals, no join and no shuffle. Only the rows of the
+    boundary buckets (about n / 65,536 per class) are ranked. The input
+    is read twice (boundary job, then the split), so callers pass a
+    materialized table, as the pipeline and the registered plans do.
+    """
     target, ident = config.target, config.id_column
-    alloc = class_allocation(df, target, config.test_share)
+    bounds = split_boundaries(df, config)
     keyed = _keyed(df, ident, config.random_state)
-    decide = F.when(F.col("_before") + F.col("_cnt") <= F.col("n_test"), F.lit("test")).when(
-        F.col("_before") >= F.col("n_test"), F.lit("train")
-    )
-    buckets = (
-        _bucket_offsets(keyed, target)
-        .join(F.broadcast(alloc.select(target, "n_test")), target)
-        .select(target, "_bucket", "_cnt", decide.alias("_status"), (F.col("n_test") - F.col("_before")).alias("_need"))
-    )
-    # bounded: (classes x 65,536) rows; classes are validated to be {0, 1}
-    joined = keyed.join(F.broadcast(buckets), [target, "_bucket"])
-    decided = joined.where(F.col("_status").isNotNull()).withColumn(SPLIT, F.col("_status"))
-    boundary_size = buckets.where(F.col("_status").isNull()).agg(F.max("_cnt")).first()[0] or 0
-    boundary = _rank_within(joined.where(F.col("_status").isNull()), target, ident, False, int(boundary_size))
-    boundary = boundary.withColumn(
-        SPLIT, F.when(F.col("_rank") <= F.col("_need"), F.lit("test")).otherwise(F.lit("train"))
-    ).drop("_rank")
-    drop = ["_key", "_bucket", "_cnt", "_status", "_need"]
-    return decided.drop(*drop).unionByName(boundary.drop(*drop))
+    cls = F.col(target)
+
+    status = F.lit("train")  # classes without test rows
+    in_boundary = F.lit(False)
+    need = F.lit(0).cast(T.LongType())
+    group = F.lit(-1)
+    for i, (c, bucket, _, n) in reversed(list(enumerate(bounds))):
+        same = cls.eqNullSafe(F.lit(c))
+        here = same & (F.col("_bucket") == bucket)
+        status = F.when(same & (F.col("_bucket") < bucket), F.lit("test")).when(same, F.lit("train")).otherwise(status)
+        in_boundary = in_boundary | here
+        need = F.when(here, F.lit(n).cast(T.LongType())).otherwise(need)
+        group = F.when(here, F.lit(i)).otherwise(group)
+
+    decided = keyed.where(~in_boundary).withColumn(SPLIT, status)
+    largest = max((cnt for _, _, cnt, _ in bounds), default=0)
+    order = ["_key", ident] + _tie_breakers(df, {ident, "_key", "_bucket"})
+    boundary = keyed.where(in_boundary).withColumns({"_need": need, "_group": group})
+    ranked = _rank_within(boundary, ["_group"], order, largest)
+    ranked = ranked.withColumn(SPLIT, F.when(F.col("_rank") <= F.col("_need"), F.lit("test")).otherwise(F.lit("train")))
+    drop = ["_key", "_bucket", "_need", "_group", "_rank"]
+    return decided.drop(*drop).unionByName(ranked.drop(*drop))
 
 
 def cv_folds(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, folds: int | None = None) -> DataFrame:
-    """All input columns + ``fold`` in 0..k-1, balanced inside each class."""
+    """All input columns + ``fold`` in 0..k-1, balanced inside each class.
+
+    Every row needs its rank inside its class: the rank inside its (class,
+    bucket) group (a window over about n / 65,536 rows, or the ordered scan
+    if a bucket is hot) plus the class's rows in earlier buckets (a bounded
+    broadcast table)."""
     k = folds or config.cv_folds
     target, ident = config.target, config.id_column
     keyed = _keyed(df, ident, config.random_state, "fold")
-    offsets = _bucket_offsets(keyed, target)
+    offsets = _bucket_offsets(keyed, target).select(F.col(target).alias("_class"), F.col("_bucket").alias("_b"), "_before", "_cnt")
     largest = offsets.agg(F.max("_cnt")).first()[0] or 0
-    ranked = _rank_within(keyed.join(F.broadcast(offsets.select(target, "_bucket", "_before")), [target, "_bucket"]),
-                          target, ident, True, int(largest))
+    on = keyed[target].eqNullSafe(offsets["_class"]) & (keyed["_bucket"] == offsets["_b"])
+    joined = keyed.join(F.broadcast(offsets.drop("_cnt")), on).drop("_class", "_b")
+    # a null class is its own group: rank inside (class is null, class, bucket)
+    groups = ["_null_class", target, "_bucket"]
+    order = ["_key", ident] + _tie_breakers(df, {ident, "_key", "_bucket"})
+    joined = joined.withColumn("_null_class", F.col(target).isNull())
+    if int(largest) > MAX_BUCKET_ROWS:
+        joined = joined.withColumn(target + "_g", F.coalesce(F.col(target).cast(T.StringType()), F.lit("")))
+        groups = ["_null_class", target + "_g", "_bucket"]
+    ranked = _rank_within(joined, groups, order, int(largest))
     rank = F.col("_before") + F.col("_rank")
-    return ranked.withColumn(FOLD, ((rank - 1) % k).cast(T.IntegerType())).drop("_key", "_bucket", "_before", "_rank")
+    out = ranked.withColumn(FOLD, ((rank - 1) % k).cast(T.IntegerType()))
+    return out.drop("_key", "_bucket", "_before", "_rank", "_null_class", target + "_g")

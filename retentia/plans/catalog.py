@@ -14,6 +14,7 @@ themselves do not round.
 
 from __future__ import annotations
 
+import weakref
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,21 +45,42 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # -- registered building blocks --------------------------------------------------
 
+# Lazy plans (not data) of the shared building blocks, per session and folder.
+# Building the account / feature plan costs a few thousand driver-to-JVM
+# calls; a registered query reuses the analysed plan the way it would read a
+# view. Nothing is cached: every query still scans the tables. A scale-factor
+# folder is treated as immutable for the life of a session.
+_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict[tuple[str, str], DataFrame]]" = weakref.WeakKeyDictionary()
+
+
+def _plan(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    plans = _PLANS.setdefault(spark, {})
+    key = (name, sf_dir)
+    if key not in plans:
+        plans[key] = build()
+    return plans[key]
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, "accounts", lambda: account_table(spark, sf_dir))
+
 
 def registered_features(features: DataFrame) -> DataFrame:
     return features.withColumns({c: q6(c) for c in DERIVED_ROUNDED})
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registered_features(build_renewal_features(account_table(spark, sf_dir), CFG))
+    return _plan(spark, sf_dir, "features", lambda: registered_features(build_renewal_features(accounts(spark, sf_dir), CFG)))
 
 
 def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The split table, materialized once (like the original's train / test
-    files): every later operator reads the checkpoint instead of re-running
-    the order-history scans, and a lost executor costs a re-read, not a
+    """The feature table, materialized once per call in the shared
+    checkpoint folder (like the original's train / test files), with the
+    split as a deterministic projection over it: the split's boundary job
+    and every later operator read the checkpoint instead of re-running the
+    order-history scans, and a lost executor costs a re-read, not a
     recomputation."""
-    return cut_lineage(stratified_split(features(spark, sf_dir), CFG))
+    return stratified_split(cut_lineage(features(spark, sf_dir)), CFG)
 
 
 def scored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,20 +103,20 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def q_account_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return account_table(spark, sf_dir).select("account_id", *CFG.source_columns)
+    return accounts(spark, sf_dir).select("account_id", *CFG.source_columns)
 
 
 def q_coerced_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coerce_inputs(account_table(spark, sf_dir)).select("account_id", *BASE_NUMERIC_FEATURES)
+    return coerce_inputs(accounts(spark, sf_dir)).select("account_id", *BASE_NUMERIC_FEATURES)
 
 
 def q_plan_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acc = account_table(spark, sf_dir).select("account_id", F.col("subscription_plan").alias("raw_plan"), "subscription_plan")
+    acc = accounts(spark, sf_dir).select("account_id", F.col("subscription_plan").alias("raw_plan"), "subscription_plan")
     return normalize_plans(acc, CFG)
 
 
 def q_plan_value_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acc = normalize_plans(account_table(spark, sf_dir).select("account_id", "subscription_plan"), CFG)
+    acc = normalize_plans(accounts(spark, sf_dir).select("account_id", "subscription_plan"), CFG)
     from ..functions.columns import lookup
 
     return acc.withColumn("plan_value_index", lookup("subscription_plan", CFG.plan_score_map))
@@ -121,19 +143,19 @@ def q_top_risky_accounts(spark: SparkSession, sf_dir: str, k: int = 20) -> DataF
 
 
 def q_validation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.validation_profile(account_table(spark, sf_dir), CFG)
+    return quality.validation_profile(accounts(spark, sf_dir), CFG)
 
 
 def q_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.null_counts(account_table(spark, sf_dir), CFG.source_columns)
+    return quality.null_counts(accounts(spark, sf_dir), CFG.source_columns)
 
 
 def q_target_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.target_classes(account_table(spark, sf_dir), CFG.target)
+    return quality.target_classes(accounts(spark, sf_dir), CFG.target)
 
 
 def q_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.contract_violations(account_table(spark, sf_dir))
+    return quality.contract_violations(accounts(spark, sf_dir))
 
 
 # -- D: split, folds, medians, metrics --------------------------------------------
@@ -181,7 +203,7 @@ def q_labeled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input rows with the predictions appended as columns. The raw inputs
     ride along as passthrough copies, so no join (and no shuffle) is needed
     to put predictions next to the rows they belong to."""
-    acc = account_table(spark, sf_dir)
+    acc = accounts(spark, sf_dir)
     raw = {f"_raw_{c}": F.col(c) for c in CFG.source_columns}
     feats = registered_features(build_renewal_features(acc.withColumns(raw), CFG))
     scored = score_ops.add_predictions(score_ops.score_stand_in(feats), CFG)
@@ -230,7 +252,7 @@ def q_scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What-if profiles scored together with the whole account base."""
     train = _train(split_features(spark, sf_dir))
     scenarios = score_ops.scenario_inputs(spark, train, CFG)
-    inputs = score_ops.apply_scenarios(account_table(spark, sf_dir), scenarios)
+    inputs = score_ops.apply_scenarios(accounts(spark, sf_dir), scenarios)
     feats = registered_features(build_renewal_features(inputs, CFG))
     scored = score_ops.score_stand_in(feats)
     # one non-null text key for accounts and profiles alike

@@ -69,3 +69,29 @@ def test_hot_bucket_fallback_gives_same_ranks(spark, monkeypatch):
     scan_folds = cv_folds(df).select("account_id", "fold")
     assert window_split.exceptAll(scan_split).count() == 0
     assert window_folds.exceptAll(scan_folds).count() == 0
+
+
+def test_duplicated_ids_split_deterministically(spark):
+    # one id holds a third of the rows: its copies share one hash bucket
+    base = _data(spark, 1200).withColumn("extra", F.col("account_id") % 7)
+    hot = spark.range(600).select(F.lit(42).cast("long").alias("account_id"), F.lit(1).alias("renewed"),
+                                  (F.col("id") % 5).alias("extra"))
+    df = base.unionByName(hot).cache()
+    a = stratified_split(df)
+    b = stratified_split(df)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    alloc = {r["renewed"]: r["n_test"] for r in class_allocation(df, "renewed", 0.2).collect()}
+    got = {r["renewed"]: r["count"] for r in a.where("split = 'test'").groupBy("renewed").count().collect()}
+    assert got == alloc
+    assert a.count() == df.count()
+
+
+def test_null_class_is_split_not_dropped(spark):
+    df = _data(spark, 500).withColumn("renewed", F.when(F.col("account_id") % 10 == 0, None).otherwise(F.col("renewed")))
+    out = stratified_split(df)
+    assert out.count() == 500
+    alloc = {r["renewed"]: r["n_test"] for r in class_allocation(df, "renewed", 0.2).collect()}
+    got = {r["renewed"]: r["count"] for r in out.where("split = 'test'").groupBy("renewed").count().collect()}
+    assert got == alloc
+    folds = cv_folds(df)
+    assert folds.count() == 500 and folds.where("fold IS NULL").count() == 0
