@@ -1,11 +1,25 @@
-"""Exact quantiles (medians) of many columns in one distributed pass.
-
-``percentile``/``median`` collect each group's values in one task; here the
-columns are turned into long form, reduced to distinct values with counts
-(partial aggregation first, so a value held by a third of the rows costs one
-row per partition), and ranked with the ordered scan. The quantile is read
-off the two ranks around the target position, with linear interpolation as
-in NumPy / pandas.
+"""Exact quantiles (medians) of many columns at once.
+
+``percentile``/``median`` hold a group's values in one task. Here the columns
+are turned into long form and the exact quantile is found in two aggregation
+passes that stay inside the JVM:
+
+1. a mergeable percentile sketch per column (``percentile_approx``, partial
+   aggregation, bounded memory) brackets every target position: its rank
+   error is at most n / ``SKETCH_ACCURACY``, so the values at p -/+
+   ``BRACKET_MARGIN`` errors enclose the target;
+2. one aggregation counts the rows below the bracket, above it, and each
+   distinct value inside it (a value held by a third of the rows costs one
+   row per map task). One walk over the sorted in-bracket (value, count)
+   pairs of each (column, probability) -- about 2 * margin * n / accuracy
+   pairs, 0.06 % of the rows -- gives the exact values at the two positions
+   around the target, with linear interpolation as in NumPy / pandas.
+
+Nothing is collected and nothing is checkpointed; the bracket table has one
+row per (column, probability) and is broadcast. ``bracket_ok`` says whether
+the exact counts confirmed the bracket (the sketch's guarantee makes it
+always true); ``collect_quantiles`` checks it and recomputes any unconfirmed
+column with the distributed ordered scan (``ranked_quantiles``).
 """
 
 from __future__ import annotations
@@ -18,6 +32,11 @@ from pyspark.sql import types as T
 
 from .ordered import ordered_scan
 
+# Fixed parameters of the bracket: sketch accuracy (rank error <= n / 10,000)
+# and the bracket half-width in sketch errors.
+SKETCH_ACCURACY = 10_000
+BRACKET_MARGIN = 3
+
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``(keep..., column, value)``: one row per (input row, column)."""
@@ -25,35 +44,122 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
     return df.select(*keep, F.inline(pairs))
 
 
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return long_form(df, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def _positions(sized: DataFrame) -> DataFrame:
+    """Adds the 1-based positions around ``(n - 1) * probability``."""
+    h = (F.col("n") - 1) * F.col("probability")
+    return sized.withColumns(
+        {
+            "lo_pos": (F.floor(h) + 1).cast(T.LongType()),
+            "hi_pos": (F.ceil(h) + 1).cast(T.LongType()),
+            "frac": h - F.floor(h),
+        }
+    )
+
+
+def _brackets(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """``(column, probability, n, lo_v, hi_v, lo_pos, hi_pos, frac)``: one
+    row per (column, probability), from one sketch aggregation."""
+    eps = BRACKET_MARGIN / SKETCH_ACCURACY
+    lows = [max(0.0, float(p) - eps) for p in probabilities]
+    highs = [min(1.0, float(p) + eps) for p in probabilities]
+    pcts = sorted(set(lows + highs))
+    stats = values.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("value", pcts, SKETCH_ACCURACY).alias("_q"),
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(float(p)).alias("probability"),
+                F.col("_q")[pcts.index(lo)].alias("lo_v"),
+                F.col("_q")[pcts.index(hi)].alias("hi_v"),
+            )
+            for p, lo, hi in zip(probabilities, lows, highs)
+        ]
+    )
+    return _positions(stats.select("column", "n", F.inline(rows)))
+
+
+def _quantiles_with_check(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    values = _values(df, columns)
+    brackets = F.broadcast(_brackets(values, probabilities))  # columns x probabilities rows
+    v = F.col("value")
+    zone = F.when(v < F.col("lo_v"), F.lit(0)).when(v > F.col("hi_v"), F.lit(2)).otherwise(F.lit(1))
+    keys = ["column", "probability", "lo_pos", "hi_pos", "frac"]
+    # partial aggregation: rows below / above the bracket and each in-bracket
+    # value become one row per map task, however many rows share them
+    counted = (
+        values.join(brackets, "column")
+        .groupBy(*keys, zone.alias("_zone"), F.when(zone == 1, v).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_cnt"))
+    )
+    per_target = counted.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(F.col("_zone") == 0, F.col("_cnt"))), F.lit(0)).alias("_below"),
+        F.coalesce(F.sum(F.when(F.col("_zone") == 1, F.col("_cnt"))), F.lit(0)).alias("_inside"),
+        # the distinct in-bracket values: about 2 * BRACKET_MARGIN * n / SKETCH_ACCURACY
+        F.array_sort(F.collect_list(F.when(F.col("_zone") == 1, F.struct(F.col("_v").alias("v"), F.col("_cnt").alias("c"))))).alias("_vals"),
+    )
+    # walk the sorted values once, keeping the running count and the values
+    # found at the two target positions
+    walk = F.expr(
+        """aggregate(_vals,
+                     named_struct('run', _below, 'lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE)),
+                     (acc, x) -> named_struct(
+                         'run', acc.run + x.c,
+                         'lo', IF(acc.lo IS NULL AND lo_pos <= acc.run + x.c, x.v, acc.lo),
+                         'hi', IF(acc.hi IS NULL AND hi_pos <= acc.run + x.c, x.v, acc.hi)))"""
+    )
+    found = per_target.select("column", "probability", "frac", "_below", "_inside", "lo_pos", "hi_pos", walk.alias("_w"))
+    ok = (F.col("_below") < F.col("lo_pos")) & (F.col("hi_pos") <= F.col("_below") + F.col("_inside"))
+    lo, hi = F.col("_w.lo"), F.col("_w.hi")
+    value = lo + (hi - lo) * F.col("frac")
+    return found.select("column", "probability", F.when(ok, value).alias("value"), ok.alias("bracket_ok"))
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.5,)) -> DataFrame:
     """``(column, probability, value)``; nulls and NaN are skipped."""
-    values = long_form(df, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return _quantiles_with_check(df, columns, probabilities).drop("bracket_ok")
+
+
+def ranked_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.5,)) -> DataFrame:
+    """Same result by ranking every distinct value with the ordered scan
+    (one range shuffle); used when a bracket is not confirmed."""
+    values = _values(df, columns)
     distinct = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     scanned = ordered_scan(distinct, order_by=["value"], group_by=["column"], sums=["cnt"], rank="_r")
     sizes = distinct.groupBy("column").agg(F.sum("cnt").alias("n"))
-    # (column x probability) target positions: bounded by the number of columns
     probs = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
-    h = (F.col("n") - 1) * F.col("probability")
-    targets = sizes.select("column", "n", probs).select(
-        "column",
-        "probability",
-        (F.floor(h) + 1).cast(T.LongType()).alias("lo_pos"),
-        (F.ceil(h) + 1).cast(T.LongType()).alias("hi_pos"),
-        (h - F.floor(h)).alias("frac"),
-    )
+    targets = _positions(sizes.select("column", "n", probs)).select("column", "probability", "lo_pos", "hi_pos", "frac")
     start = F.col("cum_cnt") - F.col("cnt")
-    hits = scanned.join(F.broadcast(targets), "column").where(
-        ((start < F.col("lo_pos")) & (F.col("lo_pos") <= F.col("cum_cnt")))
-        | ((start < F.col("hi_pos")) & (F.col("hi_pos") <= F.col("cum_cnt")))
-    )
+
+    def hit(pos: str) -> F.Column:
+        return (start < F.col(pos)) & (F.col(pos) <= F.col("cum_cnt"))
+
+    hits = scanned.join(F.broadcast(targets), "column").where(hit("lo_pos") | hit("hi_pos"))
     picked = hits.groupBy("column", "probability").agg(
-        F.max(F.when((start < F.col("lo_pos")) & (F.col("lo_pos") <= F.col("cum_cnt")), F.col("value"))).alias("lo"),
-        F.max(F.when((start < F.col("hi_pos")) & (F.col("hi_pos") <= F.col("cum_cnt")), F.col("value"))).alias("hi"),
+        F.max(F.when(hit("lo_pos"), F.col("value"))).alias("lo"),
+        F.max(F.when(hit("hi_pos"), F.col("value"))).alias("hi"),
         F.first("frac").alias("frac"),
     )
     return picked.select("column", "probability", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("value"))
 
 
+def collect_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.5,)) -> dict[tuple[str, float], float]:
+    """Quantiles as a dict (one number per column and probability: a
+    bounded collect), every bracket confirmed."""
+    rows = _quantiles_with_check(df, columns, probabilities).collect()
+    out = {(r["column"], r["probability"]): r["value"] for r in rows if r["bracket_ok"]}
+    redo = sorted({r["column"] for r in rows if not r["bracket_ok"]})
+    if redo:
+        for r in ranked_quantiles(df, redo, probabilities).collect():
+            out[(r["column"], r["probability"])] = r["value"]
+    return {k: float(v) for k, v in out.items()}
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, median)``: one row per column."""
     return exact_quantiles(df, columns, (0.5,)).select("column", F.col("value").alias("median"))
@@ -61,4 +167,4 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def collect_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Medians as a dict (one number per column: a bounded collect)."""
-    return {r["column"]: float(r["median"]) for r in exact_medians(df, columns).collect()}
+    return {c: v for (c, _), v in collect_quantiles(df, columns, (0.5,)).items()}

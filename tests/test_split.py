@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from retentia.config import DEFAULT_CONFIG
-from retentia.operators.quantiles import exact_quantiles
+from retentia.operators.quantiles import collect_quantiles, exact_quantiles, ranked_quantiles
 from retentia.operators.split import class_allocation, cv_folds, stratified_split
 
 
@@ -52,10 +52,33 @@ def test_exact_quantiles_match_numpy(spark):
     a = np.round(rng.normal(size=1001), 3)
     b = rng.integers(0, 5, 1001).astype(float)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    got = {(r["column"], r["probability"]): r["value"] for r in exact_quantiles(df, ["a", "b"], [0.1, 0.5, 0.9]).collect()}
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r["column"], r["probability"]): r["value"] for r in exact_quantiles(df, ["a", "b"], probs).collect()}
+    ranked = {(r["column"], r["probability"]): r["value"] for r in ranked_quantiles(df, ["a", "b"], probs).collect()}
+    collected = collect_quantiles(df, ["a", "b"], probs)
     for col, arr in (("a", a), ("b", b)):
-        for p in (0.1, 0.5, 0.9):
-            assert abs(got[(col, p)] - np.quantile(arr, p)) < 1e-12
+        for p in probs:
+            want = np.quantile(arr, p)
+            assert abs(got[(col, p)] - want) < 1e-12
+            assert abs(ranked[(col, p)] - want) < 1e-12
+            assert abs(collected[(col, p)] - want) < 1e-12
+
+
+def test_quantile_bracket_beyond_exact_sketch(spark, monkeypatch):
+    # a coarse sketch (accuracy 100) compresses 20,000 values: the bracket
+    # must still hold the exact answer, hot value included
+    import numpy as np
+
+    import retentia.operators.quantiles as Q
+
+    monkeypatch.setattr(Q, "SKETCH_ACCURACY", 100)
+    n = 20_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.sin(F.col("id")) * 100).alias("x"))
+    arr = np.array([r[0] for r in df.collect()])
+    checked = Q._quantiles_with_check(df, ["x"], [0.25, 0.5, 0.8]).collect()
+    assert all(r["bracket_ok"] for r in checked)
+    for r in checked:
+        assert abs(r["value"] - np.quantile(arr, r["probability"])) < 1e-9
 
 
 def test_hot_bucket_fallback_gives_same_ranks(spark, monkeypatch):
