@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DATASET_DRIFT_SHARE, DEFAULT_CONFIG, PSI_FLOOR, RenewalConfig
-from .metrics import average_precision, binary_metrics, roc_auc
+from .metrics import binary_metrics, ranking_metrics
 from .ordered import ordered_scan
 from .quantiles import long_form
 
@@ -101,21 +101,25 @@ def distribution_drift(
     f_cur = F.col("cum_cur_cnt").cast(T.DoubleType()) / F.col("n_cur").cast(T.DoubleType())
     gap = F.abs(f_ref - f_cur)
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
-    shape = rows.groupBy("column").agg(
-        F.max(gap).alias("ks_statistic"), F.sum(gap * step).alias("wasserstein")
-    )
 
     b = int(config.psi_buckets)
     below = F.col("cum_ref_cnt") - F.col("ref_cnt")
     bucket = F.least(F.lit(b - 1).cast(T.LongType()), F.floor(F.lit(b) * below / F.col("n_ref")).cast(T.LongType()))
+    # one pass: per (column, decile bucket) the shares and the partial KS /
+    # Wasserstein terms, then per column (at most b rows per column)
     per_bucket = rows.groupBy("column", bucket.alias("bucket")).agg(
-        (F.sum("ref_cnt") / F.first("n_ref")).alias("p_ref"), (F.sum("cur_cnt") / F.first("n_cur")).alias("p_cur")
+        (F.sum("ref_cnt") / F.first("n_ref")).alias("p_ref"),
+        (F.sum("cur_cnt") / F.first("n_cur")).alias("p_cur"),
+        F.max(gap).alias("_ks"),
+        F.sum(gap * step).alias("_w"),
     )
     floor = F.lit(PSI_FLOOR)
     pr, pc = F.greatest(F.col("p_ref"), floor), F.greatest(F.col("p_cur"), floor)
-    psi = per_bucket.groupBy("column").agg(F.sum((pc - pr) * F.log(pc / pr)).alias("psi"))
-
-    out = psi.join(shape, "column")
+    out = per_bucket.groupBy("column").agg(
+        F.sum((pc - pr) * F.log(pc / pr)).alias("psi"),
+        F.max("_ks").alias("ks_statistic"),
+        F.sum("_w").alias("wasserstein"),
+    )
     return out.select(
         "column",
         "psi",
@@ -158,8 +162,6 @@ def quality_by_side(
     """``(side, accuracy, precision, recall, f1, roc_auc, average_precision)``."""
     cols = [F.col(label), F.col(probability), F.col(prediction)]
     tagged = reference.select(F.lit(REFERENCE).alias(SIDE), *cols).unionByName(current.select(F.lit(CURRENT).alias(SIDE), *cols))
-    return (
-        binary_metrics(tagged, label, prediction, [SIDE])
-        .join(roc_auc(tagged, label, probability, [SIDE]), SIDE)
-        .join(average_precision(tagged, label, probability, [SIDE]), SIDE)
-    )
+    # one ordered scan for both ranking metrics; the join is on the side
+    # (two rows on each side of it)
+    return binary_metrics(tagged, label, prediction, [SIDE]).join(ranking_metrics(tagged, label, probability, [SIDE]), SIDE)

@@ -5,10 +5,11 @@
   with partial aggregation, whatever the row count.
 * ROC-AUC is the exact Mann-Whitney statistic with ties at half weight:
   rows are first reduced to distinct scores with positive / negative counts,
-  then negatives below each score come from the distributed ordered scan.
-  The numerator is an exact integer (decimal) sum.
+  then running counts from high to low scores come from the distributed
+  ordered scan. The numerator is an exact integer (decimal) sum.
 * Average precision is ``sum((R_i - R_{i-1}) * P_i)`` over distinct scores in
-  descending order (not the trapezoid area), from the same reduction.
+  descending order (not the trapezoid area), from the same scan: both
+  metrics of a population cost one scan.
 
 All functions take optional ``group_by`` columns so that the same plan
 scores several populations (e.g. the two drift sides) at once.
@@ -118,28 +119,45 @@ def score_counts(df: DataFrame, label: str, score: str, group_by: Sequence[str]
     )
 
 
-def roc_auc(df: DataFrame, label: str, score: str, group_by: Sequence[str] = ()) -> DataFrame:
-    """``(group..., roc_auc)``: exact, ties count one half. Null when a group
-    has only one class."""
-    counts = score_counts(df, label, score, group_by)
-    scanned = ordered_scan(counts, order_by=[score], group_by=group_by, sums=["neg"], rank="_r")
+def ranking_metrics(df: DataFrame, label: str, score: str, group_by: Sequence[str] = ()) -> DataFrame:
+    """``(group..., roc_auc, average_precision)`` from ONE ordered scan of
+    the distinct scores, high to low.
+
+    With ``cum_pos`` / ``cum_neg`` = positives / negatives scoring at least
+    the current score, and P, N the class totals:
+
+    * ROC-AUC = (2PN - sum(pos * (2 * cum_neg - neg))) / 2PN: the subtracted
+      sum counts each (positive, negative) pair whose negative scores higher
+      twice and each tie once; numerator and denominator are exact integers
+      (decimal sums). Null when a group has only one class.
+    * average precision = sum(pos * cum_pos / (cum_pos + cum_neg)) / P.
+    """
+    counts = score_counts(df, label, score, group_by).withColumn("_desc", -F.col(score))
+    scanned = ordered_scan(counts, order_by=["_desc"], group_by=group_by, sums=["pos", "neg"], rank="_r")
     dec = T.DecimalType(38, 0)
-    # pos * (negatives strictly below + negatives tied / 2), doubled to stay integral
-    term = F.col("pos").cast(dec) * (2 * F.col("cum_neg") - F.col("neg")).cast(dec)
+    above = F.col("pos").cast(dec) * (2 * F.col("cum_neg") - F.col("neg")).cast(dec)
+    precision = F.col("cum_pos").cast(T.DoubleType()) / (F.col("cum_pos") + F.col("cum_neg")).cast(T.DoubleType())
     agg = scanned.groupBy(*group_by).agg(
-        F.sum(term).alias("_num"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")
+        F.sum(above).alias("_above"),
+        F.sum(F.col("pos") * precision).alias("_ap"),
+        F.sum("pos").alias("_p"),
+        F.sum("neg").alias("_n"),
+    )
+    pairs2 = (F.lit(2) * F.col("_p") * F.col("_n")).cast(dec)
+    auc = (pairs2 - F.col("_above")).cast(T.DoubleType()) / pairs2.cast(T.DoubleType())
+    return agg.select(
+        *group_by,
+        F.when(pairs2 == 0, F.lit(None)).otherwise(auc).alias("roc_auc"),
+        F.when(F.col("_p") == 0, F.lit(None)).otherwise(F.col("_ap") / F.col("_p")).alias("average_precision"),
     )
-    den = F.lit(2.0) * F.col("_p").cast(T.DoubleType()) * F.col("_n").cast(T.DoubleType())
-    return agg.select(*group_by, F.when(den == 0, F.lit(None)).otherwise(F.col("_num").cast(T.DoubleType()) / den).alias("roc_auc"))
+
+
+def roc_auc(df: DataFrame, label: str, score: str, group_by: Sequence[str] = ()) -> DataFrame:
+    """``(group..., roc_auc)``: exact, ties count one half."""
+    return ranking_metrics(df, label, score, group_by).select(*group_by, "roc_auc")
 
 
 def average_precision(df: DataFrame, label: str, score: str, group_by: Sequence[str] = ()) -> DataFrame:
     """``(group..., average_precision)``: precision at each distinct score
     weighted by the recall gained there, scores taken from high to low."""
-    counts = score_counts(df, label, score, group_by).withColumn("_desc", -F.col(score))
-    scanned = ordered_scan(counts, order_by=["_desc"], group_by=group_by, sums=["pos", "neg"], rank="_r")
-    precision = F.col("cum_pos").cast(T.DoubleType()) / (F.col("cum_pos") + F.col("cum_neg")).cast(T.DoubleType())
-    agg = scanned.groupBy(*group_by).agg(F.sum(F.col("pos") * precision).alias("_num"), F.sum("pos").alias("_p"))
-    return agg.select(
-        *group_by, F.when(F.col("_p") == 0, F.lit(None)).otherwise(F.col("_num") / F.col("_p")).alias("average_precision")
-    )
+    return ranking_metrics(df, label, score, group_by).select(*group_by, "average_precision")
