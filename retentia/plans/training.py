@@ -180,7 +180,7 @@ def cross_validate(
         return i, float(evaluator.evaluate(model.transform(folded.where(F.col(FOLD) == k))))
 
     with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
-        results = pool.map(inheritable_thread_target(fit), fits)
+        results = pool.map(inheritable_thread_target(folded.sparkSession)(fit), fits)
     per_candidate: dict[int, list[float]] = {}
     for i, metric in results:
         per_candidate.setdefault(i, []).append(metric)
