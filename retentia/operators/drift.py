@@ -5,7 +5,7 @@
 * ``distribution_drift``: per column PSI over reference deciles, the
   two-sample Kolmogorov-Smirnov statistic and the 1-D Wasserstein distance,
   all from ONE ordered scan: both sides are reduced to distinct (column,
-  value) counts, ranked per column with the distributed ordered scan, and
+  value) counts, ranked per column with the bucketed prefix scan, and
   the empirical CDFs are read off the running counts. Decile buckets need no
   collected cut points: a value's reference-decile bucket is
   ``floor(10 * #reference values below it / n_reference)``.
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..config import DATASET_DRIFT_SHARE, DEFAULT_CONFIG, PSI_FLOOR, RenewalConfig
 from .metrics import binary_metrics, ranking_metrics
-from .ordered import ordered_scan
+from .prefix import value_scan
 from .quantiles import long_form
 
 SIDE = "side"
@@ -94,7 +94,7 @@ def distribution_drift(
     """``(column, psi, ks_statistic, wasserstein, drifted)``."""
     counts = _value_counts(reference, current, columns)
     sizes = counts.groupBy("column").agg(F.sum("ref_cnt").alias("n_ref"), F.sum("cur_cnt").alias("n_cur"))
-    scanned = ordered_scan(counts, order_by=["value"], group_by=["column"], sums=["ref_cnt", "cur_cnt"], leads=["value"], rank="_r")
+    scanned = value_scan(counts, "value", ["column"], sums=["ref_cnt", "cur_cnt"], lead=True)
     # one row per column: a broadcast with a proven bound
     rows = scanned.join(F.broadcast(sizes), "column")
     f_ref = F.col("cum_ref_cnt").cast(T.DoubleType()) / F.col("n_ref").cast(T.DoubleType())

@@ -5,8 +5,9 @@
   with partial aggregation, whatever the row count.
 * ROC-AUC is the exact Mann-Whitney statistic with ties at half weight:
   rows are first reduced to distinct scores with positive / negative counts,
-  then running counts from high to low scores come from the distributed
-  ordered scan. The numerator is an exact integer (decimal) sum.
+  then running counts from high to low scores come from the bucketed
+  prefix scan (``operators.prefix``). The numerator is an exact integer
+  (decimal) sum.
 * Average precision is ``sum((R_i - R_{i-1}) * P_i)`` over distinct scores in
   descending order (not the trapezoid area), from the same scan: both
   metrics of a population cost one scan.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import ordered_scan
+from .prefix import value_scan
 
 
 def _div0(num: Column, den: Column) -> Column:
@@ -133,7 +134,7 @@ def ranking_metrics(df: DataFrame, label: str, score: str, group_by: Sequence[st
     * average precision = sum(pos * cum_pos / (cum_pos + cum_neg)) / P.
     """
     counts = score_counts(df, label, score, group_by).withColumn("_desc", -F.col(score))
-    scanned = ordered_scan(counts, order_by=["_desc"], group_by=group_by, sums=["pos", "neg"], rank="_r")
+    scanned = value_scan(counts, "_desc", group_by, sums=["pos", "neg"])
     dec = T.DecimalType(38, 0)
     above = F.col("pos").cast(dec) * (2 * F.col("cum_neg") - F.col("neg")).cast(dec)
     precision = F.col("cum_pos").cast(T.DoubleType()) / (F.col("cum_pos") + F.col("cum_neg")).cast(T.DoubleType())
