@@ -10,28 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def launched_by_spark() -> bool:
+    """True under ``spark-submit`` or another launcher that names a master."""
+    submit = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    return bool(
+        os.environ.get("PYSPARK_GATEWAY_PORT")
+        or os.environ.get("SPARK_MASTER")
+        or "--master" in submit
+        or "spark.master" in submit
+    )
+
+
 def get_spark(app_name: str = "retentia", cpus: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
     """A session tuned for the renewal jobs.
 
-    On a cluster the launcher owns master, memory and the checkpoint folder;
-    this only sets what the jobs rely on (AQE, UTC, Arrow, no UI). Local
-    runs get ``local[cpus]`` and a shuffle width close to the core count.
+    On a cluster the launcher owns master, memory, the shuffle width and the
+    checkpoint folder; this only sets what the jobs rely on (AQE, UTC, Arrow,
+    no UI), plus the shuffle width when one is passed explicitly. Local runs
+    get ``local[cpus]``, a larger driver heap and a shuffle width close to
+    the core count.
     """
-    builder = SparkSession.builder.appName(app_name)
-    if not os.environ.get("SPARK_MASTER") and "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
-        builder = builder.master(f"local[{cpus}]")
-    parts = shuffle_partitions or (8 if cpus == "*" else max(2, int(cpus)))
-    spark = (
-        builder.config("spark.ui.enabled", "false")
+    builder = (
+        SparkSession.builder.appName(app_name)
+        .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("RETENTIA_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
     )
+    if not launched_by_spark():
+        parts = shuffle_partitions or (8 if cpus == "*" else max(2, int(cpus)))
+        builder = (
+            builder.master(f"local[{cpus}]")
+            .config("spark.driver.memory", os.environ.get("RETENTIA_DRIVER_MEMORY", "16g"))
+            .config("spark.sql.shuffle.partitions", str(parts))
+        )
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
