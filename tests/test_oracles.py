@@ -34,3 +34,25 @@ def test_entry_contract(spark):
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(e.queries()) - set(e.oracle_sql()) == {"score_accounts", "cv_trials"}
+
+
+# Queries whose plans change shape with the data size. At sf0.01 they take
+# the small-data paths; these parameters force the paths a large table takes
+# (many value buckets per group, a coarse quantile sketch with wide brackets,
+# hot-bucket ranks by the ordered scan) and the results must not change.
+SCALE_PATH_QUERIES = ["roc_auc", "average_precision", "quality_by_side", "drift_psi", "drift_ks", "drift_wasserstein",
+                      "feature_medians", "stratified_split", "cv_folds", "top_factors"]
+
+
+@pytest.mark.parametrize("name", SCALE_PATH_QUERIES)
+def test_large_data_paths_match_oracle(spark, con, monkeypatch, name):
+    import retentia.operators.prefix as P
+    import retentia.operators.quantiles as Q
+    import retentia.operators.split as S
+
+    monkeypatch.setattr(P, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(Q, "SKETCH_ACCURACY", 200)
+    monkeypatch.setattr(S, "MAX_BUCKET_ROWS", 0)
+    got = QUERIES[name](spark, SF_ORACLE).toPandas()
+    ok, why = compare(got, con.execute(SQL[name]).df())
+    assert ok, why
