@@ -7,18 +7,22 @@ the ranking needs no global sort:
 * rows are counted per (class, first 4 hex digits of the key): at most
   65,536 buckets per class, a table bounded by the bucket count, not by the
   data; running counts over it give every bucket's offset inside its class;
-* the split only needs the rank inside the one bucket per class that holds
-  the test/train boundary; every other row is decided by its bucket alone,
-  so the full table is never shuffled (one partial aggregation and a
-  broadcast of the bounded bucket table);
+* the split collects, per class, the one bucket where the test share ends
+  (a collect bounded by the number of classes); every row of another bucket
+  is decided by comparing its bucket with that literal, a narrow projection
+  with no join and no shuffle, and only the boundary bucket's rows (about
+  n / 65,536 per class) are ranked;
 * folds need every row's rank: rows are ranked inside their (class, bucket)
-  group, about n / 65,536 rows each.
-
-If a bucket is unexpectedly large (duplicate ids hash to the same bucket:
-"one id holds a third of all rows"), the ranking falls back to the
-distributed ordered scan, which splits any group over many tasks. Both paths
-give the same exact ranks. Per-class test sizes come from a table with one
-row per class.
+  group, about n / 65,536 rows each, plus the bucket offsets (a bounded
+  broadcast table).
+
+Ranks order by (key, id, every other column): rows that tie on all of them
+are interchangeable, so a duplicated id ranks the same way on every
+recomputation. If a bucket is unexpectedly large (duplicate ids hash to the
+same bucket: "one id holds a third of all rows"), the ranking falls back to
+the distributed ordered scan, which splits any group over many tasks. Both
+paths give the same exact ranks. Per-class test sizes come from a table with
+one row per class.
 
 Test sizes follow the usual shuffle-split rule: ``n_test = ceil(share * n)``,
 ``n_train = n - n_test``; the train rows are shared out over the classes by
