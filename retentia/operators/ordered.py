@@ -1,10 +1,11 @@
 """Exact ordered scans (row numbers, running totals, next-row values) at scale.
 
 Spark's ``Window.partitionBy(g).orderBy(k)`` puts a whole group into one task,
-and a window with no ``partitionBy`` puts the whole table into one task. The
-renewal operators need ordered scans over groups that are huge by nature (two
-label classes, a dozen feature columns, two drift sides), so they use this
-instead:
+and a window with no ``partitionBy`` puts the whole table into one task. Scans
+over distinct numeric values (ranking metrics, drift) use the JVM bucketed
+scan in ``prefix``; this one serves ranks over several order keys where one
+group may be huge (a class whose boundary or fold bucket holds a duplicated
+id, the fallback for an unconfirmed quantile bracket):
 
 1. ``repartitionByRange`` on (group, order) keys: every partition holds one
    contiguous key range, so a hot group is spread over many partitions;
