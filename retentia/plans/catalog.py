@@ -249,12 +249,19 @@ def q_global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What-if profiles scored together with the whole account base."""
-    train = _train(split_features(spark, sf_dir))
+    """What-if profiles scored together with the whole account base.
+
+    The accounts' features are the materialized feature table the split
+    reads (the same coercion and rounding as building them from the raw
+    rows); only the profile rows are built here, so the order history is
+    derived once."""
+    feats = cut_lineage(features(spark, sf_dir))
+    train = _train(stratified_split(feats, CFG))
     scenarios = score_ops.scenario_inputs(spark, train, CFG)
-    inputs = score_ops.apply_scenarios(accounts(spark, sf_dir), scenarios)
-    feats = registered_features(build_renewal_features(inputs, CFG))
-    scored = score_ops.score_stand_in(feats)
+    profiles = scenarios.select("profile", F.lit(None).cast(T.LongType()).alias("account_id"), *BASE_NUMERIC_FEATURES, "subscription_plan")
+    profile_feats = registered_features(build_renewal_features(profiles, CFG))
+    account_feats = feats.select(F.lit("account").alias("profile"), "account_id", *MODEL_FEATURES)
+    scored = score_ops.score_stand_in(account_feats.unionByName(profile_feats))
     # one non-null text key for accounts and profiles alike
     subject = F.coalesce(F.col("account_id").cast(T.StringType()), F.col("profile")).alias("subject")
     out = score_ops.add_segments(scored).drop(score_ops.INSIGHT)

@@ -95,3 +95,16 @@ def test_missing_raw_inputs_are_named(spark):
     df = spark.createDataFrame([(1.0,)], "monthly_usage_hours double")
     with pytest.raises(ValueError, match="login_frequency.*subscription_plan"):
         model_frame(df)
+
+
+def test_scenario_rows_follow_accounts(spark):
+    from retentia.operators.scoring import apply_scenarios, scenario_inputs
+
+    accounts = frame(spark, [(1, 42.0, 18.0, 2.0, 1.0, 0.0, "business"), (2, 8.0, 4.0, 21.0, 4.0, 2.0, "starter")])
+    rows = apply_scenarios(accounts, scenario_inputs(spark, accounts)).collect()
+    profiles = [r["profile"] for r in rows]
+    assert profiles.count("account") == 2 and "default" in profiles and len(rows) == 2 + len(set(profiles) - {"account"})
+    default = next(r for r in rows if r["profile"] == "default")
+    assert default["monthly_usage_hours"] == 25.0 and default["account_id"] is None  # median of 42 and 8
+    built = build_renewal_features(apply_scenarios(accounts, scenario_inputs(spark, accounts)))
+    assert built.count() == len(rows)
