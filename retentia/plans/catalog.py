@@ -34,7 +34,7 @@ from ..operators.split import cv_folds, stratified_split
 from ..sources.accounts import account_table
 from ..streaming import requests as req
 from ..sources.tables import table
-from ..session import cut_lineage
+from ..session import materialize
 
 CFG = DEFAULT_CONFIG
 DERIVED_ROUNDED = ("engagement_score", "activity_ratio", "support_pressure", "payment_reliability", "usage_momentum")
@@ -75,12 +75,13 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table, materialized once per call in the shared
-    checkpoint folder (like the original's train / test files), with the
+    checkpoint folder (``session.materialize``: a checkpoint, or a parquet
+    table for large data; like the original's train / test files), with the
     split as a deterministic projection over it: the split's boundary job
     and every later operator read the checkpoint instead of re-running the
     order-history scans, and a lost executor costs a re-read, not a
     recomputation."""
-    return stratified_split(cut_lineage(features(spark, sf_dir)), CFG)
+    return stratified_split(materialize(features(spark, sf_dir), "features"), CFG)
 
 
 def scored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +256,7 @@ def q_scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads (the same coercion and rounding as building them from the raw
     rows); only the profile rows are built here, so the order history is
     derived once."""
-    feats = cut_lineage(features(spark, sf_dir))
+    feats = materialize(features(spark, sf_dir), "features")
     train = _train(stratified_split(feats, CFG))
     scenarios = score_ops.scenario_inputs(spark, train, CFG)
     profiles = scenarios.select("profile", F.lit(None).cast(T.LongType()).alias("account_id"), *BASE_NUMERIC_FEATURES, "subscription_plan")

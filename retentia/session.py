@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# "checkpoint" (default) or "parquet": how shared tables such as the feature
+# table are materialized (see ``materialize``).
+MATERIALIZE_CONF = "retentia.materialize"
 
 
 def launched_by_spark() -> bool:
@@ -80,3 +84,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage of a table that several later jobs read.
+
+    ``retentia.materialize=checkpoint`` (default): a reliable checkpoint,
+    cheapest for small tables. ``parquet``: a parquet table in the shared
+    checkpoint folder, compressed, with column pruning and filter pushdown
+    for readers that need a few columns, the better form for large tables.
+    Either way a lost executor costs a re-read, not a recomputation. Row
+    order and partitioning are not kept by the parquet form, so this is for
+    tables read as sets.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(MATERIALIZE_CONF, "checkpoint") != "parquet":
+        return cut_lineage(df)
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

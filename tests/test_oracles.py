@@ -56,3 +56,14 @@ def test_large_data_paths_match_oracle(spark, con, monkeypatch, name):
     got = QUERIES[name](spark, SF_ORACLE).toPandas()
     ok, why = compare(got, con.execute(SQL[name]).df())
     assert ok, why
+
+
+@pytest.mark.parametrize("name", ["stratified_split", "roc_auc", "drift_ks", "scenario_features"])
+def test_parquet_materialized_features_match_oracle(spark, con, name):
+    spark.conf.set("retentia.materialize", "parquet")
+    try:
+        got = QUERIES[name](spark, SF_ORACLE).toPandas()
+    finally:
+        spark.conf.unset("retentia.materialize")
+    ok, why = compare(got, con.execute(SQL[name]).df())
+    assert ok, why
