@@ -8,12 +8,13 @@ and the next value. A window over the whole group would put it in one task
 cut into value buckets that Spark can spread:
 
 1. one sketch aggregation (``percentile_approx``, partial aggregation)
-   gives each group's size and up to 1,023 cut points; a group gets as many
-   buckets (a power of two, at most 1,024) as keep about 200,000 distinct
-   values in each, so a small group is one bucket. The cut points are
-   collected (bounded: groups x 1,023 numbers) and come back as a broadcast
-   table or a literal, so every reader and every retried task assigns the
-   same buckets;
+   gives each group's size and 63 quantiles; a group gets as many buckets
+   (a power of two, at most 1,024) as keep about 200,000 distinct values in
+   each, so a small group is one bucket, and only groups that need more
+   than 64 buckets are sketched again for 1,023 quantiles. The cut points
+   are collected (bounded: groups x 1,023 numbers) and come back as a
+   broadcast table or a literal, so every reader and every retried task
+   assigns the same buckets;
 2. each row finds its bucket by binary search over its group's cut points:
    at most ten compare steps (one fold over the step widths);
 3. a window per (group, bucket) gives the running sums, the row number and
@@ -22,8 +23,10 @@ cut into value buckets that Spark can spread:
    bucket) give each bucket's offsets and the next bucket's first value,
    broadcast back with an equi-join on (group, bucket).
 
-No Python, no checkpoint: one collect of cut points, one shuffle for the
-windows, one small aggregation. Values must be unique within a group,
+When every group is one bucket, steps 2 and 4 drop out and the scan is one
+window per group (bounded by the counted size). No Python, no checkpoint:
+one collect of cut points, one shuffle for the windows, one small
+aggregation. Values must be unique within a group,
 not null and not NaN (callers aggregate to distinct values first).
 """
 
