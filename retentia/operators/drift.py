@@ -4,7 +4,7 @@
   the difference), from one aggregation pass over the tagged union.
 * ``distribution_drift``: per column PSI over reference deciles, the
   two-sample Kolmogorov-Smirnov statistic and the 1-D Wasserstein distance,
-  all from ONE ordered scan: both sides are reduced to distinct (column,
+  all from ONE prefix scan: both sides are reduced to distinct (column,
   value) counts, ranked per column with the bucketed prefix scan, and
   the empirical CDFs are read off the running counts. Decile buckets need no
   collected cut points: a value's reference-decile bucket is
@@ -162,6 +162,6 @@ def quality_by_side(
     """``(side, accuracy, precision, recall, f1, roc_auc, average_precision)``."""
     cols = [F.col(label), F.col(probability), F.col(prediction)]
     tagged = reference.select(F.lit(REFERENCE).alias(SIDE), *cols).unionByName(current.select(F.lit(CURRENT).alias(SIDE), *cols))
-    # one ordered scan for both ranking metrics; the join is on the side
+    # one prefix scan for both ranking metrics; the join is on the side
     # (two rows on each side of it)
     return binary_metrics(tagged, label, prediction, [SIDE]).join(ranking_metrics(tagged, label, probability, [SIDE]), SIDE)

@@ -121,7 +121,7 @@ def score_counts(df: DataFrame, label: str, score: str, group_by: Sequence[str]
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, group_by: Sequence[str] = ()) -> DataFrame:
-    """``(group..., roc_auc, average_precision)`` from ONE ordered scan of
+    """``(group..., roc_auc, average_precision)`` from ONE prefix scan of
     the distinct scores, high to low.
 
     With ``cum_pos`` / ``cum_neg`` = positives / negatives scoring at least
