@@ -41,7 +41,7 @@ def test_entry_contract(spark):
 # (many value buckets per group, a coarse quantile sketch with wide brackets,
 # hot-bucket ranks by the ordered scan) and the results must not change.
 SCALE_PATH_QUERIES = ["roc_auc", "average_precision", "quality_by_side", "drift_psi", "drift_ks", "drift_wasserstein",
-                      "feature_medians", "stratified_split", "cv_folds", "top_factors"]
+                      "drift_summary", "feature_medians", "scenario_features", "stratified_split", "cv_folds", "top_factors"]
 
 
 @pytest.mark.parametrize("name", SCALE_PATH_QUERIES)
