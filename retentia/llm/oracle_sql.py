@@ -31,6 +31,20 @@ SELECT doc_id,
 FROM d
 """
 
+OP6 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), d AS (
+    SELECT page_id, payload_bytes, sha256(html) AS payload_digest FROM p
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 OP9 = r"""
 WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -52,4 +66,4 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id,
 FROM x GROUP BY conv_id
 """
 
-ORACLES = {"op1_top_k": OP1, "op2_exact_dedup": OP2, "op9_chat_format": OP9}
+ORACLES = {"op1_top_k": OP1, "op2_exact_dedup": OP2, "op6_warc": OP6, "op9_chat_format": OP9}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -42,3 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a stored table up to which it may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has at most
+    ``rows`` rows; a larger one is left to an ordinary join."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
