@@ -40,6 +40,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens packed into sequences of at most 2048."""
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 #: A conversation that holds another template's marks and an end of turn.
 HOSTILE_CONV, HOSTILE_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -90,6 +97,7 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_warc": op6_warc,
+    "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
 }
