@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,10 +45,14 @@ PATTERNS = {
 #: Voters of stems induced from labelled rows.
 INDUCED = 3
 STEM_LENGTHS = (4, 5)
-#: A stem counts as toxic if so many of the distinct labelled texts with it are, and it occurs in this share of the toxic ones.
-STEM_PURITY, STEM_SUPPORT, LEAST_STEM_TEXTS = 0.97, 0.005, 3
+#: A stem counts as toxic if in both halves of the labelled texts so many of the texts with it are toxic, and it occurs
+#: in this share of the toxic ones.
+STEM_PURITY, STEM_SUPPORT, LEAST_STEM_TEXTS = 0.97, 0.02, 4
 STEMS_PER_LENGTH = 500
 
+LISTED = {w: i for i, words in enumerate(LEXICONS.values()) for w in words.split()}
+#: A listed word that labelled texts mostly contradict (it means something else in some language) has no voter.
+NO_VOTER = -1
 VOTERS = [*LEXICONS, *(f"stems_{i}" for i in range(INDUCED)), *PATTERNS]
 _LEXICON_VOTERS = len(LEXICONS) + INDUCED
 BITS = 18
@@ -72,7 +75,7 @@ class _Words(dict):
     def __init__(self, stems: dict[str, int]):
         super().__init__()
         self.stems = stems
-        self.listed = {w: 1 << i for i, words in enumerate(LEXICONS.values()) for w in words.split()}
+        self.listed = {w: 1 << i for w, i in LISTED.items() if stems.get(f"={w}") != NO_VOTER}
 
     def __missing__(self, word: str) -> int:
         if len(self) > _KNOWN_WORDS:
@@ -107,18 +110,20 @@ def _looked_at(text: str, words: _Words) -> tuple[int, np.ndarray]:
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    toxic: Counter = Counter()
+    """stem, texts and toxic texts with it, in the first and in the second half."""
+    counts: dict[str, list[int]] = {}
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        for text, label, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = set(_WORD.findall(text.as_py().lower()))
             stems = {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n}
-            seen.update(stems)
-            if label:
-                toxic.update(stems)
+            for stem in stems | {f"={w}" for w in words if w in LISTED}:
+                count = counts.setdefault(stem, [0, 0, 0, 0])
+                count[2 * half] += 1
+                count[2 * half + 1] += bool(label)
+    columns = zip(*counts.values(), strict=True) if counts else [[], [], [], []]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(seen)), pa.array(list(seen.values()), pa.int64()), pa.array([toxic[s] for s in seen], pa.int64())],
-        names=["stem", "texts", "toxic"],
+        [pa.array(list(counts), pa.string()), *(pa.array(list(c), pa.int64()) for c in columns)],
+        names=["stem", "texts_0", "toxic_0", "texts_1", "toxic_1"],
     )
 
 
@@ -130,25 +135,42 @@ def _sampled(key: Column, expected: int, of: int) -> Column:
 
 
 def induce_stems(docs: DataFrame, labels: DataFrame) -> dict[str, int]:
-    """stem -> its voter's number. ``docs``: doc_id, text; ``labels``: doc_id,
+    """stem -> its voter's number; "=word" -> NO_VOTER for listed words that
+    labelled texts contradict. ``docs``: doc_id, text; ``labels``: doc_id,
     toxic, each id once, training rows only."""
-    chosen = written(labels.where(_sampled(F.col("doc_id"), LABELLED_ROWS, labels.count())), "labelled")
+    sample = written(labels.where(_sampled(F.col("doc_id"), LABELLED_ROWS, labels.count())), "labelled")
+    # copies and most near copies of a text share its least hashed word: one of them counts
+    least_word = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
     texts = (
-        docs.join(broadcast_if_small(chosen), "doc_id")
-        .groupBy(F.xxhash64("text").alias("key"))
+        docs.join(broadcast_if_small(sample), "doc_id")
+        .groupBy(least_word.alias("key"))
         .agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+        .select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("half"))
     )
     total = texts.agg(F.sum("toxic")).first()[0] or 0
-    least = max(LEAST_STEM_TEXTS, int(STEM_SUPPORT * total))
+    least = max(LEAST_STEM_TEXTS, STEM_SUPPORT * total) / 2
+    names = ["texts_0", "toxic_0", "texts_1", "toxic_1"]
     counts = (
-        texts.select("text", "toxic")
-        .mapInArrow(_stem_counts, "stem string, texts long, toxic long")
+        texts.mapInArrow(_stem_counts, "stem string, " + ", ".join(f"{n} long" for n in names))
         .groupBy("stem")
-        .agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
-        .where((F.col("toxic") >= least) & (F.col("toxic") >= STEM_PURITY * F.col("texts")))
+        .agg(*(F.sum(n).alias(n) for n in names))
+    )
+    counts = written(
+        counts.withColumn("toxic", F.col("toxic_0") + F.col("toxic_1")).withColumn("texts", F.col("texts_0") + F.col("texts_1")),
+        "stems",
     )
-    best = counts.orderBy(F.desc("toxic"), "stem").limit(STEMS_PER_LENGTH * len(STEM_LENGTHS)).collect()
-    return {r["stem"]: i % INDUCED for i, r in enumerate(best)}
+    contradicted = counts.where(
+        F.col("stem").startswith("=") & (F.col("texts") >= LEAST_STEM_TEXTS) & (F.col("toxic") < 0.5 * F.col("texts"))
+    ).collect()  # of the listed words
+    for half in "01":
+        counts = counts.where(
+            (F.col(f"toxic_{half}") >= least) & (F.col(f"toxic_{half}") >= STEM_PURITY * F.col(f"texts_{half}"))
+        )
+    best = counts.where(~F.col("stem").startswith("=")).orderBy(F.desc("toxic"), "stem").limit(STEMS_PER_LENGTH * len(STEM_LENGTHS)).collect()
+    # stems of listed words and those a shorter stem covers would only repeat another vote
+    found = [r["stem"] for r in best if not any(w.startswith(r["stem"]) for w in LISTED)]
+    chosen = [s for s in found if not any(s != t and s.startswith(t) for t in found)]
+    return {stem: i % INDUCED for i, stem in enumerate(chosen)} | {r["stem"]: NO_VOTER for r in contradicted}
 
 
 # --- the label model -----------------------------------------------------------------
@@ -175,18 +197,31 @@ def unpacked(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(len(VOTERS))) & 1
 
 
+#: Where labels are known, the rows without one weigh together so much of those with one: votes that never meet in a
+#: text (of different languages, say) would otherwise draw the two classes apart along another line than toxicity.
+UNLABELLED_WEIGHT = 0.1
+
+
 def fit_label_model(masks: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
     """Expectation-maximisation over distinct (votes, label) rows; label 0, 1,
-    or -1 where it is not known. Correlated voters share their evidence."""
+    or -1 where it is not known. Starts from the known labels, or from a guess
+    where there are none. Correlated voters share their evidence."""
     votes, n = unpacked(masks).astype(float), len(VOTERS)
     model = LabelModel(
         0.1, np.stack([np.full(n, 0.02), np.full(n, 0.3)]), np.zeros((n, n)), np.ones(n)
     )
+    known = labels >= 0
+    seen = counts
+    if len(set(labels[known])) == 2:
+        seen = counts * np.where(known, 1.0, UNLABELLED_WEIGHT * counts[known].sum() / max(1.0, counts[~known].sum()))
+        model.rates = np.clip(
+            np.stack([(counts * (labels == c)) @ votes / counts[labels == c].sum() for c in (0, 1)]), 1e-4, 1 - 1e-4
+        )
     for _ in range(rounds):
-        y = np.where(labels >= 0, labels, model.posterior(votes)) if len(votes) else np.zeros(0)
-        toxic, clean = counts * y, counts * (1 - y)
-        rates = np.stack([(w @ votes + 0.5 * r) / (w.sum() + 0.5) for w, r in ((clean, 0.02), (toxic, 0.3))])
-        share = (toxic.sum() + 0.1) / (counts.sum() + 1)
+        y = np.where(known, labels, model.posterior(votes)) if len(votes) else np.zeros(0)
+        toxic, clean = seen * y, seen * (1 - y)
+        rates = np.stack([(w @ votes + 0.5 * guess) / (w.sum() + 0.5) for w, guess in ((clean, 0.02), (toxic, 0.3))])
+        share = (toxic.sum() + 0.1) / (seen.sum() + 1)
         rates = np.clip(rates, 1e-6, 1 - 1e-6)
         spread = np.zeros((n, n))
         for w, rate in ((clean, rates[0]), (toxic, rates[1])):
@@ -195,9 +230,8 @@ def fit_label_model(masks: np.ndarray, labels: np.ndarray, counts: np.ndarray, r
         deviation = np.sqrt(np.maximum(np.diag(spread), 1e-12))
         correlations = spread / np.outer(deviation, deviation)
         np.fill_diagonal(correlations, 0)
-        model = LabelModel(
-            float(np.clip(share, 1e-4, 1 - 1e-4)), rates, correlations, 1 / (1 + np.maximum(correlations, 0).sum(axis=1))
-        )
+        model = LabelModel(float(np.clip(share, 1e-4, 1 - 1e-4)), rates, correlations, np.ones(n))
+    model.weights = 1 / (1 + np.maximum(model.correlations, 0).sum(axis=1))
     return model
 
 
@@ -219,17 +253,30 @@ class ToxicityModel:
         return 1 / (1 + float(np.exp(-np.clip(margin, -50, 50))))
 
 
-def fit_classifier(votes: np.ndarray, features: list[np.ndarray], target: np.ndarray, rounds: int = 150):
+def _on_votes(votes: np.ndarray, target: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Bias and vote weights by Newton's method."""
+    a = np.concatenate([np.ones((len(votes), 1)), votes], axis=1)
+    ridge = np.diag([1e-6] + [1e-4] * votes.shape[1])
+    x, n = np.zeros(a.shape[1]), max(1, len(votes))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ x, -30, 30)))
+        slope = a.T @ (p - target) / n + ridge @ x
+        x -= np.linalg.solve((a * (p * (1 - p) + 1e-6)[:, None]).T @ a / n + ridge, slope)
+    return x
+
+
+def fit_classifier(votes: np.ndarray, features: list[np.ndarray], target: np.ndarray, rounds: int = 60):
     """(bias, vote weights, feature weights): logistic regression on soft
-    labels, features of unit length, by Adam with an L2 penalty."""
+    labels, features of unit length, by Adam with an L2 penalty. Starts from
+    the regression on the votes alone."""
     width = (len(STEM_LENGTHS) + 1) * BUCKETS
     sizes = np.array([len(f) for f in features], dtype=np.int64)
     flat = np.concatenate(features).astype(np.int64) if len(features) else np.zeros(0, dtype=np.int64)
     used, at = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(sizes)), sizes)
     value = 1 / np.sqrt(np.maximum(sizes, 1))[row]
-    x = np.zeros(1 + votes.shape[1] + len(used))
-    penalty = np.concatenate([[0.0], np.full(votes.shape[1], 1e-5), np.full(len(used), 1e-3)])
+    x = np.concatenate([_on_votes(votes, target), np.zeros(len(used))])
+    penalty = np.concatenate([[0.0], np.full(votes.shape[1], 1e-5), np.full(len(used), 1e-2)])
     m, v, n = np.zeros_like(x), np.zeros_like(x), max(1, len(sizes))
     k = 1 + votes.shape[1]
     for t in range(1, rounds + 1):
@@ -238,7 +285,7 @@ def fit_classifier(votes: np.ndarray, features: list[np.ndarray], target: np.nda
         slope = np.concatenate([[wrong.sum()], votes.T @ wrong, np.bincount(at, weights=wrong[row] * value, minlength=len(used))])
         slope += penalty * x
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        x -= 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-12)
+        x -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-12)
     weights = np.zeros(width, dtype=np.float32)
     weights[used] = x[k:]
     return float(x[0]), x[1:k], weights
