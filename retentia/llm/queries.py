@@ -40,6 +40,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles are similar."""
+    from .jaccard_join import JaccardJoin
+
+    done = JaccardJoin(_table(spark, sf_dir, "documents"), words=3, percent=90).result()
+    return done.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived, then read back from the archives."""
     from .warc import page_records, read_archives, write_archives
@@ -105,6 +113,7 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_warc": op6_warc,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
