@@ -56,6 +56,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability; a fifth of them is held out."""
+    from .katz import katz_scores
+
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 1
+    return katz_scores(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens packed into sequences of at most 2048."""
     from .packing import pack
@@ -115,6 +123,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_warc": op6_warc,
+    "op7_katz": op7_katz,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
