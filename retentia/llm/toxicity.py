@@ -139,11 +139,12 @@ def induce_stems(docs: DataFrame, labels: DataFrame) -> dict[str, int]:
     labelled texts contradict. ``docs``: doc_id, text; ``labels``: doc_id,
     toxic, each id once, training rows only."""
     sample = written(labels.where(_sampled(F.col("doc_id"), LABELLED_ROWS, labels.count())), "labelled")
-    # copies and most near copies of a text share its least hashed word: one of them counts
-    least_word = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
+    # copies and most near copies of a text share its least hashed words: one of them counts
+    hashed = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
+    least_words = F.slice(F.array_sort(hashed), 1, 4)
     texts = (
         docs.join(broadcast_if_small(sample), "doc_id")
-        .groupBy(least_word.alias("key"))
+        .groupBy(least_words.alias("key"))
         .agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
         .select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("half"))
     )
