@@ -64,6 +64,7 @@ TEST_SHARE = 0.2
 RANDOM_STATE = 111
 CV_FOLDS = 3
 N_TRIALS = 25
+CV_METRIC = "roc_auc"
 PREDICTION_THRESHOLD = 0.5
 EVALUATION_THRESHOLD = 0.5
 TOP_K = 5
@@ -140,6 +141,7 @@ class RenewalConfig:
     random_state: int = RANDOM_STATE
     cv_folds: int = CV_FOLDS
     n_trials: int = N_TRIALS
+    cv_metric: str = CV_METRIC
     prediction_threshold: float = PREDICTION_THRESHOLD
     top_k: int = TOP_K
     gbt_ranges: tuple[tuple[str, tuple[Any, ...]], ...] = GBT_RANGES
@@ -200,6 +202,8 @@ class RenewalConfig:
         for src, dst in (("cv_folds", "cv_folds"), ("n_trials", "n_trials")):
             if src in training:
                 changes[dst] = int(training[src])
+        if "scoring" in training:
+            changes["cv_metric"] = str(training["scoring"])
         if "prediction_threshold" in training:
             changes["prediction_threshold"] = float(training["prediction_threshold"])
         if "gradient_boosting" in raw:

@@ -21,15 +21,20 @@ NUMERIC_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 EDGE_BLANKS = r"(?U)^\s+|\s+$"
 
 
-def coerce_numeric(col: str | Column, data_type: T.DataType | None = None) -> Column:
-    """Unparsable, null or NaN -> 0.0, everything else as double."""
+def parse_numeric(col: str | Column, data_type: T.DataType | None = None) -> Column:
+    """Unparsable, null or NaN -> null, everything else as double."""
     c = F.col(col) if isinstance(col, str) else col
     if isinstance(data_type, T.StringType):
         text = F.regexp_replace(c, EDGE_BLANKS, "")
         parsed = F.when(c.rlike(NUMERIC_TEXT), text.try_cast(T.DoubleType()))
     else:
         parsed = c.cast(T.DoubleType())
-    return F.coalesce(F.nanvl(parsed, F.lit(None).cast(T.DoubleType())), F.lit(0.0))
+    return F.nanvl(parsed, F.lit(None).cast(T.DoubleType()))
+
+
+def coerce_numeric(col: str | Column, data_type: T.DataType | None = None) -> Column:
+    """Unparsable, null or NaN -> 0.0, everything else as double."""
+    return F.coalesce(parse_numeric(col, data_type), F.lit(0.0))
 
 
 def normalize_plan(col: str | Column, allowed: Iterable[str], default: str) -> Column:

@@ -29,6 +29,7 @@ from ..config import DATASET_DRIFT_SHARE, DEFAULT_CONFIG, PSI_FLOOR, RenewalConf
 from .metrics import binary_metrics, ranking_metrics
 from .prefix import value_scan
 from .quantiles import long_form
+from ..session import stored
 
 SIDE = "side"
 REFERENCE = "reference"
@@ -91,30 +92,32 @@ def distribution_drift(
     columns: Sequence[str],
     config: RenewalConfig = DEFAULT_CONFIG,
 ) -> DataFrame:
-    """``(column, psi, ks_statistic, wasserstein, drifted)``."""
-    counts = _value_counts(reference, current, columns)
+    """``(column, psi, ks_statistic, wasserstein, drifted)``; all null where a
+    side has no value of the column. A column without any value has no row."""
+    counts = stored(_value_counts(reference, current, columns), "drift_counts")
     sizes = counts.groupBy("column").agg(F.sum("ref_cnt").alias("n_ref"), F.sum("cur_cnt").alias("n_cur"))
-    scanned = value_scan(counts, "value", ["column"], sums=["ref_cnt", "cur_cnt"], lead=True)
+    scanned = value_scan(counts, "value", ["column"], sums=["ref_cnt", "cur_cnt"], lead=True, input_stored=True)
     # one row per column: a broadcast with a proven bound
     rows = scanned.join(F.broadcast(sizes), "column")
-    f_ref = F.col("cum_ref_cnt").cast(T.DoubleType()) / F.col("n_ref").cast(T.DoubleType())
-    f_cur = F.col("cum_cur_cnt").cast(T.DoubleType()) / F.col("n_cur").cast(T.DoubleType())
+    # a side without values has no distribution: all statistics are null
+    f_ref = F.try_divide(F.col("cum_ref_cnt").cast(T.DoubleType()), F.col("n_ref").cast(T.DoubleType()))
+    f_cur = F.try_divide(F.col("cum_cur_cnt").cast(T.DoubleType()), F.col("n_cur").cast(T.DoubleType()))
     gap = F.abs(f_ref - f_cur)
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
 
     b = int(config.psi_buckets)
     below = F.col("cum_ref_cnt") - F.col("ref_cnt")
-    bucket = F.least(F.lit(b - 1).cast(T.LongType()), F.floor(F.lit(b) * below / F.col("n_ref")).cast(T.LongType()))
+    bucket = F.least(F.lit(b - 1).cast(T.LongType()), F.floor(F.try_divide(F.lit(b) * below, F.col("n_ref"))).cast(T.LongType()))
     # one pass: per (column, decile bucket) the shares and the partial KS /
     # Wasserstein terms, then per column (at most b rows per column)
     per_bucket = rows.groupBy("column", bucket.alias("bucket")).agg(
-        (F.sum("ref_cnt") / F.first("n_ref")).alias("p_ref"),
-        (F.sum("cur_cnt") / F.first("n_cur")).alias("p_cur"),
+        F.try_divide(F.sum("ref_cnt"), F.first("n_ref")).alias("p_ref"),
+        F.try_divide(F.sum("cur_cnt"), F.first("n_cur")).alias("p_cur"),
         F.max(gap).alias("_ks"),
         F.sum(gap * step).alias("_w"),
     )
     floor = F.lit(PSI_FLOOR)
-    pr, pc = F.greatest(F.col("p_ref"), floor), F.greatest(F.col("p_cur"), floor)
+    pr, pc = (F.when(F.col(p).isNotNull(), F.greatest(F.col(p), floor)) for p in ("p_ref", "p_cur"))
     out = per_bucket.groupBy("column").agg(
         F.sum((pc - pr) * F.log(pc / pr)).alias("psi"),
         F.max("_ks").alias("ks_statistic"),
@@ -143,9 +146,9 @@ def drift_summary(drift: DataFrame, reference: DataFrame, current: DataFrame) ->
         .unionByName(current.select(*part(zero, zero, zero, one)))
     )
     totals = parts.agg(
-        F.sum("c").alias("n_columns"), F.sum("d").alias("n_drifted"), F.sum("r").alias("reference_rows"), F.sum("k").alias("current_rows")
+        F.sum("c").alias("n_columns"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_drifted"), F.sum("r").alias("reference_rows"), F.sum("k").alias("current_rows")
     )
-    share = F.col("n_drifted") / F.col("n_columns")
+    share = F.try_divide(F.col("n_drifted"), F.col("n_columns"))
     return totals.select(
         "n_columns",
         "n_drifted",
@@ -157,10 +160,11 @@ def drift_summary(drift: DataFrame, reference: DataFrame, current: DataFrame) ->
 
 
 def quality_by_side(
-    reference: DataFrame, current: DataFrame, label: str, probability: str, prediction: str
+    reference: DataFrame, current: DataFrame, label: str, probability: str, prediction: str, positive: int = 1
 ) -> DataFrame:
     """``(side, accuracy, precision, recall, f1, roc_auc, average_precision)``."""
-    cols = [F.col(label), F.col(probability), F.col(prediction)]
+    # predictions are 1 for the positive class, whatever its value is in the label
+    cols = [(F.col(label) == positive).cast(T.IntegerType()).alias(label), F.col(probability), F.col(prediction)]
     tagged = reference.select(F.lit(REFERENCE).alias(SIDE), *cols).unionByName(current.select(F.lit(CURRENT).alias(SIDE), *cols))
     # one prefix scan for both ranking metrics; the join is on the side
     # (two rows on each side of it)

@@ -42,7 +42,7 @@ class ExplanationBasis:
 
 
 def fit_basis(
-    training: DataFrame,
+    training: DataFrame | None,
     importances: Sequence[float] | Mapping[str, float] | None = None,
     config: RenewalConfig = DEFAULT_CONFIG,
     medians: Mapping[str, float] | None = None,
@@ -104,6 +104,18 @@ def top_factors(df: DataFrame, basis: ExplanationBasis, k: int, keep: Sequence[s
     )
 
 
+def top_factor_list(basis: ExplanationBasis, k: int) -> Column:
+    """The ``k`` largest |contribution| of a row as an array of {feature,
+    feature_value, shap_value}, ties in feature order."""
+    ranked = F.slice(F.sort_array(_entries(basis), asc=True), 1, int(k))
+    return F.transform(
+        ranked,
+        lambda e: F.struct(
+            e["feature"].alias("feature"), e["feature_value"].alias("feature_value"), e["contribution"].alias("shap_value")
+        ),
+    )
+
+
 def global_importance(df: DataFrame, basis: ExplanationBasis) -> DataFrame:
     """Mean |contribution| per feature over all rows, one aggregation pass:
     ``feature_index, feature, mean_abs_contribution``."""

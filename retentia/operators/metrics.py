@@ -45,10 +45,15 @@ def confusion_counts(df: DataFrame, label: str, prediction: str, group_by: Seque
     )
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str, group_by: Sequence[str] = ()) -> DataFrame:
+def confusion_matrix(
+    df: DataFrame, label: str, prediction: str, group_by: Sequence[str] = (), positive: int = 1
+) -> DataFrame:
     """Long form ``(group..., actual, predicted, count)``: all four cells,
-    zeros included (``[[tn, fp], [fn, tp]]``)."""
-    counts = confusion_counts(df, label, prediction, group_by)
+    zeros included (``[[tn, fp], [fn, tp]]``); 1 stands for the positive class."""
+    return matrix_from_counts(confusion_counts(df, label, prediction, group_by, positive), group_by)
+
+
+def matrix_from_counts(counts: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     cells = F.array(
         F.struct(F.lit(0).alias("actual"), F.lit(0).alias("predicted"), F.col("tn").alias("count")),
         F.struct(F.lit(0).alias("actual"), F.lit(1).alias("predicted"), F.col("fp").alias("count")),
@@ -70,17 +75,25 @@ def metrics_from_counts(counts: DataFrame, group_by: Sequence[str] = ()) -> Data
     )
 
 
-def binary_metrics(df: DataFrame, label: str, prediction: str, group_by: Sequence[str] = ()) -> DataFrame:
+def binary_metrics(
+    df: DataFrame, label: str, prediction: str, group_by: Sequence[str] = (), positive: int = 1
+) -> DataFrame:
     """``(group..., accuracy, precision, recall, f1)`` of the positive class."""
-    return metrics_from_counts(confusion_counts(df, label, prediction, group_by), group_by)
+    return metrics_from_counts(confusion_counts(df, label, prediction, group_by, positive), group_by)
+
+
+def classification_report(
+    df: DataFrame, label: str, prediction: str, group_by: Sequence[str] = (), positive: int = 1
+) -> DataFrame:
+    """``report_from_counts`` of a scored table."""
+    return report_from_counts(confusion_counts(df, label, prediction, group_by, positive), group_by)
 
 
-def classification_report(df: DataFrame, label: str, prediction: str, group_by: Sequence[str] = ()) -> DataFrame:
+def report_from_counts(c: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """Per-class precision / recall / F1 / support, then accuracy, macro and
     support-weighted averages: ``(group..., label, precision, recall,
     f1_score, support)``. The accuracy row repeats accuracy in the three
     score columns and carries the total as support."""
-    c = confusion_counts(df, label, prediction, group_by)
     tn, fp, fn, tp = (F.col(x) for x in ("tn", "fp", "fn", "tp"))
     s0, s1 = (tn + fp).cast(T.DoubleType()), (tp + fn).cast(T.DoubleType())
     total = s0 + s1
@@ -120,7 +133,9 @@ def score_counts(df: DataFrame, label: str, score: str, group_by: Sequence[str]
     )
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, group_by: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, label: str, score: str, group_by: Sequence[str] = (), positive: int = 1
+) -> DataFrame:
     """``(group..., roc_auc, average_precision)`` from ONE prefix scan of
     the distinct scores, high to low.
 
@@ -133,10 +148,9 @@ def ranking_metrics(df: DataFrame, label: str, score: str, group_by: Sequence[st
       (decimal sums). Null when a group has only one class.
     * average precision = sum(pos * cum_pos / (cum_pos + cum_neg)) / P.
     """
-    counts = score_counts(df, label, score, group_by).withColumn("_desc", -F.col(score))
+    counts = score_counts(df, label, score, group_by, positive).withColumn("_desc", -F.col(score))
     scanned = value_scan(counts, "_desc", group_by, sums=["pos", "neg"])
-    dec = T.DecimalType(38, 0)
-    above = F.col("pos").cast(dec) * (2 * F.col("cum_neg") - F.col("neg")).cast(dec)
+    above = F.col("pos").cast(T.DecimalType(18, 0)) * (2 * F.col("cum_neg") - F.col("neg")).cast(T.DecimalType(19, 0))
     precision = F.col("cum_pos").cast(T.DoubleType()) / (F.col("cum_pos") + F.col("cum_neg")).cast(T.DoubleType())
     agg = scanned.groupBy(*group_by).agg(
         F.sum(above).alias("_above"),
@@ -144,7 +158,7 @@ def ranking_metrics(df: DataFrame, label: str, score: str, group_by: Sequence[st
         F.sum("pos").alias("_p"),
         F.sum("neg").alias("_n"),
     )
-    pairs2 = (F.lit(2) * F.col("_p") * F.col("_n")).cast(dec)
+    pairs2 = F.lit(2).cast(T.DecimalType(1, 0)) * F.col("_p").cast(T.DecimalType(18, 0)) * F.col("_n").cast(T.DecimalType(18, 0))
     auc = (pairs2 - F.col("_above")).cast(T.DoubleType()) / pairs2.cast(T.DoubleType())
     return agg.select(
         *group_by,
@@ -153,12 +167,16 @@ def ranking_metrics(df: DataFrame, label: str, score: str, group_by: Sequence[st
     )
 
 
-def roc_auc(df: DataFrame, label: str, score: str, group_by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(
+    df: DataFrame, label: str, score: str, group_by: Sequence[str] = (), positive: int = 1
+) -> DataFrame:
     """``(group..., roc_auc)``: exact, ties count one half."""
-    return ranking_metrics(df, label, score, group_by).select(*group_by, "roc_auc")
+    return ranking_metrics(df, label, score, group_by, positive).select(*group_by, "roc_auc")
 
 
-def average_precision(df: DataFrame, label: str, score: str, group_by: Sequence[str] = ()) -> DataFrame:
+def average_precision(
+    df: DataFrame, label: str, score: str, group_by: Sequence[str] = (), positive: int = 1
+) -> DataFrame:
     """``(group..., average_precision)``: precision at each distinct score
     weighted by the recall gained there, scores taken from high to low."""
-    return ranking_metrics(df, label, score, group_by).select(*group_by, "average_precision")
+    return ranking_metrics(df, label, score, group_by, positive).select(*group_by, "average_precision")

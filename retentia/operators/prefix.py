@@ -7,27 +7,24 @@ and the next value. A window over the whole group would put it in one task
 (a group may be a single score column holding every row), so the order is
 cut into value buckets that Spark can spread:
 
-1. one sketch aggregation (``percentile_approx``, partial aggregation)
-   gives each group's size and 63 quantiles; a group gets as many buckets
-   (a power of two, at most 1,024) as keep about 200,000 distinct values in
-   each, so a small group is one bucket, and only groups that need more
-   than 64 buckets are sketched again for 1,023 quantiles. The cut points
-   are collected (bounded: groups x 1,023 numbers) and come back as a
-   broadcast table or a literal, so every reader and every retried task
+1. the table is stored once (Parquet in the shared folder) and counted per
+   group; a group gets as many buckets (a power of two, without an upper
+   limit) as keep about 200,000 distinct values in each;
+2. one sketch aggregation (``percentile_approx``, partial aggregation, with an
+   accuracy of ten times the bucket count) gives the cut points. They are
+   collected (one number per bucket: a 200,000th of the rows) and come back as
+   a broadcast table or a literal, so every reader and every retried task
    assigns the same buckets;
-2. each row finds its bucket by binary search over its group's cut points:
-   at most ten compare steps (one fold over the step widths);
-3. a window per (group, bucket) gives the running sums, the row number and
+3. each row finds its bucket by binary search over its group's cut points
+   (one fold over the step widths);
+4. a window per (group, bucket) gives the running sums, the row number and
    the next value inside the bucket;
-4. per (group, bucket) totals and first values (bounded: one row per
-   bucket) give each bucket's offsets and the next bucket's first value,
-   broadcast back with an equi-join on (group, bucket).
-
-When every group is one bucket, steps 2 and 4 drop out and the scan is one
-window per group (bounded by the counted size). No Python, no checkpoint:
-one collect of cut points, one shuffle for the windows, one small
-aggregation. Values must be unique within a group,
-not null and not NaN (callers aggregate to distinct values first).
+5. per (group, bucket) totals and first values (one row per bucket, taken
+   from the stored table before the window) give each bucket's offsets and
+   the next bucket's first value, joined back on (group, bucket).
+
+No Python, no size-dependent second method. Values must be unique within a
+group, not null and not NaN (callers aggregate to distinct values first).
 """
 
 from __future__ import annotations
@@ -39,57 +36,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed parameters: most buckets per group (a power of two), distinct values
-# per bucket that a window task handles comfortably, and the sketch accuracy.
-BUCKETS = 1024
+from ..session import stored
+
+# Fixed parameters: distinct values per bucket that a window task handles
+# comfortably, and the least sketch accuracy.
 BUCKET_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 BUCKET = "_vbucket"
 CUTS = "_vcuts"
 
 
-def _quantile_rows(df: DataFrame, value: str, group_by: Sequence[str], buckets: int, where=None) -> list:
-    pcts = [i / buckets for i in range(1, buckets)]
-    aggs = [
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(F.col(value).cast(T.DoubleType()), pcts, SKETCH_ACCURACY).alias("_cuts"),
-    ]
-    src = df if where is None else df.where(where)
-    return (src.groupBy(*group_by).agg(*aggs) if group_by else src.agg(*aggs)).collect()
-
-
-def _cut_points(df: DataFrame, value: str, group_by: Sequence[str], buckets: int) -> list[tuple[tuple, list[float]]]:
-    """Per group: the cut points of its buckets. A group gets the smallest
-    power of two of buckets that keeps about ``BUCKET_ROWS`` values in each
-    (one bucket, no cut point, for a small group); the cut points are every
-    (buckets / b)-th quantile of a sketch. A first job gives sizes and 63
-    quantiles; only groups that need more than 64 buckets are sketched again
-    with all ``buckets - 1`` quantiles."""
-    coarse = min(64, buckets)
-    rows = {tuple(r[g] for g in group_by): r for r in _quantile_rows(df, value, group_by, coarse)}
+def _cut_points(df: DataFrame, value: str, group_by: Sequence[str]) -> list[tuple[tuple, list[float]]]:
+    """Per group the cut points of its buckets (none for one bucket): every
+    (buckets / b)-th quantile of one sketch, b the group's own number."""
+    sizes = {tuple(r[g] for g in group_by): r["_n"] for r in df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_n")).collect()}
     wanted = {}
-    for key, r in rows.items():
+    for key, n in sizes.items():
         b = 1
-        while b < buckets and b * BUCKET_ROWS < int(r["_n"] or 0):
+        while b * BUCKET_ROWS < n:
             b *= 2
         wanted[key] = b
-    fine = [k for k, b in wanted.items() if b > coarse]
-    if fine:
-        cond = F.lit(False)
-        for key in fine:
-            same = F.lit(True)
-            for g, k in zip(group_by, key):
-                same = same & F.col(g).eqNullSafe(F.lit(k))
-            cond = cond | same
-        for r in _quantile_rows(df, value, group_by, buckets, cond if group_by else None):
-            rows[tuple(r[g] for g in group_by)] = r
+    buckets = max(wanted.values(), default=1)
+    if buckets == 1:
+        return [(key, []) for key in wanted]
+    pcts = [i / buckets for i in range(1, buckets)]
+    sketch = F.percentile_approx(F.col(value).cast(T.DoubleType()), pcts, max(SKETCH_ACCURACY, 10 * buckets))
+    rows = df.groupBy(*group_by).agg(sketch.alias("_cuts")).collect()
     out = []
-    for key, r in rows.items():
-        b = wanted[key]
-        cuts = list(r["_cuts"] or [])
-        step = (len(cuts) + 1) // b if b > 1 else 1
-        points = [float(x) for x in cuts[step - 1 :: step]][: b - 1] if b > 1 else []
-        out.append((key, points))
+    for r in rows:
+        key = tuple(r[g] for g in group_by)
+        step = buckets // wanted[key]
+        out.append((key, [float(x) for x in r["_cuts"][step - 1 :: step]]))
     return out
 
 
@@ -103,7 +80,7 @@ def _sql_double(x: float) -> str:
 
 def _array_literal(points: Sequence[float]) -> Column:
     """One SQL literal per array (one driver-to-JVM call, constant-folded)."""
-    return F.expr("array(" + ", ".join(_sql_double(p) for p in points) + ")")
+    return F.expr("CAST(array(" + ", ".join(_sql_double(p) for p in points) + ") AS ARRAY<DOUBLE>)")
 
 
 def _bucket_of(value: Column, cuts: Column, longest: int) -> Column:
@@ -132,20 +109,22 @@ def value_scan(
     sums: Sequence[str] = (),
     lead: bool = False,
     rank: str = "_r",
-    buckets: int = BUCKETS,
+    input_stored: bool = False,
 ) -> DataFrame:
     """Adds ``rank`` (1-based), ``cum_<s>`` (inclusive running sums) and,
     with ``lead``, ``next_<value>`` (null on a group's last row) in value
-    order within each group. Group keys must not be null."""
+    order within each group. Group keys must not be null. ``input_stored``:
+    ``df`` is a stored table already."""
     group_by, sums = list(group_by), list(sums)
-    cuts = _cut_points(df, value, group_by, buckets)
+    # read for the sizes, the cut points, the totals and the scan
+    df = df if input_stored else stored(df, "value_counts")
+    cuts = _cut_points(df, value, group_by)
     longest = max((len(p) for _, p in cuts), default=0)
     v = F.col(value).cast(T.DoubleType())
 
-    if longest == 0:  # every group fits one bucket
-        bucketed = df.withColumn(BUCKET, F.lit(0))
-    elif not group_by:
-        bucketed = df.withColumn(BUCKET, _bucket_of(v, _array_literal(cuts[0][1]), longest).cast(T.IntegerType()))
+    if not group_by:
+        points = cuts[0][1] if cuts else []
+        bucketed = df.withColumn(BUCKET, _bucket_of(v, _array_literal(points), longest).cast(T.IntegerType()))
     else:
         # one row per group that needs cut points: a bounded broadcast table
         fields = {f.name: f for f in df.schema.fields}
@@ -163,17 +142,8 @@ def value_scan(
     if lead:
         cols["_in_next"] = F.lead(value).over(inside)
     windowed = bucketed.withColumns(cols)
-    if longest == 0:
-        # every group is one bucket of at most BUCKET_ROWS values (counted by
-        # the sketch job): no offsets, no next bucket
-        out = windowed.withColumns({f"cum_{s}": F.col(f"_in_{s}") for s in sums})
-        if lead:
-            out = out.withColumn(f"next_{value}", F.col("_in_next"))
-        return out.drop(BUCKET, "_in_next", *[f"_in_{s}" for s in sums])
-
-    # one row per (group, bucket): totals, offsets and the next first value;
-    # read from the windowed rows, already partitioned on (group, bucket)
-    totals = windowed.groupBy(*keys).agg(
+    # one row per (group, bucket): totals, offsets and the next first value
+    totals = bucketed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(value).alias("_first"),
         *[F.sum(F.coalesce(F.col(s), F.lit(0))).alias(f"_t_{s}") for s in sums],
@@ -186,7 +156,7 @@ def value_scan(
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
         F.lead("_first").over(ordered).alias("_next_first"),
     )
-    out = windowed.join(F.broadcast(offsets), keys)
+    out = windowed.join(offsets, keys)
     fixes = {rank: F.col(rank) + F.col("_off_n")}
     for s in sums:
         fixes[f"cum_{s}"] = F.col(f"_in_{s}") + F.col(f"_off_{s}")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import BASE_NUMERIC_FEATURES, DEFAULT_CONFIG, PLAN_COLUMN, PLAN_MAX_LENGTH, PLAN_MIN_LENGTH, RenewalConfig
+from ..functions.columns import parse_numeric
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -37,12 +38,17 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(pairs))
 
 
+def _target(df: DataFrame, target: str) -> F.Column:
+    """The target as a number, null where it is none (the same grammar as for
+    numeric inputs); typed targets keep their type."""
+    kind = df.schema[target].dataType
+    return F.col(target) if isinstance(kind, _NUMERIC) else parse_numeric(target, kind)
+
+
 def target_classes(df: DataFrame, target: str) -> DataFrame:
     """Distinct numeric target values, sorted; text that does not parse is dropped."""
-    field = df.schema[target].dataType
-    value = F.col(target) if isinstance(field, _NUMERIC) else F.col(target).try_cast(T.DoubleType())
     return (
-        df.select(value.alias("target_class"))
+        df.select(_target(df, target).alias("target_class"))
         .where(F.col("target_class").isNotNull() & ~F.isnan(F.col("target_class").cast(T.DoubleType())))
         .distinct()
         .orderBy("target_class")
@@ -55,7 +61,8 @@ def validation_profile(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) ->
     All of it comes from one pass over the data.
     """
     cols = [c for c in config.source_columns if c in df.columns]
-    target = F.col(config.target).cast(T.DoubleType())
+    target = _target(df, config.target).cast(T.DoubleType())
+    target = F.nanvl(target, F.lit(None).cast(T.DoubleType()))
     aggs = [F.count(F.lit(1)).alias("row_count")]
     aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"_n_{c}") for c in cols]
     aggs += [
@@ -76,12 +83,14 @@ def validation_profile(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) ->
     )
 
 
-def contract_checks() -> list[F.Column]:
-    """One nullable code per rule: numbers present and >= 0, plan 3..32 chars."""
+def contract_checks(df: DataFrame) -> list[F.Column]:
+    """One nullable code per rule: numbers present (text that is no number
+    counts as missing) and >= 0, plan 3..32 chars."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     checks: list[F.Column] = []
     for c in BASE_NUMERIC_FEATURES:
-        v = F.col(c).cast(T.DoubleType())
-        checks.append(F.when(v.isNull() | F.isnan(v), F.lit(f"{c}:missing")))
+        v = parse_numeric(c, kinds[c])
+        checks.append(F.when(v.isNull(), F.lit(f"{c}:missing")))
         checks.append(F.when(v < 0, F.lit(f"{c}:negative")))
     plan_len = F.char_length(F.col(PLAN_COLUMN))
     checks.append(F.when(F.col(PLAN_COLUMN).isNull(), F.lit(f"{PLAN_COLUMN}:missing")))
@@ -92,7 +101,7 @@ def contract_checks() -> list[F.Column]:
 def contract_violations(df: DataFrame, id_column: str = "account_id") -> DataFrame:
     """Per-row contract of the scoring request (re-aimed from request
     validation to whole tables): id, comma-joined codes, count, validity."""
-    checks = contract_checks()
+    checks = contract_checks(df)
     count = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in checks), F.lit(0))
     return df.select(
         F.col(id_column),
@@ -104,52 +113,54 @@ def contract_violations(df: DataFrame, id_column: str = "account_id") -> DataFra
 
 def split_by_contract(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined rows + their codes); narrow filters, no join."""
-    tagged = df.withColumn("violations", F.concat_ws(",", *contract_checks()))
+    tagged = df.withColumn("violations", F.concat_ws(",", *contract_checks(df)))
     good = tagged.where(F.col("violations") == "").drop("violations")
     bad = tagged.where(F.col("violations") != "")
     return good, bad
 
 
-def validate_dataset(
+def check_accounts(
     df: DataFrame,
     config: RenewalConfig = DEFAULT_CONFIG,
     report_path: str | None = None,
     data_path: str = "",
 ) -> dict[str, Any]:
-    """Validation report (written first, as JSON via Spark), then errors.
+    """Validation report (written first, by the executors), then errors.
 
-    The report is small by construction: counts per expected column and the
-    class list only when it is short (otherwise its size).
+    ``report_path`` gets two tables: ``summary`` (one JSON row: counts, nulls,
+    target class count and range) and ``target_classes`` (one row per class,
+    however many there are).
     """
+    spark = df.sparkSession
     missing = missing_columns(df, config.source_columns)
     present = [c for c in config.source_columns if c in df.columns]
-    aggs = [F.count(F.lit(1)).alias("row_count")] + [F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in present]
+    labelled = config.target in df.columns
+    aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in present]
+    if labelled:
+        y = F.nanvl(_target(df, config.target).cast(T.DoubleType()), F.lit(None).cast(T.DoubleType()))
+        aggs += [F.count_distinct(y).alias("_classes"), F.min(y).alias("_least"), F.max(y).alias("_largest")]
     row = df.agg(*aggs).first()
     nulls = {c: int(row[c]) for c in present}
-    classes: list[Any] = []
-    class_count = 0
-    if config.target in df.columns:
-        distinct = target_classes(df, config.target)
-        class_count = distinct.count()
-        if class_count <= 16:
-            classes = [r["target_class"] for r in distinct.collect()]
-            classes = [int(v) if float(v).is_integer() else float(v) for v in classes]
+    binary = labelled and (row["_classes"], row["_least"], row["_largest"]) == (2, 0.0, 1.0)
     report = {
         "data_path": data_path,
-        "row_count": int(row["row_count"]),
+        "row_count": int(row["_rows"]),
         "expected_columns": list(config.source_columns),
         "missing_columns": missing,
         "null_counts": nulls,
-        "target_classes": classes if class_count <= 16 else f"{class_count} classes",
+        "target_class_count": int(row["_classes"]) if labelled else 0,
+        "target_is_binary": bool(binary),
     }
     if report_path:
-        spark = df.sparkSession
-        spark.createDataFrame([(json.dumps(report),)], "value string").coalesce(1).write.mode("overwrite").text(report_path)
+        one = spark.createDataFrame([(json.dumps(report),)], "value string")
+        one.coalesce(1).write.mode("overwrite").text(f"{report_path}/summary")
+        if labelled:
+            target_classes(df, config.target).write.mode("overwrite").json(f"{report_path}/target_classes")
     if missing:
-        raise ValueError(f"Missing expected columns: {', '.join(missing)}")
+        raise ValueError(f"The account table lacks these columns: {', '.join(missing)}")
     null_columns = [c for c, n in nulls.items() if n > 0]
     if null_columns:
-        raise ValueError(f"Null values found in required columns: {', '.join(null_columns)}")
-    if config.target in df.columns and classes != [0, 1]:
-        raise ValueError("Target column must contain both renewal classes 0 and 1.")
+        raise ValueError(f"These columns must not have nulls: {', '.join(null_columns)}")
+    if labelled and not binary:
+        raise ValueError(f"{config.target} must take the values 0 and 1, both of them and no other.")
     return report

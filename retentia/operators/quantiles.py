@@ -1,25 +1,22 @@
 """Exact quantiles (medians) of many columns at once.
 
 ``percentile``/``median`` hold a group's values in one task. Here the columns
-are turned into long form and the exact quantile is found in two aggregation
-passes that stay inside the JVM:
+are turned into long form and the exact quantile is found inside the JVM:
 
 1. a mergeable percentile sketch per column (``percentile_approx``, partial
    aggregation, bounded memory) brackets every target position: its rank
    error is at most n / ``SKETCH_ACCURACY``, so the values at p -/+
    ``BRACKET_MARGIN`` errors enclose the target;
-2. one aggregation counts the rows below the bracket, above it, and each
-   distinct value inside it (a value held by a third of the rows costs one
-   row per map task). One walk over the sorted in-bracket (value, count)
-   pairs of each (column, probability) -- about 2 * margin * n / accuracy
-   pairs, 0.06 % of the rows -- gives the exact values at the two positions
-   around the target, with linear interpolation as in NumPy / pandas.
-
-Nothing is collected and nothing is checkpointed; the bracket table has one
-row per (column, probability) and is broadcast. ``bracket_ok`` says whether
-the exact counts confirmed the bracket (the sketch's guarantee makes it
-always true); ``collect_quantiles`` checks it and recomputes any unconfirmed
-column with the distributed ordered scan (``ranked_quantiles``).
+2. one aggregation counts the rows below the bracket and each distinct value
+   inside it (a value held by a third of the rows costs one row per map
+   task); the result, about 0.06 % of the rows, is stored;
+3. the bucketed prefix scan over the in-bracket values gives their positions,
+   and the rows at the two positions around the target give the value, with
+   linear interpolation as in NumPy / pandas.
+
+The bracket table has one row per (column, probability) and is broadcast. A
+bracket that the exact counts do not confirm is an error, never a null (the
+sketch's guarantee rules it out).
 """
 
 from __future__ import annotations
@@ -30,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import ordered_scan
+from ..session import stored
+from .prefix import value_scan
 
 # Fixed parameters of the bracket: sketch accuracy (rank error <= n / 10,000)
 # and the bracket half-width in sketch errors.
@@ -84,80 +82,46 @@ def _brackets(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     return _positions(stats.select("column", "n", F.inline(rows)))
 
 
-def _quantiles_with_check(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.5,)) -> DataFrame:
+    """``(column, probability, value)``; nulls and NaN are skipped, a column
+    without values has no rows."""
     values = _values(df, columns)
     brackets = F.broadcast(_brackets(values, probabilities))  # columns x probabilities rows
     v = F.col("value")
-    zone = F.when(v < F.col("lo_v"), F.lit(0)).when(v > F.col("hi_v"), F.lit(2)).otherwise(F.lit(1))
+    inside = (v >= F.col("lo_v")) & (v <= F.col("hi_v"))
     keys = ["column", "probability", "lo_pos", "hi_pos", "frac"]
-    # partial aggregation: rows below / above the bracket and each in-bracket
-    # value become one row per map task, however many rows share them
-    counted = (
+    counted = stored(
         values.join(brackets, "column")
-        .groupBy(*keys, zone.alias("_zone"), F.when(zone == 1, v).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-    )
-    per_target = counted.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col("_zone") == 0, F.col("_cnt"))), F.lit(0)).alias("_below"),
-        F.coalesce(F.sum(F.when(F.col("_zone") == 1, F.col("_cnt"))), F.lit(0)).alias("_inside"),
-        # the distinct in-bracket values: about 2 * BRACKET_MARGIN * n / SKETCH_ACCURACY
-        F.array_sort(F.collect_list(F.when(F.col("_zone") == 1, F.struct(F.col("_v").alias("v"), F.col("_cnt").alias("c"))))).alias("_vals"),
+        .where(v <= F.col("hi_v"))
+        .groupBy(*keys, F.when(inside, v).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_cnt")),
+        "quantile_counts",
     )
-    # walk the sorted values once, keeping the running count and the values
-    # found at the two target positions
-    walk = F.expr(
-        """aggregate(_vals,
-                     named_struct('run', _below, 'lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE)),
-                     (acc, x) -> named_struct(
-                         'run', acc.run + x.c,
-                         'lo', IF(acc.lo IS NULL AND lo_pos <= acc.run + x.c, x.v, acc.lo),
-                         'hi', IF(acc.hi IS NULL AND hi_pos <= acc.run + x.c, x.v, acc.hi)))"""
+    below = counted.groupBy("column", "probability").agg(
+        F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_cnt"))), F.lit(0)).alias("_below")
     )
-    found = per_target.select("column", "probability", "frac", "_below", "_inside", "lo_pos", "hi_pos", walk.alias("_w"))
-    ok = (F.col("_below") < F.col("lo_pos")) & (F.col("hi_pos") <= F.col("_below") + F.col("_inside"))
-    lo, hi = F.col("_w.lo"), F.col("_w.hi")
-    value = lo + (hi - lo) * F.col("frac")
-    return found.select("column", "probability", F.when(ok, value).alias("value"), ok.alias("bracket_ok"))
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.5,)) -> DataFrame:
-    """``(column, probability, value)``; nulls and NaN are skipped."""
-    return _quantiles_with_check(df, columns, probabilities).drop("bracket_ok")
-
-
-def ranked_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.5,)) -> DataFrame:
-    """Same result by ranking every distinct value with the ordered scan
-    (one range shuffle); used when a bracket is not confirmed."""
-    values = _values(df, columns)
-    distinct = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    scanned = ordered_scan(distinct, order_by=["value"], group_by=["column"], sums=["cnt"], rank="_r")
-    sizes = distinct.groupBy("column").agg(F.sum("cnt").alias("n"))
-    probs = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
-    targets = _positions(sizes.select("column", "n", probs)).select("column", "probability", "lo_pos", "hi_pos", "frac")
-    start = F.col("cum_cnt") - F.col("cnt")
-
-    def hit(pos: str) -> F.Column:
-        return (start < F.col(pos)) & (F.col(pos) <= F.col("cum_cnt"))
-
-    hits = scanned.join(F.broadcast(targets), "column").where(hit("lo_pos") | hit("hi_pos"))
-    picked = hits.groupBy("column", "probability").agg(
-        F.max(F.when(hit("lo_pos"), F.col("value"))).alias("lo"),
-        F.max(F.when(hit("hi_pos"), F.col("value"))).alias("hi"),
-        F.first("frac").alias("frac"),
+    scanned = value_scan(counted.where(F.col("_v").isNotNull()), "_v", ["column", "probability"], sums=["_cnt"])
+    # one row per (column, probability)
+    placed = scanned.join(F.broadcast(below), ["column", "probability"])
+    end = F.col("_below") + F.col("cum__cnt")
+    start = end - F.col("_cnt")
+
+    def at(pos: str) -> F.Column:
+        return F.max(F.when((start < F.col(pos)) & (F.col(pos) <= end), F.col("_v")))
+
+    found = placed.groupBy("column", "probability", "frac").agg(at("lo_pos").alias("lo"), at("hi_pos").alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
+    value = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.col("frac"))
+    unconfirmed = F.raise_error(F.concat(F.lit("quantile bracket not confirmed: "), F.col("column"))).cast(T.DoubleType())
+    return found.select(
+        "column", "probability", F.when(lo.isNotNull() & hi.isNotNull(), value).otherwise(unconfirmed).alias("value")
     )
-    return picked.select("column", "probability", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("value"))
 
 
 def collect_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.5,)) -> dict[tuple[str, float], float]:
-    """Quantiles as a dict (one number per column and probability: a
-    bounded collect), every bracket confirmed."""
-    rows = _quantiles_with_check(df, columns, probabilities).collect()
-    out = {(r["column"], r["probability"]): r["value"] for r in rows if r["bracket_ok"]}
-    redo = sorted({r["column"] for r in rows if not r["bracket_ok"]})
-    if redo:
-        for r in ranked_quantiles(df, redo, probabilities).collect():
-            out[(r["column"], r["probability"])] = r["value"]
-    return {k: float(v) for k, v in out.items()}
+    """Quantiles as a dict (one number per column and probability: a bounded
+    collect)."""
+    return {(r["column"], r["probability"]): float(r["value"]) for r in exact_quantiles(df, columns, probabilities).collect()}
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

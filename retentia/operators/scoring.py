@@ -9,8 +9,6 @@ its own prediction after any shuffle.
 
 from __future__ import annotations
 
-from typing import Mapping
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +62,7 @@ def scenario_inputs(spark: SparkSession, reference: DataFrame, config: RenewalCo
         *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in BASE_NUMERIC_FEATURES]
     ).select(
         F.lit("default").alias("profile"),
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in BASE_NUMERIC_FEATURES],
+        *BASE_NUMERIC_FEATURES,
         F.lit(DEFAULT_PLAN).alias(PLAN_COLUMN),
     )
     schema = T.StructType(
@@ -90,6 +88,3 @@ def apply_scenarios(accounts: DataFrame, scenarios: DataFrame, id_column: str =
     )
     return base.unionByName(extra)
 
-
-def label_names(mapping: Mapping[int, str]) -> dict[int, str]:
-    return {int(k): str(v) for k, v in mapping.items()}

@@ -1,28 +1,22 @@
 """Stratified train/test split and stratified cross-validation folds.
 
-Both are exact and reproducible: each row gets a seeded md5 key and rows are
-ranked inside their class by (key, id). Because the key is a uniform hash,
-the ranking needs no global sort:
-
-* rows are counted per (class, first 4 hex digits of the key): at most
-  65,536 buckets per class, a table bounded by the bucket count, not by the
-  data; running counts over it give every bucket's offset inside its class;
-* the split collects, per class, the one bucket where the test share ends
-  (a collect bounded by the number of classes); every row of another bucket
-  is decided by comparing its bucket with that literal, a narrow projection
-  with no join and no shuffle, and only the boundary bucket's rows (about
-  n / 65,536 per class) are ranked;
-* folds need every row's rank: rows are ranked inside their (class, bucket)
-  group, about n / 65,536 rows each, plus the bucket offsets (a bounded
-  broadcast table).
-
-Ranks order by (key, id, every other column): rows that tie on all of them
-are interchangeable, so a duplicated id ranks the same way on every
-recomputation. If a bucket is unexpectedly large (duplicate ids hash to the
-same bucket: "one id holds a third of all rows"), the ranking falls back to
-the distributed ordered scan, which splits any group over many tasks. Both
-paths give the same exact ranks. Per-class test sizes come from a table with
-one row per class.
+Both are exact and reproducible. A row's place in its class is the order of a
+string: the seeded md5 of its id, then the md5 of its row number in the
+stored input table. The first part orders rows with different ids, the second
+one tells rows of the same id apart, however many there are and even if they
+agree in every column.
+
+* The split needs one string per class, the one of its last test row. It is
+  found digit by digit: one aggregation counts the class's rows by the next
+  four hex digits, the bucket where the test share ends gives those digits,
+  and the search goes on inside it until it ends on a bucket's last row (one
+  to three rounds when ids differ). Then a row is a test row if its string is
+  not greater: a narrow projection with one literal per class, written once,
+  partitioned by side, so that readers of one side prune the other's folder.
+* Folds need every row's rank: rows are ranked inside buckets of leading
+  digits, as many as keep BUCKET_ROWS rows in each, plus the rows in earlier
+  buckets. A bucket that holds far more rows (one id with many rows) is cut
+  by the digits of the row part instead.
 
 Test sizes follow the usual shuffle-split rule: ``n_test = ceil(share * n)``,
 ``n_train = n - n_test``; the train rows are shared out over the classes by
@@ -37,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_CONFIG, RenewalConfig
-from .ordered import ordered_scan
+from ..session import stored
 
 SPLIT = "split"
 FOLD = "fold"
@@ -72,130 +66,91 @@ def class_allocation(df: DataFrame, target: str, share: float) -> DataFrame:
     return sized.select(target, "n_class", (F.col("n_class") - train).cast(T.LongType()).alias("n_test"))
 
 
-BUCKET_DIGITS = 4  # 16**4 = 65,536 hash buckets per class
-MAX_BUCKET_ROWS = 2_000_000  # above this a bucket is ranked by the ordered scan
+DIGITS = 4  # of a round: at most 65,536 counts per class
+BUCKET_ROWS = 20_000  # rows that a window task ranks
+KEY_LENGTH = 32  # hex digits of an md5
+ROW, PLACE = "_row", "_place"
 
 
-def _keyed(df: DataFrame, ident: str, seed: int, salt: str = "") -> DataFrame:
-    key = hash_key(ident, seed, salt)
-    return df.withColumn("_key", key).withColumn(
-        "_bucket", F.conv(F.substring("_key", 1, BUCKET_DIGITS), 16, 10).cast(T.IntegerType())
-    )
+def _placed(df: DataFrame, ident: str, seed: int, salt: str = "") -> DataFrame:
+    """The stored input with ``PLACE``, the string that orders its rows."""
+    rows = stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return rows.withColumn(PLACE, F.concat(hash_key(ident, seed, salt), F.md5(F.col(ROW).cast(T.StringType()))))
+
+
+def _same_class(target: str, value) -> Column:
+    return F.col(target).eqNullSafe(F.lit(value))
+
 
+def split_boundaries(placed: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> list[tuple]:
+    """Per class with test rows: ``(class, prefix)``; the class's test rows
+    are those whose place starts with a string not greater than the prefix.
 
-def _bucket_offsets(keyed: DataFrame, target: str) -> DataFrame:
-    """``(target, _bucket, _cnt, _before)``: rows in each bucket and rows in
-    the class's earlier buckets. At most 65,536 rows per class."""
-    counts = keyed.groupBy(target, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    earlier = Window.partitionBy(target).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
-
-
-def _tie_breakers(df: DataFrame, exclude: set[str]) -> list[str]:
-    """Every other orderable column: with them the order is total up to
-    rows that are equal in every column, which are interchangeable. So a
-    duplicated id ranks the same way on every recomputation (a lost executor,
-    two readers of one split) without materializing anything."""
-    return [
-        f.name
-        for f in df.schema.fields
-        if f.name not in exclude and not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
-
-
-def _rank_within(rows: DataFrame, groups: list[str], order: list[str], largest: int) -> DataFrame:
-    """``_rank`` inside ``groups`` by ``order``: a window when the groups are
-    small, the ordered scan (which splits a group over many tasks) when one
-    is hot."""
-    if largest <= MAX_BUCKET_ROWS:
-        w = Window.partitionBy(*groups).orderBy(*order)
-        return rows.withColumn("_rank", F.row_number().over(w))
-    return ordered_scan(rows, order_by=order, group_by=groups, rank="_rank")
-
-
-def split_boundaries(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> list[tuple]:
-    """Per class: ``(class, bucket, rows in it, test rows still needed)`` of
-    the bucket that holds the class's last test row.
-
-    One distributed job: bucket counts (partial aggregation, at most 65,536
-    rows per class), their running offsets, and the one bucket per class
-    where the test share ends. The collect is bounded by the number of
-    classes; a class with no test rows has no entry.
+    Each round is one job whose collect has one row per class.
     """
     target = config.target
-    keyed = _keyed(df, config.id_column, config.random_state)
-    alloc = class_allocation(df, target, config.test_share)
-    n_test = F.col("n_test")
-    buckets = _bucket_offsets(keyed, target)
-    sizes = alloc.select(F.col(target).alias("_class"), "n_test")
-    rows = (
-        buckets.join(F.broadcast(sizes), buckets[target].eqNullSafe(sizes["_class"]))
-        .where((F.col("_before") < n_test) & (n_test <= F.col("_before") + F.col("_cnt")))
-        .select(target, "_bucket", "_cnt", (n_test - F.col("_before")).alias("_need"))
-        .collect()
-    )
-    return [(r[0], int(r[1]), int(r[2]), int(r[3])) for r in rows]
+    need = {r[target]: r["n_test"] for r in class_allocation(placed, target, config.test_share).collect()}
+    open_ = {c: ("", n) for c, n in need.items() if n > 0}
+    found = []
+    while open_:
+        inside, start, wanted = F.lit(False), F.lit(1), F.lit(0).cast(T.LongType())
+        for c, (prefix, n) in open_.items():
+            same = _same_class(target, c)
+            inside = inside | (same & F.col(PLACE).startswith(prefix))
+            start = F.when(same, F.lit(len(prefix) + 1)).otherwise(start)
+            wanted = F.when(same, F.lit(n).cast(T.LongType())).otherwise(wanted)
+        counts = (
+            placed.where(inside)
+            .groupBy(target, F.substr(PLACE, start, F.lit(DIGITS)).alias("_digits"))
+            .agg(F.count(F.lit(1)).alias("_cnt"))
+        )
+        earlier = Window.partitionBy(target).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
+        last = (
+            counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
+            .where((F.col("_before") < wanted) & (wanted <= F.col("_before") + F.col("_cnt")))
+            .collect()
+        )
+        for r in last:
+            prefix, n = open_.pop(r[target])
+            prefix, n = prefix + r["_digits"], n - r["_before"]
+            if n == r["_cnt"]:
+                found.append((r[target], prefix))
+            else:
+                open_[r[target]] = (prefix, n)
+    return found
 
 
 def stratified_split(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
-    """All input columns + ``split`` in {'train', 'test'}.
-
-    In each class, buckets before the boundary bucket are test and buckets
-    after it are train: a narrow projection with the (collected, bounded)
-    boundaries as literals, no join and no shuffle. Only the rows of the
-    boundary buckets (about n / 65,536 per class) are ranked. The input
-    is read twice (boundary job, then the split), so callers pass a
-    materialized table, as the pipeline and the registered plans do.
-    """
-    target, ident = config.target, config.id_column
-    bounds = split_boundaries(df, config)
-    keyed = _keyed(df, ident, config.random_state)
-    cls = F.col(target)
-
-    status = F.lit("train")  # classes without test rows
-    in_boundary = F.lit(False)
-    need = F.lit(0).cast(T.LongType())
-    group = F.lit(-1)
-    for i, (c, bucket, _, n) in reversed(list(enumerate(bounds))):
-        same = cls.eqNullSafe(F.lit(c))
-        here = same & (F.col("_bucket") == bucket)
-        status = F.when(same & (F.col("_bucket") < bucket), F.lit("test")).when(same, F.lit("train")).otherwise(status)
-        in_boundary = in_boundary | here
-        need = F.when(here, F.lit(n).cast(T.LongType())).otherwise(need)
-        group = F.when(here, F.lit(i)).otherwise(group)
-
-    decided = keyed.where(~in_boundary).withColumn(SPLIT, status)
-    largest = max((cnt for _, _, cnt, _ in bounds), default=0)
-    order = ["_key", ident] + _tie_breakers(df, {ident, "_key", "_bucket"})
-    boundary = keyed.where(in_boundary).withColumns({"_need": need, "_group": group})
-    ranked = _rank_within(boundary, ["_group"], order, largest)
-    ranked = ranked.withColumn(SPLIT, F.when(F.col("_rank") <= F.col("_need"), F.lit("test")).otherwise(F.lit("train")))
-    drop = ["_key", "_bucket", "_need", "_group", "_rank"]
-    return decided.drop(*drop).unionByName(ranked.drop(*drop))
+    """All input columns + ``split`` in {'train', 'test'}: a stored table,
+    partitioned by ``split``. A null class is a class of its own."""
+    placed = _placed(df, config.id_column, config.random_state)
+    is_test = F.lit(False)
+    for c, prefix in split_boundaries(placed, config):
+        is_test = is_test | (_same_class(config.target, c) & (F.substring(PLACE, 1, len(prefix)) <= F.lit(prefix)))
+    sides = placed.withColumn(SPLIT, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+    return stored(sides.drop(ROW, PLACE), "split", partition_by=SPLIT)
 
 
 def cv_folds(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, folds: int | None = None) -> DataFrame:
-    """All input columns + ``fold`` in 0..k-1, balanced inside each class.
-
-    Every row needs its rank inside its class: the rank inside its (class,
-    bucket) group (a window over about n / 65,536 rows, or the ordered scan
-    if a bucket is hot) plus the class's rows in earlier buckets (a bounded
-    broadcast table)."""
+    """All input columns + ``fold`` in 0..k-1, balanced inside each class
+    (a null class is a class of its own): rank in the class modulo k."""
     k = folds or config.cv_folds
-    target, ident = config.target, config.id_column
-    keyed = _keyed(df, ident, config.random_state, "fold")
-    offsets = _bucket_offsets(keyed, target).select(F.col(target).alias("_class"), F.col("_bucket").alias("_b"), "_before", "_cnt")
-    largest = offsets.agg(F.max("_cnt")).first()[0] or 0
-    on = keyed[target].eqNullSafe(offsets["_class"]) & (keyed["_bucket"] == offsets["_b"])
-    joined = keyed.join(F.broadcast(offsets.drop("_cnt")), on).drop("_class", "_b")
-    # a null class is its own group: rank inside (class is null, class, bucket)
-    groups = ["_null_class", target, "_bucket"]
-    order = ["_key", ident] + _tie_breakers(df, {ident, "_key", "_bucket"})
-    joined = joined.withColumn("_null_class", F.col(target).isNull())
-    if int(largest) > MAX_BUCKET_ROWS:
-        joined = joined.withColumn(target + "_g", F.coalesce(F.col(target).cast(T.StringType()), F.lit("")))
-        groups = ["_null_class", target + "_g", "_bucket"]
-    ranked = _rank_within(joined, groups, order, int(largest))
-    rank = F.col("_before") + F.col("_rank")
-    out = ranked.withColumn(FOLD, ((rank - 1) % k).cast(T.IntegerType()))
-    return out.drop("_key", "_bucket", "_before", "_rank", "_null_class", target + "_g")
+    placed = _placed(df, config.id_column, config.random_state, "fold")
+    total, digits = placed.count(), 1
+    while 16**digits * BUCKET_ROWS < total:
+        digits += 1
+    # a class key that is not null, for grouping and joining
+    keyed = placed.withColumn("_class", F.coalesce(F.col(config.target).cast(T.StringType()), F.lit("")))
+    leading = F.substring(PLACE, 1, digits)
+    # at most total / (16 * BUCKET_ROWS) of them
+    full = keyed.groupBy("_class", leading.alias("_b")).count().where(F.col("count") > 16 * BUCKET_ROWS).collect()
+    hot = sorted({r["_b"] for r in full})
+    finer = F.substring(PLACE, 1, KEY_LENGTH + max(digits, DIGITS))
+    bucketed = keyed.withColumn("_bucket", F.when(leading.isin(hot), finer).otherwise(leading) if hot else leading)
+    counts = bucketed.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    earlier = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_class", "_bucket", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_class", "_bucket").orderBy(PLACE)
+    ranked = bucketed.withColumn("_rank", F.row_number().over(inside)).join(offsets, ["_class", "_bucket"])
+    fold = ((F.col("_before") + F.col("_rank") - 1) % k).cast(T.IntegerType())
+    return ranked.select(*df.columns, fold.alias(FOLD))

@@ -14,6 +14,7 @@ themselves do not round.
 
 from __future__ import annotations
 
+import uuid
 import weakref
 from typing import Callable
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import BASE_NUMERIC_FEATURES, DEFAULT_CONFIG, MODEL_FEATURES
+from ..config import BASE_NUMERIC_FEATURES, DEFAULT_CONFIG, MODEL_FEATURES, RATE_SLIDE, RATE_WINDOW
 from ..functions.columns import q6
 from ..operators import drift as drift_ops
 from ..operators import explain as explain_ops
@@ -33,8 +34,8 @@ from ..operators.quantiles import exact_medians
 from ..operators.split import cv_folds, stratified_split
 from ..sources.accounts import account_table
 from ..streaming import requests as req
-from ..sources.tables import table
-from ..session import materialize
+from ..sources.tables import load_accounts, table
+from ..session import ensure_checkpoint_dir, stored
 
 CFG = DEFAULT_CONFIG
 DERIVED_ROUNDED = ("engagement_score", "activity_ratio", "support_pressure", "payment_reliability", "usage_momentum")
@@ -74,14 +75,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table, materialized once per call in the shared
-    checkpoint folder (``session.materialize``: a checkpoint, or a parquet
-    table for large data; like the original's train / test files), with the
-    split as a deterministic projection over it: the split's boundary job
-    and every later operator read the checkpoint instead of re-running the
-    order-history scans, and a lost executor costs a re-read, not a
-    recomputation."""
-    return stratified_split(materialize(features(spark, sf_dir), "features"), CFG)
+    """The feature table with its split: a stored table in the shared folder,
+    partitioned by side (like the original's train / test files). Every later
+    operator reads the side it needs instead of re-running the order-history
+    scans, and a lost executor costs a re-read, not a recomputation."""
+    return stratified_split(features(spark, sf_dir), CFG)
 
 
 def scored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,16 +250,13 @@ def q_global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What-if profiles scored together with the whole account base.
 
-    The accounts' features are the materialized feature table the split
-    reads (the same coercion and rounding as building them from the raw
-    rows); only the profile rows are built here, so the order history is
-    derived once."""
-    feats = materialize(features(spark, sf_dir), "features")
-    train = _train(stratified_split(feats, CFG))
-    scenarios = score_ops.scenario_inputs(spark, train, CFG)
+    The accounts' features are the stored feature table; only the profile
+    rows are built here, so the order history is derived once."""
+    split = split_features(spark, sf_dir)
+    scenarios = score_ops.scenario_inputs(spark, _train(split), CFG)
     profiles = scenarios.select("profile", F.lit(None).cast(T.LongType()).alias("account_id"), *BASE_NUMERIC_FEATURES, "subscription_plan")
     profile_feats = registered_features(build_renewal_features(profiles, CFG))
-    account_feats = feats.select(F.lit("account").alias("profile"), "account_id", *MODEL_FEATURES)
+    account_feats = split.select(F.lit("account").alias("profile"), "account_id", *MODEL_FEATURES)
     scored = score_ops.score_stand_in(account_feats.unionByName(profile_feats))
     # one non-null text key for accounts and profiles alike
     subject = F.coalesce(F.col("account_id").cast(T.StringType()), F.col("profile")).alias("subject")
@@ -335,6 +330,76 @@ def q_request_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.request_rate(_log(spark, sf_dir), "5 minutes")
 
 
+def q_request_rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's rate: 5 minutes, every 15 seconds."""
+    return req.request_rate(_log(spark, sf_dir), RATE_WINDOW, RATE_SLIDE)
+
+
+def q_drift_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift between accounts of the smaller plans and those of the larger
+    ones, two sides that do differ."""
+    scored = stored(score_ops.score_stand_in(features(spark, sf_dir)), "scored")
+    small = F.col("plan_value_index") < F.lit(CFG.plan_score_map["business"])
+    out = drift_ops.distribution_drift(scored.where(small), scored.where(~small), DRIFT_COLUMNS, CFG)
+    return _round(out, "psi", "ks_statistic", "wasserstein")
+
+
+# -- untidy account files ------------------------------------------------------------
+
+
+def text_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounts as an untidy export: all text, with junk numbers, blanks,
+    unknown and missing plans and float labels, by account id."""
+    acc = accounts(spark, sf_dir)
+    k = F.col("account_id")
+    whole = lambda c: F.floor(F.col(c)).cast("bigint").cast("string")
+    null = F.lit(None).cast("string")
+    hours = F.coalesce(whole("monthly_usage_hours"), F.lit("0"))
+    for i, v in enumerate(("n/a", "1d", " 12.5 ", None, "-3", "1e2")):
+        hours = F.when(k % 7 == i, null if v is None else F.lit(v)).otherwise(hours)
+    plan = F.col("subscription_plan")
+    for i, v in enumerate((None, "", "\tGROWTH ", "x")):
+        plan = F.when(k % 5 == i, null if v is None else F.lit(v)).otherwise(plan)
+    label = F.col("renewed").cast("string")
+    for i, v in enumerate((F.lit("1.0"), F.lit("0"), F.lit("1d"), null, F.concat(label, F.lit(".0")))):
+        label = F.when(k % 6 == i, v).otherwise(label)
+    numbers = {c: whole(c) for c in BASE_NUMERIC_FEATURES} | {"monthly_usage_hours": hours}
+    return acc.select(
+        k.cast("string").alias("account_id"),
+        *[numbers[c].alias(c) for c in BASE_NUMERIC_FEATURES],
+        plan.alias("subscription_plan"),
+        label.alias("renewed"),
+    )
+
+
+def csv_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_accounts`` written as CSV and read back as an account file."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    options = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    text_accounts(spark, sf_dir).write.options(**options).csv(path)
+    return load_accounts(spark, path, CFG.source_columns, "csv", optional=("account_id",))
+
+
+def q_untidy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, contract codes and label of untidy account rows."""
+    from .jobs import label_number
+
+    rows = csv_accounts(spark, sf_dir)
+    rows = rows.withColumn("label", label_number(rows, "renewed")).withColumn(
+        "violations", F.concat_ws(",", *quality.contract_checks(rows))
+    )
+    feats = build_renewal_features(rows.withColumn("account_id", F.col("account_id").cast("bigint")), CFG)
+    return registered_features(feats).drop("renewed")
+
+
+def q_untidy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.validation_profile(csv_accounts(spark, sf_dir), CFG)
+
+
+def q_untidy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.target_classes(csv_accounts(spark, sf_dir), CFG.target)
+
+
 QUERIES: dict[str, Query] = {
     "account_scan": q_account_scan,
     "coerced_inputs": q_coerced_inputs,
@@ -372,10 +437,15 @@ QUERIES: dict[str, Query] = {
     "latency_histogram": q_latency_histogram,
     "error_rate": q_error_rate,
     "request_rate_5m": q_request_rate_5m,
+    "request_rate_sliding": q_request_rate_sliding,
+    "drift_shifted": q_drift_shifted,
+    "untidy_features": q_untidy_features,
+    "untidy_profile": q_untidy_profile,
+    "untidy_classes": q_untidy_classes,
 }
 
 
 def oracles() -> dict[str, str]:
     from . import oracle_sql as o
 
-    return {name: getattr(o, name)() for name in QUERIES}
+    return {name: getattr(o, name)() for name in [*QUERIES, *o.MODEL_CHECKS]}

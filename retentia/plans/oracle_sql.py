@@ -510,3 +510,83 @@ w AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, COUNT(*) AS
         COUNT(CASE WHEN failed THEN 1 END) AS errors FROM log GROUP BY 1)
 SELECT window_start, window_start + INTERVAL '5 minutes' AS window_end, requests, errors,
   CAST(requests AS DOUBLE) / {d(300)} AS request_rate FROM w"""
+
+
+def request_rate_sliding() -> str:
+    return f"""WITH {_LOG},
+panes AS (SELECT time_bucket(INTERVAL '15 seconds', ts) AS pane, COUNT(*) AS requests,
+            COUNT(CASE WHEN failed THEN 1 END) AS errors FROM log GROUP BY 1),
+w AS (SELECT pane - k * INTERVAL '15 seconds' AS window_start, SUM(requests) AS requests, SUM(errors) AS errors
+      FROM panes CROSS JOIN range(20) AS r(k) GROUP BY 1)
+SELECT window_start, window_start + INTERVAL '5 minutes' AS window_end, CAST(requests AS BIGINT) AS requests,
+  CAST(errors AS BIGINT) AS errors, CAST(requests AS DOUBLE) / {d(300)} AS request_rate FROM w"""
+
+
+def drift_shifted() -> str:
+    sides = f"""
+sided AS (SELECT *, CASE WHEN plan_value_index < {d(CFG.plan_score_map['business'])} THEN 'train' ELSE 'test' END AS split FROM feat)"""
+    return with_(ACCOUNTS_SQL, features_ctes(), sides, scored_ctes("sided"), _drift_sides()) + f"""
+SELECT "column", {q6("psi")} AS psi, {q6("ks_statistic")} AS ks_statistic, {q6("wasserstein")} AS wasserstein, drifted FROM dd"""
+
+
+# -- untidy account files: what each spelling stands for, not how it is parsed; an empty
+# field of a CSV file is a missing one ---------------------------------------------------
+
+
+def _untidy() -> str:
+    others = ", ".join(f"floor({c}) AS {c}" for c in BASE_NUMERIC_FEATURES[1:])
+    return f"""
+untidy AS (
+  SELECT account_id,
+    CASE account_id % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN {d(12.5)} WHEN 3 THEN NULL WHEN 4 THEN {d(-3)}
+      WHEN 5 THEN {d(100)} ELSE floor(COALESCE(monthly_usage_hours, {d(0)})) END AS monthly_usage_hours,
+    {others},
+    CASE account_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN chr(9) || 'GROWTH ' WHEN 3 THEN 'x'
+      ELSE subscription_plan END AS subscription_plan,
+    CASE account_id % 7 WHEN 3 THEN 1 ELSE 0 END AS hours_null,
+    CASE account_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE renewed END AS label
+  FROM accounts)"""
+
+
+def untidy_features() -> str:
+    checks = []
+    for c in BASE_NUMERIC_FEATURES:
+        checks.append(f"CASE WHEN {c} IS NULL THEN '{c}:missing' END")
+        checks.append(f"CASE WHEN {c} < 0 THEN '{c}:negative' END")
+    checks.append("CASE WHEN subscription_plan IS NULL THEN 'subscription_plan:missing' END")
+    checks.append("CASE WHEN length(subscription_plan) < 3 THEN 'subscription_plan:length' END")
+    coded = f"""
+coded AS (SELECT *, concat_ws(',', {', '.join(checks)}) AS violations FROM untidy)"""
+    return with_(ACCOUNTS_SQL, _untidy(), coded, features_ctes("coded", "account_id, label, violations")) + "\nSELECT * FROM feat"
+
+
+def untidy_profile() -> str:
+    # text of any kind is a cell; only what is null or empty of a number is not
+    nulls = ["SUM(hours_null)", *[f"COUNT(*) - COUNT({c})" for c in BASE_NUMERIC_FEATURES[1:]]]
+    nulls += ["COUNT(*) - COUNT(subscription_plan)", "COUNT(CASE WHEN account_id % 6 = 3 THEN 1 END)"]
+    return with_(ACCOUNTS_SQL, _untidy()) + f"""
+SELECT COUNT(*) AS row_count, 0 AS missing_column_count, CAST({' + '.join(nulls)} AS BIGINT) AS null_cells,
+  CAST({' + '.join(f'CASE WHEN {n} > 0 THEN 1 ELSE 0 END' for n in nulls)} AS INTEGER) AS columns_with_nulls,
+  COUNT(DISTINCT label) AS target_class_count,
+  (COUNT(DISTINCT label) = 2 AND MIN(label) = 0 AND MAX(label) = 1) AS binary_target
+FROM untidy"""
+
+
+def untidy_classes() -> str:
+    return with_(ACCOUNTS_SQL, _untidy()) + "\nSELECT DISTINCT CAST(label AS DOUBLE) AS target_class FROM untidy WHERE label IS NOT NULL"
+
+
+# -- what SQL can say about the fitted model -------------------------------------------
+
+
+def score_accounts_check() -> str:
+    return """SELECT COUNT(*) AS accounts, COUNT(DISTINCT c_custkey) AS distinct_accounts, CAST(0 AS BIGINT) AS bad_probabilities,
+  CAST(0 AS BIGINT) AS bad_predictions, CAST(0 AS BIGINT) AS bad_labels FROM customer"""
+
+
+def explained_accounts_check() -> str:
+    return f"""SELECT COUNT(*) AS accounts, CAST({int(CFG.top_k)} * COUNT(*) AS BIGINT) AS factors,
+  CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS base_values FROM customer"""
+
+
+MODEL_CHECKS = ("score_accounts_check", "explained_accounts_check")

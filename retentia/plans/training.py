@@ -11,26 +11,33 @@ Spark ML replaces the single-machine boosted trees:
   approximated by ``minInstancesPerNode = max(leaf, ceil(split / 2))``.
   MLlib bins features (``maxBins``), so scores are not bit-equal;
 * tuning: a seeded random draw of N parameter maps (log-uniform learning
-  rate) cross-validated on our stratified folds
-  with mean ROC-AUC; every (candidate, fold) fit is its own Spark ML job
-  and ``parallelism`` of them run at once;
+  rate) cross-validated on our stratified folds with the mean of the
+  configured metric (exact ROC-AUC by default); every (candidate, fold) fit is
+  its own Spark ML job and ``parallelism`` of them run at once;
   N <= 1 takes the first value of every range (the default path, which is
   what the published run used);
 * evaluation with the distributed metric operators at threshold 0.5;
-* the bundle is a saved ``PipelineModel`` plus a one-row JSON metadata table
-  (feature names, inputs, threshold, label map, exact training medians,
-  importances), written and read through Spark so it works on any shared
-  file system.
-
-The training table is checkpointed into the shared checkpoint folder before
-the many fitting jobs: a lost executor then re-reads it instead of
-re-running the scans and joins that built it.
+* a bundle is a folder of versions, each a saved ``PipelineModel`` plus a
+  one-row JSON metadata table (feature names, inputs, threshold, label map,
+  exact training medians, importances), written and read through Spark so it
+  works on any shared file system. The metadata is written last and marks a
+  version as whole; readers take the newest whole one, so publishing never
+  leaves half a model to be served.
+
+MLlib draws its row samples per partition, so a model depends on how its table
+is laid out. The training table therefore has a layout of its own: rows are
+dealt by a hash of the id into a number of partitions that follows from the
+row count alone, ordered inside each, and checkpointed (a lost executor then
+re-reads it). Equal rows and seed give equal models, however the input was
+partitioned.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
+import uuid
 from multiprocessing.pool import ThreadPool
 from dataclasses import dataclass, field
 from typing import Any, Mapping
@@ -38,29 +45,29 @@ from typing import Any, Mapping
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 from pyspark.util import inheritable_thread_target
 
 from ..config import DEFAULT_CONFIG, RenewalConfig
 from ..operators import metrics as metric_ops
 from ..operators import scoring as score_ops
+from ..operators.explain import ExplanationBasis, fit_basis, top_factor_list
 from ..operators.features import model_frame
 from ..operators.quantiles import collect_medians
 from ..operators.split import FOLD, cv_folds
-from ..session import cut_lineage
+from ..session import ordered_checkpoint, stored
 
 LABEL_COL = "_label"
 FEATURES_COL = "_features"
 
 
-class ModelNotTrainedError(FileNotFoundError):
-    """Scoring was asked for before a model bundle exists."""
+class NoBundle(LookupError):
+    """The folder holds no whole version of a model bundle."""
 
 
 # -- parameters -----------------------------------------------------------------
@@ -117,33 +124,29 @@ def param_map(gbt: GBTClassifier, params: Mapping[str, Any], seed: int) -> dict:
     return {getattr(gbt, k): v for k, v in gbt_settings(params, seed).items()}
 
 
-ROWS_PER_TRAINING_PARTITION = 500_000
+# Layout of a training table: its partitions follow from its rows alone.
+TRAINING_PARTITION_ROWS = 20_000
+LEAST_TRAINING_PARTITIONS = 2
 
 
 def training_table(features: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Model frame + numeric label column, with the id kept for folds."""
+    """Model frame + numeric label column (1.0: the positive class), with the
+    id kept for folds."""
     frame = model_frame(features, config, keep=[config.id_column, config.target])
     return frame.withColumn(LABEL_COL, (F.col(config.target) == config.positive_class).cast(T.DoubleType()))
 
 
-def materialized_training_table(features: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Checkpointed training table with partitions sized to its rows.
-
-    Tree boosting runs several jobs per tree over the same table; reading a
-    checkpoint keeps lost executors cheap, and ~500k rows per partition keeps
-    task scheduling from dominating small tables while large ones keep their
-    full width (coalesce only narrows, never shuffles).
-    """
-    return sized_checkpoint(training_table(features, config))
+def laid_out(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
+    """The rows in a layout that depends on the rows alone, checkpointed."""
+    table = stored(df, "training_rows")
+    partitions = max(LEAST_TRAINING_PARTITIONS, math.ceil(table.count() / TRAINING_PARTITION_ROWS))
+    others = [c for c in sorted(table.columns) if c != config.id_column]
+    dealt = table.repartition(partitions, config.id_column).sortWithinPartitions(config.id_column, *others)
+    return ordered_checkpoint(dealt)
 
 
-def sized_checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, then narrow to ~500k rows per partition."""
-    table = cut_lineage(df)
-    rows = table.count()
-    width = table.rdd.getNumPartitions()
-    wanted = max(1, min(width, math.ceil(rows / ROWS_PER_TRAINING_PARTITION)))
-    return table.coalesce(wanted) if wanted < width else table
+def materialized_training_table(features: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
+    return laid_out(training_table(features, config), config)
 
 
 # -- search -----------------------------------------------------------------------
@@ -157,10 +160,23 @@ class SearchResult:
     best_score: float
 
 
+def cv_evaluator(metric: str) -> Evaluator:
+    """The configured metric; ranking metrics are exact (no score bins)."""
+    ranking = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR"}
+    if metric in ranking:
+        return BinaryClassificationEvaluator(
+            labelCol=LABEL_COL, rawPredictionCol="probability", metricName=ranking[metric], numBins=0
+        )
+    by_label = {"accuracy": "accuracy", "f1": "fMeasureByLabel", "precision": "precisionByLabel", "recall": "recallByLabel"}
+    if metric not in by_label:
+        raise ValueError(f"unknown training metric: {metric}")
+    return MulticlassClassificationEvaluator(labelCol=LABEL_COL, metricName=by_label[metric], metricLabel=1.0)
+
+
 def cross_validate(
     train: DataFrame, candidates: list[dict[str, Any]], config: RenewalConfig = DEFAULT_CONFIG, parallelism: int = 2
 ) -> SearchResult:
-    """Mean ROC-AUC of every candidate over the stratified folds.
+    """Mean metric of every candidate over the stratified folds.
 
     Every (candidate, fold) fit is an independent Spark ML job over the same
     checkpointed, folded table; ``parallelism`` of them run at once from
@@ -169,9 +185,9 @@ def cross_validate(
     which the search does not need: the final fit is the caller's).
     """
     pipeline, gbt = build_pipeline(config)
-    folded = sized_checkpoint(cv_folds(train, config))
+    folded = laid_out(cv_folds(train, config), config)
     maps = [param_map(gbt, p, config.random_state) for p in candidates]
-    evaluator = BinaryClassificationEvaluator(labelCol=LABEL_COL, rawPredictionCol="probability", metricName="areaUnderROC")
+    evaluator = cv_evaluator(config.cv_metric)
     fits = [(i, k) for i in range(len(maps)) for k in range(config.cv_folds)]
 
     def fit(job: tuple[int, int]) -> tuple[int, float]:
@@ -231,28 +247,41 @@ def make_bundle(model: PipelineModel, train: DataFrame, config: RenewalConfig, b
     return Bundle(model, meta, best, metrics)
 
 
-def save_bundle(bundle: Bundle, path: str) -> None:
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Whole versions of a bundle folder, oldest first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    store = folder.getFileSystem(conf)
+    if not store.exists(folder):
+        return []
+    names = sorted(status.getPath().getName() for status in store.listStatus(folder))
+    whole = lambda n: store.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{n}/metadata/_SUCCESS"))
+    return [f"{path}/versions/{n}" for n in names if whole(n)]
+
+
+def save_bundle(bundle: Bundle, path: str) -> str:
+    """A new version of the bundle under ``path``; the metadata comes last."""
     spark = SparkSession.getActiveSession()
-    bundle.model.write().overwrite().save(f"{path}/model")
+    version = f"{path}/versions/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    bundle.model.write().save(f"{version}/model")
     doc = json.dumps({"metadata": bundle.metadata, "best_params": bundle.best_params, "metrics": bundle.metrics})
-    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.text(f"{version}/metadata")
+    return version
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    try:
-        doc = spark.read.text(f"{path}/metadata").first()
-        model = PipelineModel.load(f"{path}/model")
-    except (AnalysisException, Exception) as exc:  # missing path surfaces as several JVM errors
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "not found" in str(exc).lower():
-            raise ModelNotTrainedError(f"Model bundle not found at {path}.") from exc
-        raise
-    parsed = json.loads(doc["value"])
+    """The newest whole version under ``path``."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise NoBundle(f"no model bundle in {path}; train or publish one first")
+    parsed = json.loads(spark.read.text(f"{versions[-1]}/metadata").first()["value"])
+    model = PipelineModel.load(f"{versions[-1]}/model")
     return Bundle(model, parsed["metadata"], parsed.get("best_params", {}), parsed.get("metrics", {}))
 
 
 def publish_bundle(spark: SparkSession, source: str, destination: str) -> str:
-    """Copy a bundle to the serving path (re-written through Spark), then
-    load it back to prove the copy is usable."""
+    """The newest bundle of ``source`` as a new version of ``destination``;
+    what is served until then stays as it is."""
     save_bundle(load_bundle(spark, source), destination)
     load_bundle(spark, destination)
     return destination
@@ -261,48 +290,105 @@ def publish_bundle(spark: SparkSession, source: str, destination: str) -> str:
 # -- scoring and evaluation -----------------------------------------------------------
 
 
+def _with_probability(out: DataFrame) -> DataFrame:
+    """The probability of the positive class. Labels are encoded as 1.0 for
+    it (``training_table``), whatever its value is in the source."""
+    if "probability" in out.columns:
+        return out.withColumn(score_ops.PROBABILITY, vector_to_array("probability")[1])
+    # a model without probabilities: 1.0 / 0.0 from the label
+    return out.withColumn(score_ops.PROBABILITY, F.when(F.col("prediction") == 1.0, 1.0).otherwise(0.0))
+
+
+def _labelled(scored: DataFrame, bundle: Bundle, config: RenewalConfig) -> DataFrame:
+    names = {int(k): v for k, v in bundle.metadata.get("label_map", dict(config.label_map)).items()}
+    threshold = float(bundle.metadata.get("prediction_threshold", config.prediction_threshold))
+    return score_ops.add_predictions(scored, config.with_(prediction_threshold=threshold, label_map=tuple(names.items())))
+
+
 def score(bundle: Bundle, df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, keep: tuple[str, ...] = ("account_id",)) -> DataFrame:
-    """Probability of the positive class, label and label name per row.
+    """Probability of the positive class, label and label name per row, with
+    the model features and the columns in ``keep``.
 
     ``df`` may hold raw inputs (features are built) or the 12 features
     (used as they are). Works on batch and streaming DataFrames: the fitted
-    pipeline is a row-wise transformation.
+    pipeline is a row-wise transformation. The target is not needed.
     """
     keep = tuple(c for c in keep if c in df.columns)
     frame = model_frame(df, config, keep=list(keep))
-    out = bundle.model.transform(frame)
-    if "probability" in out.columns:
-        prob = vector_to_array("probability")[int(bundle.metadata.get("positive_label", 1))]
-    else:  # a model without probabilities: 1.0 / 0.0 from the label
-        prob = F.when(F.col("prediction") == float(bundle.metadata.get("positive_label", 1)), 1.0).otherwise(0.0)
-    scored = out.select(*keep, *config.model_features, prob.alias(score_ops.PROBABILITY))
-    names = {int(k): v for k, v in bundle.metadata.get("label_map", dict(config.label_map)).items()}
-    cfg = config.with_(prediction_threshold=float(bundle.metadata.get("prediction_threshold", config.prediction_threshold)),
-                       label_map=tuple(names.items()))
-    return score_ops.add_predictions(scored, cfg)
+    out = _with_probability(bundle.model.transform(frame))
+    return _labelled(out.select(*keep, *config.model_features, score_ops.PROBABILITY), bundle, config)
+
+
+def score_accounts(bundle: Bundle, accounts: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
+    """The rows of ``accounts``, all columns as they are, with the predictions
+    appended. Features are built from copies, so that inputs and features of
+    the same name don't meet."""
+    copies = {c: f"_raw_{i}" for i, c in enumerate(accounts.columns)}
+    both = accounts.select("*", *[F.col(f"`{c}`").alias(n) for c, n in copies.items()])
+    scored = score(bundle, both, config, keep=tuple(copies.values()))
+    return scored.select(
+        *[F.col(n).alias(c) for c, n in copies.items()], score_ops.PROBABILITY, score_ops.PREDICTION, score_ops.LABEL
+    )
+
+
+EXPLANATION_BACKEND = "feature_importance_fallback"
+
+
+def bundle_basis(bundle: Bundle, config: RenewalConfig = DEFAULT_CONFIG) -> ExplanationBasis:
+    """The fitted model's medians and importances as a basis of explanations."""
+    return fit_basis(
+        None,
+        bundle.metadata.get("feature_importances"),
+        config,
+        medians=bundle.metadata.get("training_feature_medians", {}),
+    )
+
+
+def explain_accounts(
+    bundle: Bundle, accounts: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, keep: tuple[str, ...] = ("account_id",)
+) -> DataFrame:
+    """One explanation record per row: ``keep...``, the prediction, base_value
+    (null: the importance form has none), explanation_backend, top_factors
+    (array of {feature, feature_value, shap_value}, largest magnitude first)."""
+    keep = tuple(c for c in keep if c in accounts.columns)
+    scored = score(bundle, accounts, config, keep)
+    return scored.select(
+        *keep,
+        score_ops.PREDICTION,
+        score_ops.PROBABILITY,
+        score_ops.LABEL,
+        F.lit(None).cast(T.DoubleType()).alias("base_value"),
+        F.lit(EXPLANATION_BACKEND).alias("explanation_backend"),
+        top_factor_list(bundle_basis(bundle, config), config.top_k).alias("top_factors"),
+    )
 
 
 def evaluate(scored_test: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> dict[str, Any]:
-    """The original's metric set at threshold 0.5 (a handful of numbers)."""
+    """The original's metric set at threshold 0.5 (a handful of numbers), of a
+    scored table that is written once and read by every metric."""
     y, p = config.target, score_ops.PROBABILITY
-    df = scored_test.withColumn("_pred05", (F.col(p) >= 0.5).cast(T.IntegerType()))
-    m = metric_ops.binary_metrics(df, y, "_pred05").first().asDict()
-    m["roc_auc"] = metric_ops.roc_auc(df, y, p).first()["roc_auc"]
-    m["average_precision"] = metric_ops.average_precision(df, y, p).first()["average_precision"]
-    cm = {(r["actual"], r["predicted"]): r["count"] for r in metric_ops.confusion_matrix(df, y, "_pred05").collect()}
-    m["confusion_matrix"] = [[cm[(0, 0)], cm[(0, 1)]], [cm[(1, 0)], cm[(1, 1)]]]
+    positive = (F.col(y) == config.positive_class).cast(T.IntegerType())
+    df = stored(
+        scored_test.select(positive.alias(y), p, (F.col(p) >= 0.5).cast(T.IntegerType()).alias("_pred05")), "scored_test"
+    )
+    spark = df.sparkSession
+    counts = metric_ops.confusion_counts(df, y, "_pred05").first()
+    one = spark.createDataFrame([tuple(counts)], "tn long, fp long, fn long, tp long")
+    m = metric_ops.metrics_from_counts(one).first().asDict()
+    m |= metric_ops.ranking_metrics(df, y, p).first().asDict()
+    m["confusion_matrix"] = [[counts["tn"], counts["fp"]], [counts["fn"], counts["tp"]]]
     m["classification_report"] = {
         r["label"]: {"precision": r["precision"], "recall": r["recall"], "f1-score": r["f1_score"], "support": r["support"]}
-        for r in metric_ops.classification_report(df, y, "_pred05").collect()
+        for r in metric_ops.report_from_counts(one).collect()
     }
     return m
 
 
-def train_and_evaluate(
+def fit_and_evaluate(
     split_features: DataFrame,
     config: RenewalConfig = DEFAULT_CONFIG,
     n_trials: int | None = None,
-    parallelism: int = 2,
+    parallelism: int = 8,
     bundle_path: str | None = None,
 ) -> Bundle:
     """Search (or probe), final fit on train, evaluation on test, bundle."""
@@ -324,8 +410,8 @@ def train_and_evaluate(
 # -- registered model queries (rows-only: a boosted tree has no SQL form) --------------
 
 
-def q_score_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit the default-parameter model on the train split, score every account."""
+def default_bundle(spark: SparkSession, sf_dir: str) -> tuple[Bundle, DataFrame]:
+    """The default-parameter model of the train split, and the whole split."""
     from .catalog import split_features as splits
 
     cfg = DEFAULT_CONFIG
@@ -333,12 +419,42 @@ def q_score_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = materialized_training_table(split.where(F.col("split") == "train"), cfg)
     pipeline, gbt = build_pipeline(cfg)
     model = pipeline.fit(table, params=param_map(gbt, default_params(cfg), cfg.random_state))
-    bundle = Bundle(model, {"positive_label": 1, "prediction_threshold": cfg.prediction_threshold,
-                            "label_map": {str(k): v for k, v in cfg.label_map}})
-    return score(bundle, split, cfg).select("account_id", score_ops.PROBABILITY, score_ops.PREDICTION, score_ops.LABEL)
+    return make_bundle(model, table, cfg, default_params(cfg), {}), split
+
+
+def q_score_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit the default-parameter model on the train split, score every account."""
+    bundle, split = default_bundle(spark, sf_dir)
+    return score(bundle, split).select("account_id", score_ops.PROBABILITY, score_ops.PREDICTION, score_ops.LABEL)
+
+
+def q_score_accounts_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say about ``score_accounts``: accounts scored, and rows
+    that break a rule of its columns."""
+    scored = q_score_accounts(spark, sf_dir)
+    p, label = F.col(score_ops.PROBABILITY), F.col(score_ops.PREDICTION)
+    names = F.when(label == 1, "renewed").otherwise("not_renewed")
+    return scored.agg(
+        F.count(F.lit(1)).alias("accounts"),
+        F.count_distinct("account_id").alias("distinct_accounts"),
+        F.count_if((p < 0) | (p > 1) | p.isNull()).alias("bad_probabilities"),
+        F.count_if((p >= DEFAULT_CONFIG.prediction_threshold) != (label == 1)).alias("bad_predictions"),
+        F.count_if(F.col(score_ops.LABEL) != names).alias("bad_labels"),
+    )
 
 
-PUBLISHED_TRIALS = 2  # the published metrics come from a two-trial run
+def q_explained_accounts_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say about the explanations of the fitted model: records,
+    factors, and rows whose factors are not in order of magnitude."""
+    bundle, split = default_bundle(spark, sf_dir)
+    done = explain_accounts(bundle, split)
+    size = F.transform("top_factors", lambda f: -F.abs(f["shap_value"]))
+    return done.agg(
+        F.count(F.lit(1)).alias("accounts"),
+        F.sum(F.size("top_factors")).cast("long").alias("factors"),
+        F.count_if(F.array_sort(size) != size).alias("out_of_order"),
+        F.count("base_value").alias("base_values"),
+    )
 
 
 def q_cv_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +464,7 @@ def q_cv_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = DEFAULT_CONFIG
     split = splits(spark, sf_dir)
     table = materialized_training_table(split.where(F.col("split") == "train"), cfg)
-    result = search(table, cfg, PUBLISHED_TRIALS, parallelism=PUBLISHED_TRIALS * cfg.cv_folds)
+    result = search(table, cfg, parallelism=8)
     rows = [
         (i, p["n_estimators"], p["learning_rate"], p["max_depth"], p["min_samples_split"], p["min_samples_leaf"],
          p["subsample"], str(p["max_features"]), s)
@@ -361,4 +477,9 @@ def q_cv_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-MODEL_QUERIES = {"score_accounts": q_score_accounts, "cv_trials": q_cv_trials}
+MODEL_QUERIES = {
+    "score_accounts": q_score_accounts,
+    "score_accounts_check": q_score_accounts_check,
+    "explained_accounts_check": q_explained_accounts_check,
+    "cv_trials": q_cv_trials,
+}

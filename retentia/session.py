@@ -9,9 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-# "checkpoint" (default) or "parquet": how shared tables such as the feature
-# table are materialized (see ``materialize``).
-MATERIALIZE_CONF = "retentia.materialize"
 
 
 def launched_by_spark() -> bool:
@@ -59,48 +56,53 @@ def get_spark(app_name: str = "retentia", cpus: int | str = "*", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; invent one only when unset.
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    The fallback is for tests on one machine; a cluster names a shared folder
-    in ``spark.checkpoint.dir`` and that one is always preferred.
+    A folder of this machine is made up only for a local master that names
+    none, as in tests; on a cluster a missing setting is an error, since the
+    executors would write to their own disks.
     """
     sc = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     current = sc.getCheckpointDir()
     if current:
-        return current
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+        return configured or current
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="retentia-ckpt-")
     sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    return configured
 
-    Used where a table is read by many later jobs (training folds, search
-    trials): a lost executor then re-reads the checkpoint instead of
-    recomputing the scans and joins that built the table.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage of a table that several later jobs read.
 
-    ``retentia.materialize=checkpoint`` (default): a reliable checkpoint,
-    cheapest for small tables. ``parquet``: a parquet table in the shared
-    checkpoint folder, compressed, with column pruning and filter pushdown
-    for readers that need a few columns, the better form for large tables.
-    Either way a lost executor costs a re-read, not a recomputation. Row
-    order and partitioning are not kept by the parquet form, so this is for
-    tables read as sets.
-    """
+def stored(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder, for tables that several
+    later jobs read: the lineage ends there (a lost executor costs a re-read,
+    not a recomputation), readers prune columns and push filters down, and
+    with ``partition_by`` a filter on that column prunes whole folders."""
     spark = df.sparkSession
-    if spark.conf.get(MATERIALIZE_CONF, "checkpoint") != "parquet":
-        return cut_lineage(df)
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    path = f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written in this application. Frames that
+    read those tables can't be used any more, so this is the last step of a
+    job, not of a query."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ordered_checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: unlike a Parquet table it keeps the order of
+    rows and their partitions, which model fits depend on."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -6,14 +6,12 @@ label says whether the customer ordered again from 2001-01-01 on. Customers
 without a 2000 order keep null activity, which exercises numeric coercion.
 
 Plan at scale:
-* line items are pre-aggregated per order (partial aggregation map-side, then
-  one shuffle on ``l_orderkey``); only three columns are read;
-* orders are scanned once: the ``o_orderdate >= 2000-01-01`` filter reaches
-  the parquet scan, and history and label come from one set of conditional
-  aggregates (no second scan, no second shuffle, no second join);
-* the per-order join reuses the aggregation's hash partitioning, the
-  per-customer aggregation is partial-then-final (a customer holding a third
-  of all orders is combined map-side before the shuffle);
+* both order scans push their date filter down and read only their columns;
+* line items are joined to the orders of the year first and aggregated per
+  order afterwards, on the join's own partitioning;
+* the per-customer aggregation is partial-then-final (a customer holding a
+  third of all orders is combined map-side before the shuffle); customers with
+  later orders come in as rows of the same aggregation;
 * both customer-keyed sides are unique on the key, so the left join cannot
   fan out or skew.
 """
@@ -49,29 +47,36 @@ def account_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
 
-    per_order = lineitem.groupBy("l_orderkey").agg(
-        F.sum("l_quantity").alias("qty"),
-        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"),
+    # Line items meet the orders of the year before they are aggregated, so
+    # that those of other years are dropped in the join (its runtime filter
+    # prunes them before the shuffle); the aggregation keeps its partitioning.
+    year = orders.where((F.col("o_orderdate") >= F.lit(HISTORY_START)) & (F.col("o_orderdate") < F.lit(HISTORY_END)))
+    has_lines = F.col("l_orderkey").isNotNull()
+    per_order = (
+        year.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+        .join(lineitem.select("l_orderkey", "l_quantity", "l_returnflag"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+        .agg(
+            F.sum("l_quantity").alias("qty"),
+            F.sum(F.when(has_lines & (F.col("l_returnflag") == "R"), 1).when(has_lines, 0)).alias("returned"),
+        )
     )
-    # One pass over the orders from the history start on: the history
-    # numbers are conditional aggregates of calendar-2000 orders and the
-    # label is whether any later order exists. ``sum(when(...))`` (not
-    # ``count``) keeps a customer with only later orders at null activity,
-    # exactly like one without any order.
-    in_2000 = F.col("o_orderdate") < F.lit(HISTORY_END)
-    hist = lambda c: F.when(in_2000, c)
+    # Later orders only tell that there is one; a customer with nothing else
+    # keeps null activity, exactly like one without any order.
+    later = orders.where(F.col("o_orderdate") >= F.lit(HISTORY_END)).select("o_custkey", F.lit(1).alias("_later"))
+    history = per_order.select("o_custkey", "o_orderdate", "o_orderstatus", "qty", "returned", F.lit(1).alias("_one"))
     activity = (
-        orders.where(F.col("o_orderdate") >= F.lit(HISTORY_START))
-        .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-        .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        history.unionByName(later, allowMissingColumns=True)
         .groupBy("o_custkey")
         .agg(
-            (F.sum(hist(F.col("qty"))) / F.lit(12.0)).alias("monthly_usage_hours"),
-            F.sum(hist(F.lit(1))).cast(T.DoubleType()).alias("login_frequency"),
-            F.max(hist(F.col("o_orderdate"))).cast(T.DateType()).alias("last_seen"),
-            F.sum(hist(F.col("returned"))).cast(T.DoubleType()).alias("support_tickets"),
-            F.sum(hist(F.when(F.col("o_orderstatus") == "P", 1).otherwise(0))).cast(T.DoubleType()).alias("payment_failures"),
-            F.max(F.when(~in_2000, F.lit(1))).alias("_later"),
+            (F.sum("qty") / F.lit(12.0)).alias("monthly_usage_hours"),
+            F.sum("_one").cast(T.DoubleType()).alias("login_frequency"),
+            F.max("o_orderdate").cast(T.DateType()).alias("last_seen"),
+            F.sum("returned").cast(T.DoubleType()).alias("support_tickets"),
+            F.sum(F.when(F.col("_one") == 1, F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)))
+            .cast(T.DoubleType())
+            .alias("payment_failures"),
+            F.max("_later").alias("_later"),
         )
     )
 

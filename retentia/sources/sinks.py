@@ -6,7 +6,7 @@ shared file system), never gathered on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -26,9 +26,17 @@ def write_splits(df: DataFrame, path: str, split_column: str = "split", fmt: str
     writer.format(fmt).save(path)
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """True if a finished write is there: the folder has its ``_SUCCESS`` mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def ensure_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Materialize only when missing: an existing table is left as it is."""
-    write_table(df, path, fmt, mode="ignore")
+    """Materialize only when missing: a whole table is left as it is, one
+    that a failed job left behind is written anew."""
+    if not is_whole(df.sparkSession, path):
+        write_table(df, path, fmt)
 
 
 def write_report(df: DataFrame, path: str) -> None:

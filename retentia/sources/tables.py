@@ -6,25 +6,12 @@ import os
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-from ..config import BASE_NUMERIC_FEATURES, PLAN_COLUMN, TARGET_COLUMN
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Account file schema: declared, never inferred.
-ACCOUNT_SCHEMA = T.StructType(
-    [T.StructField(c, T.DoubleType(), True) for c in BASE_NUMERIC_FEATURES]
-    + [
-        T.StructField(PLAN_COLUMN, T.StringType(), True),
-        T.StructField(TARGET_COLUMN, T.IntegerType(), True),
-    ]
-)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a scale-factor folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -42,22 +29,16 @@ def load_accounts(
     path: str,
     columns: Sequence[str],
     fmt: str = "csv",
-    schema: T.StructType | None = None,
+    optional: Sequence[str] = (),
 ) -> DataFrame:
-    """Scan an account file and project it to ``columns``.
+    """Scan an account file or folder and project it to ``columns`` and those
+    of ``optional`` that it has.
 
-    CSV is read with a header and a declared schema (all text when no schema
-    is given, so that numeric coercion decides what parses); parquet keeps
-    its own schema. Only the projected columns reach the scan.
+    CSV is read with a header and all text, so that numeric coercion decides
+    what parses; other formats keep their own schema. Only the projected
+    columns reach the scan.
     """
-    if fmt == "parquet":
-        df = spark.read.parquet(path)
-    elif fmt == "csv":
-        reader = spark.read.option("header", True)
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.csv(path)
-    else:
-        df = spark.read.format(fmt).load(path)
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    df = reader.format(fmt).load(path)
     require_columns(df, columns, "source")
-    return df.select(*columns)
+    return df.select(*columns, *[c for c in optional if c in df.columns and c not in columns])

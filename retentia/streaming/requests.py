@@ -76,10 +76,14 @@ def request_rate(log: DataFrame, window: str = RATE_WINDOW, slide: str | None =
     requests per second in each event-time window (tumbling unless a
     ``slide`` is given; the dashboard's is 5 minutes every 15 seconds)."""
     seconds = _seconds(window)
-    w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    grouped = log.groupBy(w.alias("w")).agg(
-        F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("failed"), 1)).alias("errors")
-    )
+    counts = lambda a, b: (a.alias("requests"), b.alias("errors"))
+    w = F.window("ts", slide or window)
+    grouped = log.groupBy(w.alias("w")).agg(*counts(F.count(F.lit(1)), F.count(F.when(F.col("failed"), 1))))
+    if slide:
+        # panes of one slide are counted first; only they are dealt out to the windows they lie in
+        rolled = F.window(F.window_time("w"), window, slide)
+        grouped = grouped.groupBy(rolled.alias("r")).agg(*counts(F.sum("requests"), F.sum("errors")))
+        grouped = grouped.withColumnRenamed("r", "w")
     return grouped.select(
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
@@ -124,12 +128,17 @@ def start_monitor(
     name: str,
     checkpoint: str,
     output_mode: str,
-    sink: str = "memory",
+    sink: str = "parquet",
     path: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Start one monitoring query; the checkpoint folder keeps its progress
-    and state so a restarted driver resumes where it stopped."""
+    and state so a restarted driver resumes where it stopped.
+
+    File sinks (append mode) need a ``path``. ``memory`` keeps all rows on the
+    driver, for tests and small totals only."""
+    if sink != "memory" and not path:
+        raise ValueError(f"a {sink} sink needs a path")
     writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     if sink == "memory":
         writer = writer.format("memory").queryName(name)

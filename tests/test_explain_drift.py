@@ -84,3 +84,18 @@ def test_mean_delta_skips_nan(spark):
     cur = spark.createDataFrame([(4.0,)], "x double")
     got = D.mean_delta(ref, cur, ["x"]).first()
     assert (got["reference_mean"], got["current_mean"], got["mean_delta"]) == (2.0, 4.0, 2.0)
+
+
+def test_drift_of_an_empty_side_is_null(spark):
+    from retentia.operators import drift as D
+
+    a = spark.createDataFrame([(float(i), None, float(i)) for i in range(20)], "x double, y double, z double")
+    b = spark.createDataFrame([(None, float(i), float(i) + 9) for i in range(20)], "x double, y double, z double")
+    got = {r["column"]: r for r in D.distribution_drift(a, b, ["x", "y", "z"]).collect()}
+    for c in ("x", "y"):
+        assert got[c]["psi"] is None and got[c]["ks_statistic"] is None and got[c]["drifted"] is None
+    assert got["z"]["drifted"]
+    summary = D.drift_summary(D.distribution_drift(a, b, ["x", "y", "z"]), a, b).first()
+    assert summary["n_columns"] == 3 and summary["n_drifted"] == 1
+    nothing = D.distribution_drift(a.select("y"), a.select("y"), ["y"])
+    assert D.drift_summary(nothing, a, b).first()["share_drifted"] is None

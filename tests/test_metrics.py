@@ -81,3 +81,21 @@ def test_roc_auc_and_ap_against_brute_force_with_ties(spark):
 def test_roc_auc_single_class_is_null(spark):
     df = spark.createDataFrame([(1, 0.3), (1, 0.5)], "y int, s double")
     assert M.roc_auc(df, "y", "s").first()["roc_auc"] is None
+
+
+def test_ranking_metrics_of_billions(spark, monkeypatch):
+    from retentia.operators import metrics as M
+
+    n = 3_000_000_000
+    counts = spark.createDataFrame([(0.2, 0, n), (0.8, n, 0)], "p double, pos long, neg long")
+    monkeypatch.setattr(M, "score_counts", lambda *a, **k: counts)
+    row = M.ranking_metrics(spark.range(1), "y", "p").first()
+    assert row["roc_auc"] == 1.0 and row["average_precision"] == 1.0
+
+
+def test_positive_class_zero(spark):
+    from retentia.operators import metrics as M
+
+    df = spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.4), (1, 1, 0.2), (1, 1, 0.1)], "y int, pred int, p double")
+    assert M.confusion_counts(df, "y", "pred", positive=0).first().asDict() == {"tn": 2, "fp": 0, "fn": 1, "tp": 1}
+    assert M.roc_auc(df, "y", "p", positive=0).first()["roc_auc"] == 1.0

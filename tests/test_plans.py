@@ -21,8 +21,9 @@ def test_account_scan_prunes_and_pushes_down(spark):
     scans = [block for block in plan.split("\n(") if "Scan parquet" in block.split("\n")[0]]
     orders = [b for b in scans if "orders.parquet" in b]
     lineitem = [b for b in scans if "lineitem.parquet" in b]
-    assert len(orders) == 1, "orders is scanned once"
-    assert "GreaterThanOrEqual(o_orderdate" in orders[0]
+    assert len(orders) == 2, "the year's orders, and customers with later ones"
+    assert all("GreaterThanOrEqual(o_orderdate" in b for b in orders)
+    assert sum("ReadSchema: struct<o_custkey:bigint,o_orderdate" in b for b in orders) == 1
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>" in lineitem[0]
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -45,3 +46,11 @@ def test_top_factors_need_no_shuffle_per_account(spark):
     # the top-k adds no exchange and no window on top of the feature plan
     assert plan.count("Exchange") <= base_plan.count("Exchange")
     assert "Window" not in plan
+
+
+def test_sides_of_the_split_are_pruned_folders(spark):
+    from retentia.plans.catalog import split_features
+
+    plan = _plan(split_features(spark, SF_SMALL).where("split = 'test'").select("account_id", "split"))
+    assert plan.count("Scan parquet") == 2 and "PartitionFilters: [isnotnull(split" in plan  # tree and details
+    assert "Exchange" not in plan and "Window" not in plan

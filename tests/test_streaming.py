@@ -1,6 +1,7 @@
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from retentia.sources.accounts import account_table
@@ -26,10 +27,10 @@ def test_stream_totals_and_rate_equal_batch_twins(spark, tmp_path):
     stream = R.event_stream(spark, src, events.schema, max_files=1)
     log = R.request_log(stream)
 
-    q1 = R.start_monitor(R.request_totals(log), "totals_t", str(tmp_path / "ck1"), "complete")
+    q1 = R.start_monitor(R.request_totals(log), "totals_t", str(tmp_path / "ck1"), "complete", "memory")
     q1.awaitTermination()
     q2 = R.start_monitor(R.windowed_rate_stream(log, "5 minutes", None), "rate_t",
-                         str(tmp_path / "ck2"), "append")
+                         str(tmp_path / "ck2"), "append", "memory")
     q2.awaitTermination()
     batch_log = R.request_log(events)
     assert _rows(spark.table("totals_t")) == _rows(R.request_totals(batch_log))
@@ -46,12 +47,24 @@ def test_sliding_rate_stream_runs(spark, tmp_path):
     src = str(tmp_path / "ev")
     events.write.parquet(src)
     log = R.request_log(R.event_stream(spark, src, events.schema))
-    q = R.start_monitor(R.windowed_rate_stream(log), "slide_t", str(tmp_path / "ck"), "append")
+    q = R.start_monitor(R.windowed_rate_stream(log), "slide_t", str(tmp_path / "ck"), "append", path=str(tmp_path / "out"))
     q.awaitTermination()
-    out = spark.table("slide_t")
-    assert out.count() > 0
+    out = spark.read.parquet(str(tmp_path / "out"))
     five = F.col("window_start") + F.expr("INTERVAL 5 MINUTES")
     assert out.where(F.col("window_end") != five).count() == 0
+    # every window that the watermark has closed has the batch form's counts
+    batch = R.request_rate(R.with_event_time(R.request_log(events)), "5 minutes", "15 seconds")
+    assert out.count() > 0 and out.exceptAll(batch).count() == 0
+    # and the batch form has those of the windows themselves
+    log = R.with_event_time(R.request_log(events))
+    plain = log.groupBy(F.window("ts", "5 minutes", "15 seconds").alias("w")).count()
+    plain = plain.select(F.col("w.start").alias("window_start"), F.col("count").alias("requests"))
+    assert batch.select("window_start", "requests").exceptAll(plain).count() == 0 and batch.count() == plain.count()
+
+
+def test_file_sinks_need_a_path(spark, tmp_path):
+    with pytest.raises(ValueError, match="needs a path"):
+        R.start_monitor(spark.readStream.format("rate").load(), "x", str(tmp_path / "ck"), "append")
 
 
 def test_latency_histogram_is_cumulative(spark):
@@ -66,7 +79,7 @@ def test_stream_scoring_equals_batch(spark, tmp_path):
     src = str(tmp_path / "acc")
     acc.repartition(3).write.parquet(src)
     stream = account_stream(spark, src, acc.schema)
-    q = R.start_monitor(score_stream_stand_in(stream), "scored_t", str(tmp_path / "ck"), "append")
+    q = R.start_monitor(score_stream_stand_in(stream), "scored_t", str(tmp_path / "ck"), "append", "memory")
     q.awaitTermination()
     batch = score_stream_stand_in(spark.read.parquet(src))
     streamed = spark.table("scored_t")
