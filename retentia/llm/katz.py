@@ -40,7 +40,7 @@ from .store import shuffle_width, written
 #: Counts up to LARGEST are told apart; those below it are discounted.
 LARGEST, KEPT_BACK = 6, 1e-6
 #: Texts of a block of documents, in bytes.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 #: Hashes that stand for the start and the end of a text.
 START, END = np.uint64(1), np.uint64(2)
 
@@ -185,21 +185,22 @@ def _look_up(width: int, hot: np.ndarray, hot_counts: np.ndarray):
         place[place == len(hot)] = 0
         if len(hot):
             word_counts = np.where(hot[place] == unique, hot_counts[place], word_counts)
-        count = word_counts[number]
 
-        # what a document's tokens add up to
-        base = np.log10(word_counts + 0.5)[number]
+        # what a document's tokens add up to; block by block, as arrays over all entries are large
+        log_base = np.log10(word_counts + 0.5)
         # as a context, a word's count divides whatever is seen after it
-        divides = np.where((word_counts > 0) & (unique != END), -np.log10(np.maximum(word_counts, 1)), 0.0)[number]
-        part = np.log10(np.maximum(r, 1)) + divides + np.where(r > LARGEST, math.log10(1 - KEPT_BACK), 0.0)
+        divides = np.where((word_counts > 0) & (unique != END), -np.log10(np.maximum(word_counts, 1)), 0.0)
         ends = np.cumsum([0, *map(len, docs)])
         for i, (block, doc) in enumerate(zip(blocks, docs, strict=True)):
             s = slice(int(ends[i]), int(ends[i + 1]))
+            word, times = number[s], r[s]
+            large = np.where(times > LARGEST, math.log10(1 - KEPT_BACK), 0.0)
+            values = log_base[word], np.log10(np.maximum(times, 1)) + divides[word] + large
             there, at = np.unique(doc, return_inverse=True)
             n = len(there)
-            sums = [np.bincount(at, weights=x[s], minlength=n) for x in (base, part)]
-            number_of = [np.bincount(at, weights=r[s] == k, minlength=n) for k in range(1, LARGEST + 1)]
-            number_of.append(np.bincount(at, weights=count[s] > 0, minlength=n))
+            sums = [np.bincount(at, weights=x, minlength=n) for x in values]
+            number_of = [np.bincount(at, weights=times == k, minlength=n) for k in range(1, LARGEST + 1)]
+            number_of.append(np.bincount(at, weights=word_counts[word] > 0, minlength=n))
             payload = bundle(
                 integers(there),
                 *(squeezed(x.astype("<f8").tobytes()) for x in sums),
@@ -237,7 +238,7 @@ def _look_up(width: int, hot: np.ndarray, hot_counts: np.ndarray):
             if s.start < s.stop:
                 own, at = np.unique(context[new[s]], return_inverse=True)
                 payload = bundle(
-                    squeezed(names), _hash_bytes(vs[own]), integers(at), integers(of_block[s]), integers(doc[s]), _long(count[new[s]])
+                    squeezed(names), _hash_bytes(vs[own]), integers(at), integers(of_block[s]), integers(doc[s]), _long(word_counts[number[new[s]]])
                 )
                 yield q, (_UNSEEN, 0, payload)
 
