@@ -15,6 +15,7 @@ per combination of votes and label.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .store import broadcast_if_small, written
 
-LABELLED_ROWS, TRAINING_ROWS = 20_000, 10_000
+LABELLED_ROWS, TRAINING_ROWS = 20_000, 6_000
 
 #: Insults by what they aim at.
 LEXICONS = {
@@ -47,7 +48,7 @@ INDUCED = 3
 STEM_LENGTHS = (4, 5)
 #: A stem counts as toxic if in both halves of the labelled texts so many of the texts with it are toxic, and it occurs
 #: in this share of the toxic ones.
-STEM_PURITY, STEM_SUPPORT, LEAST_STEM_TEXTS = 0.97, 0.02, 4
+STEM_PURITY, STEM_SUPPORT, LEAST_STEM_TEXTS = 0.99, 0.02, 4
 STEMS_PER_LENGTH = 500
 
 LISTED = {w: i for i, words in enumerate(LEXICONS.values()) for w in words.split()}
@@ -66,44 +67,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-# --- features of a text ---------------------------------------------------------
+# --- votes and features of a text ------------------------------------------------
 
 
-class _Words(dict):
-    """word -> hashed word and stems, with a bit for each lexicon it is in."""
+def _words(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
 
-    def __init__(self, stems: dict[str, int]):
-        super().__init__()
-        self.stems = stems
-        self.listed = {w: 1 << i for w, i in LISTED.items() if stems.get(f"={w}") != NO_VOTER}
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > _KNOWN_WORDS:
-            self.clear()
-        bits, value = self.listed.get(word, 0), zlib.crc32(word.encode()) % BUCKETS
-        for i, n in enumerate(STEM_LENGTHS):
-            stem = word[:n]
-            if len(stem) == n:
-                group = self.stems.get(stem)
-                bits |= 0 if group is None else 1 << len(LEXICONS) + group
-            value |= zlib.crc32(stem.encode(), n) % BUCKETS << BITS * (i + 1)
-        value |= bits << BITS * (len(STEM_LENGTHS) + 1)
-        self[word] = value
-        return value
+_COMPILED = {name: re.compile(p, 0 if name == "shouting" else re.I) for name, p in PATTERNS.items()}
+_TWO_SHOUTED = re.compile(r"[A-Z]{3}\W+[A-Z]{3}")
+
+
+def _may_match(name: str, text: str, words: set[str]) -> bool:
+    """False where a pattern cannot match: spares most texts the search."""
+    if name == "masked":
+        return "*" in text or "#" in text or "@" in text
+    if name == "shouting":
+        return _TWO_SHOUTED.search(text) is not None
+    return "you" in words or "yourself" in words
+
+
+class Voters:
+    """The voters of some stems (see ``induce_stems``)."""
 
+    def __init__(self, stems: dict[str, int]):
+        self.listed = {w: 1 << i for w, i in LISTED.items() if stems.get(f"={w}") != NO_VOTER}
+        self.stems = {s: 1 << len(LEXICONS) + i for s, i in stems.items() if i != NO_VOTER}
 
-_COMPILED = [re.compile(p, 0 if name == "shouting" else re.I) for name, p in PATTERNS.items()]
+    def votes(self, text: str, words: set[str]) -> int:
+        out = 0
+        for word in self.listed.keys() & words:
+            out |= self.listed[word]
+        for n in STEM_LENGTHS:
+            for stem in self.stems.keys() & {w[:n] for w in words}:
+                out |= self.stems[stem]
+        for i, (name, pattern) in enumerate(_COMPILED.items()):
+            if _may_match(name, text, words) and pattern.search(text):
+                out |= 1 << _LEXICON_VOTERS + i
+        return out
 
 
-def _looked_at(text: str, words: _Words) -> tuple[int, np.ndarray]:
-    """(vote bits, hashed features, each once) of a text."""
-    found = np.unique(np.array([words[w] for w in _WORD.findall(text.lower())], dtype=np.int64))
-    votes = int(np.bitwise_or.reduce(found >> BITS * (len(STEM_LENGTHS) + 1))) if len(found) else 0
-    for i, pattern in enumerate(_COMPILED):
-        if pattern.search(text):
-            votes |= 1 << _LEXICON_VOTERS + i
-    kinds = [np.unique((found >> BITS * i) & (BUCKETS - 1)) + i * BUCKETS for i in range(len(STEM_LENGTHS) + 1)]
-    return votes, np.concatenate(kinds)
+def _hashed(word: str) -> list[int]:
+    """Buckets of a word and of its stems."""
+    out = [zlib.crc32(word.encode()) % BUCKETS]
+    for i, n in enumerate(STEM_LENGTHS, start=1):
+        out.append(zlib.crc32(word[:n].encode(), n) % BUCKETS + i * BUCKETS)
+    return out
 
 
 # --- stems from labelled rows -----------------------------------------------------
@@ -114,7 +123,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, label, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = set(_WORD.findall(text.as_py().lower()))
+            words = _words(text.as_py())
             stems = {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n}
             for stem in stems | {f"={w}" for w in words if w in LISTED}:
                 count = counts.setdefault(stem, [0, 0, 0, 0])
@@ -245,13 +254,33 @@ class ToxicityModel:
     label_model: LabelModel
     bias: float
     vote_weights: np.ndarray
-    weights: np.ndarray = field(repr=False)  # of hashed features
+    weights: np.ndarray = field(repr=False)  # of hashed words and stems
+
+
+class _Scorer(dict):
+    """Scores texts; remembers the weights of words up to a bound."""
+
+    def __init__(self, model: ToxicityModel):
+        super().__init__()
+        self.model, self.voters = model, Voters(model.stems)
+        self.by_votes: dict[int, float] = {}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > _KNOWN_WORDS:
+            self.clear()
+        self[word] = weight = float(sum(self.model.weights[h] for h in _hashed(word)))
+        return weight
 
-    def score(self, votes: int, features: np.ndarray) -> float:
-        margin = self.bias + float(unpacked(np.array([votes]))[0] @ self.vote_weights)
-        if len(features):
-            margin += float(self.weights[features].sum()) / len(features) ** 0.5
-        return 1 / (1 + float(np.exp(-np.clip(margin, -50, 50))))
+    def score(self, text: str) -> float:
+        words = _words(text)
+        votes = self.voters.votes(text, words)
+        if votes not in self.by_votes:
+            self.by_votes[votes] = self.model.bias + float(unpacked(np.array([votes]))[0] @ self.model.vote_weights)
+        margin = self.by_votes[votes]
+        if words:
+            # fsum does not depend on the order of the set
+            margin += math.fsum(map(self.__getitem__, words)) / len(words) ** 0.5
+        return 1 / (1 + math.exp(-min(50.0, max(-50.0, margin))))
 
 
 def _on_votes(votes: np.ndarray, target: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -268,14 +297,17 @@ def _on_votes(votes: np.ndarray, target: np.ndarray, rounds: int = 25) -> np.nda
 
 def fit_classifier(votes: np.ndarray, features: list[np.ndarray], target: np.ndarray, rounds: int = 60):
     """(bias, vote weights, feature weights): logistic regression on soft
-    labels, features of unit length, by Adam with an L2 penalty. Starts from
+    labels, features over the root of the number of words, by Adam with an L2 penalty. Starts from
     the regression on the votes alone."""
     width = (len(STEM_LENGTHS) + 1) * BUCKETS
     sizes = np.array([len(f) for f in features], dtype=np.int64)
-    flat = np.concatenate(features).astype(np.int64) if len(features) else np.zeros(0, dtype=np.int64)
-    used, at = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    value = 1 / np.sqrt(np.maximum(sizes, 1))[row]
+    flat = np.concatenate(features) if len(features) else np.zeros(0, dtype=np.int32)
+    used = np.flatnonzero(np.bincount(flat, minlength=width))
+    number = np.zeros(width, dtype=np.int32)
+    number[used] = np.arange(len(used))
+    at = number[flat]
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    value = (1 / np.sqrt(np.maximum(sizes // (len(STEM_LENGTHS) + 1), 1))).astype(np.float32)[row]
     x = np.concatenate([_on_votes(votes, target), np.zeros(len(used))])
     penalty = np.concatenate([[0.0], np.full(votes.shape[1], 1e-5), np.full(len(used), 1e-2)])
     m, v, n = np.zeros_like(x), np.zeros_like(x), max(1, len(sizes))
@@ -316,9 +348,9 @@ def fit_toxicity(
     stems = induce_stems(rows, known)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(stems)
+        voters = Voters(stems)
         for batch in batches:
-            masks = [_looked_at(t.as_py(), words)[0] for t in batch.column(1)]
+            masks = [voters.votes(t, _words(t)) for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int32())], names=["doc_id", "votes"])
 
     # a row per combination of votes and label, of which there is a fixed number
@@ -333,12 +365,15 @@ def fit_toxicity(
     label_model = fit_label_model(masks, marks, counts.astype(float))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(stems)
+        voters = Voters(stems)
         for batch in batches:
-            found = [_looked_at(t.as_py(), words) for t in batch.column(0)]
+            texts = batch.column(0).to_pylist()
+            words = [_words(t) for t in texts]
+            votes = [voters.votes(t, w) for t, w in zip(texts, words, strict=True)]
+            # sorted: the fit does not depend on a set's order
+            hashed = [np.array([h for x in sorted(w) for h in _hashed(x)], dtype="<i4").tobytes() for w in words]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in found], pa.int32()), pa.array([x.astype("<i4").tobytes() for _, x in found], pa.binary())],
-                names=["votes", "features"],
+                [pa.array(votes, pa.int32()), pa.array(hashed, pa.binary())], names=["votes", "features"]
             )
 
     sample = (
@@ -367,10 +402,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 3 * 2**18 weights
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        words = _Words(own.stems)
+        scorer = _Scorer(shared.value)
         for batch in batches:
-            scores = [own.score(*_looked_at(t.as_py(), words)) for t in batch.column(1)]
+            scores = [scorer.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return (
@@ -391,10 +425,9 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     place = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        words = _Words(own.stems)
+        scorer = _Scorer(shared.value)
         for batch in batches:
-            keep = [own.score(*_looked_at(t.as_py() or "", words)) < 0.5 for t in batch.column(place)]
+            keep = [scorer.score(t.as_py() or "") < 0.5 for t in batch.column(place)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
