@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary
-from .packed import bundle, from_planes, gathered, planes, squeezed, unbundle, unsqueezed
+from .packed import bundle, from_integers, from_planes, gathered, integers, planes, squeezed, unbundle, unsqueezed
 from .store import shuffle_width
 
 #: A block is closed when its texts pass this many characters.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 10_000_000
+#: Compression of words and ids, of which the shuffles are made up besides positions.
+_LEVEL = 12
 
 _WORDS, _DOCS = 0, 1
 _ROWS = "kind int, bucket int, block long, payload binary"
@@ -64,15 +66,16 @@ class _Block:
         if not words:
             return
         of = np.array([zlib.crc32(w) % buckets for w in words], dtype=np.int64)
-        order = sorted(range(len(words)), key=lambda i: (of[i], words[i]))
+        order = np.argsort(of, kind="stable")  # within a bucket by first use
         rank = np.empty(len(words), dtype=np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
         tokens = rank[np.concatenate(self.sequences)]
         places = np.argsort(tokens, kind="stable")
         uses = np.bincount(tokens, minlength=len(words))
-        firsts = np.cumsum(uses) - uses
+        first = np.cumsum(uses) - uses
         steps = np.diff(places, prepend=0)
-        steps[firsts] = places[firsts]  # a word's positions: the first, then distances
+        later = np.ones(len(places), dtype=bool)
+        later[first] = False
         words = [words[i] for i in order]
         sizes = np.array([len(w) for w in words], dtype=np.uint32)
         bounds = np.searchsorted(of[order], np.arange(buckets + 1))
@@ -80,11 +83,28 @@ class _Block:
             a, b = int(bounds[bucket]), int(bounds[bucket + 1])
             if a == b:
                 continue
-            lo, hi = int(firsts[a]), int(firsts[b - 1] + uses[b - 1])
-            payload = bundle(planes(sizes[a:b]), squeezed(b"".join(words[a:b])), planes(uses[a:b]), planes(steps[lo:hi]))
+            span = slice(int(first[a]), int(first[b - 1] + uses[b - 1]))
+            payload = bundle(
+                planes(sizes[a:b]),
+                squeezed(b"".join(words[a:b]), _LEVEL),
+                planes(uses[a:b]),
+                planes(np.diff(places[first[a:b]], prepend=0)),  # first positions grow
+                planes(steps[span][later[span]]),  # of each word, distances to its later ones
+            )
             yield _rows([_WORDS], [bucket], [block], [payload])
 
 
+def _positions(uses: np.ndarray, firsts: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Each word's positions in the block, word by word."""
+    at = np.cumsum(uses) - uses
+    moves = np.zeros(int(uses.sum()), dtype=np.int64)
+    later = np.ones(len(moves), dtype=bool)
+    later[at] = False
+    moves[later] = steps
+    run = np.cumsum(moves)
+    return run + np.repeat(np.cumsum(firsts) - run[at], uses)
+
+
 def _blocks(buckets: int, block_chars: int):
     def split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -113,7 +133,7 @@ def _encode_words(vocab: str):
             kinds, buckets, blocks, payloads = (c.to_pylist() for c in batch.columns)
             for kind, bucket, block, payload in zip(kinds, buckets, blocks, payloads, strict=True):
                 if kind == _WORDS:
-                    sizes, blob, uses, steps = unbundle(payload)
+                    sizes, blob, *where = unbundle(payload)
                     ends = np.cumsum(from_planes(sizes), dtype=np.int64).tolist()
                     blob, start, ids = unsqueezed(blob), 0, []
                     for end in ends:
@@ -125,13 +145,18 @@ def _encode_words(vocab: str):
                         start = end
                     lengths = np.array([len(x) for x in ids], dtype=np.uint32)
                     flat = np.array([x for y in ids for x in y], dtype=np.uint32)
-                    payload = bundle(planes(lengths), planes(flat), uses, steps)
+                    payload = bundle(planes(lengths), integers(flat, _LEVEL), *where)
                 yield _rows([kind], [bucket], [block], [payload])
 
     return encode
 
 
-def _reassemble(group: pa.Table) -> pa.Table:
+def _bytes_of(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
+def _ids_of_block(group: pa.Table) -> pa.Table:
+    """doc_id, n_tokens, ids of the documents of a block."""
     kinds, payloads = group["kind"].to_pylist(), group["payload"].to_pylist()
     docs = [unbundle(p) for k, p in zip(kinds, payloads, strict=True) if k == _DOCS]
     parts = [unbundle(p) for k, p in zip(kinds, payloads, strict=True) if k == _WORDS]
@@ -141,13 +166,12 @@ def _reassemble(group: pa.Table) -> pa.Table:
     known = np.frombuffer(unsqueezed(docs[0][1]), dtype=np.uint8)
     counts = from_planes(docs[0][2]).astype(np.int64)
     total = int(counts.sum())
-    length, start = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
+    length, start = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int32)
     word_ids, before = [], 0
-    for lengths, flat, uses, steps in parts:
-        lengths, flat, uses = from_planes(lengths).astype(np.int64), from_planes(flat), from_planes(uses).astype(np.int64)
-        steps = from_planes(steps).astype(np.int64)
-        run, firsts = np.cumsum(steps), np.cumsum(uses) - uses
-        places = run - np.repeat(run[firsts] - steps[firsts], uses)
+    for lengths, flat, *where in parts:
+        lengths, flat = from_planes(lengths).astype(np.int64), from_integers(flat)
+        uses, firsts, steps = (from_planes(x).astype(np.int64) for x in where)
+        places = _positions(uses, firsts, steps)
         length[places] = np.repeat(lengths, uses)
         start[places] = np.repeat(before + np.cumsum(lengths) - lengths, uses)
         word_ids.append(flat)
@@ -174,8 +198,11 @@ def encode(
     text_col: str = "text",
     vocab: str = vocabulary.RANK_FILE,
     block_chars: int = BLOCK_CHARS,
+    with_decoded: bool = False,
 ) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) per row.
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) per row;
+    ``with_decoded`` adds what ``decode`` makes of the ids, without handing
+    them to another Python worker.
 
     Every match of the vocabulary's pattern is encoded by itself, without
     special tokens. A null or empty text has no ids; a null id stays null and
@@ -186,12 +213,21 @@ def encode(
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    buckets = 2 * width
     words = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
-        _blocks(buckets, block_chars), _ROWS
+        _blocks(width, block_chars), _ROWS
     )
-    coded = words.repartition(width, "bucket").mapInArrow(_encode_words(vocab), _ROWS)
-    return coded.groupBy("block").applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
+    coded = words.repartitionById(width, F.col("bucket")).mapInArrow(_encode_words(vocab), _ROWS)
+
+    def reassemble(group: pa.Table) -> pa.Table:
+        done = _ids_of_block(group)
+        if with_decoded:
+            table = vocabulary.token_bytes(vocab)
+            decoded = [_bytes_of(x.as_py(), table) for x in done["ids"]]
+            done = done.append_column("decoded", pa.array(decoded, pa.binary()))
+        return done
+
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * with_decoded
+    return coded.groupBy("block").applyInArrow(reassemble, schema)
 
 
 def decode(encoded: DataFrame, vocab: str = vocabulary.RANK_FILE) -> DataFrame:
@@ -202,10 +238,7 @@ def decode(encoded: DataFrame, vocab: str = vocabulary.RANK_FILE) -> DataFrame:
     def join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary.token_bytes(vocab)
         for batch in batches:
-            out = [
-                b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()))
-                for x in batch.column(2)
-            ]
+            out = [_bytes_of(x.as_py() or b"", table) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     names = ["doc_id", "n_tokens", "ids"]

@@ -20,14 +20,25 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def squeezed(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unsqueezed(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def integers(values: np.ndarray, level: int = 3) -> bytes:
+    """Unsigned integers below 2**32 in two or four bytes each, compressed:
+    keeps repeated sequences together."""
+    wide = bool(len(values)) and int(values.max()) > 0xFFFF
+    return bytes([wide]) + squeezed(values.astype("<u4" if wide else "<u2").tobytes(), level)
+
+
+def from_integers(data: bytes) -> np.ndarray:
+    return np.frombuffer(unsqueezed(data[1:]), dtype="<u4" if data[0] else "<u2").astype("<u4")
+
+
 def bundle(*parts: bytes) -> bytes:
     return struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts)) + b"".join(parts)
 

@@ -18,9 +18,9 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _table(spark, sf_dir, "embeddings")
     vectors = vector_table(rows)
-    queries = vectors.where(F.col("vec_id") % 20 == 0)
-    n = rows.count()
-    return top_k(vectors, queries, 20, n_vectors=n, n_queries=n // 20 + 1)
+    asked = F.col("vec_id") % 20 == 0
+    # upper bounds from the table itself, which size the tiles
+    return top_k(vectors, vectors.where(asked), 20, n_vectors=rows.count(), n_queries=rows.where(asked).count())
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,9 +110,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of what they decode to."""
-    from .byte_bpe import decode, encode
+    from .byte_bpe import encode
 
-    return decode(encode(_table(spark, sf_dir, "documents"))).select(
+    return encode(_table(spark, sf_dir, "documents"), with_decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
