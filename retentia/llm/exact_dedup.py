@@ -86,6 +86,11 @@ def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other: exactly one of them stays. An empty table gives an empty result;
     other columns of ``docs`` are not looked at.
     """
+    return _decided(docs, id_col, text_col, k)[0]
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, k: int | None) -> tuple[DataFrame, DataFrame]:
+    """The decisions, and the winners of the frequent digests (at most k rows)."""
     spark = docs.sparkSession
     k = k or _counters(spark)
     # row numbers tell repeated (id, text) rows apart; they are fixed by being written
@@ -119,7 +124,7 @@ def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("row") == F.col("first.row")).alias("kept"),
         F.col("digest"),
     ]
-    return heavy.select(*out).unionByName(light.select(*out))
+    return heavy.select(*out).unionByName(light.select(*out)), winners
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
@@ -129,12 +134,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     but not in other columns, any one stays.
     """
     names = docs.columns
-    decisions = dedup_decisions(docs, id_col, text_col, k)
-    # a name no column of the input has
-    key = "_".join(["key", *sorted(names, key=len)[-1:]])
+    decisions, winners = _decided(docs, id_col, text_col, k)
+    # names that no column of the input has
+    longest = max(names, key=len)
+    digest, key, winner = (f"{n}_{longest}" for n in ("digest", "key", "winner"))
     survivors = decisions.where("kept").select(_identity(F.col("doc_id"), F.col("digest")).alias(key))
-    marked = docs.withColumn(key, _identity(F.col(f"`{id_col}`"), text_digest(F.col(f"`{text_col}`"))))
-    return marked.join(survivors, key, "left_semi").dropDuplicates([key]).select(*[f"`{n}`" for n in names])
+    frequent_ids = winners.select(F.col("digest").alias(digest), F.struct("first.id").alias(winner))
+    own_id = F.col(f"`{id_col}`")
+    rows = docs.withColumn(digest, text_digest(F.col(f"`{text_col}`"))).join(F.broadcast(frequent_ids), digest, "left")
+    # copies of frequent texts go here, before any text is shuffled
+    rows = rows.where(F.col(f"`{winner}`").isNull() | own_id.eqNullSafe(F.col(f"`{winner}`.id")))
+    rows = rows.withColumn(key, _identity(own_id, F.col(f"`{digest}`")))
+    return rows.join(survivors, key, "left_semi").dropDuplicates([key]).select(*[f"`{n}`" for n in names])
 
 
 def _identity(doc_id: Column, digest: Column) -> Column:

@@ -27,9 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables and archives. Frames that
+    read them can't be used any more: the last step of a job, not of a query."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
