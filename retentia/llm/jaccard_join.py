@@ -4,12 +4,12 @@ Equal shingle sets are one class, and only one document of a class takes part
 in the join. Sets are dealt into bands by their size; two similar sets lie in
 the same or in neighbouring bands. Similar sets differ in at most D elements,
 so if a band's hash space is cut into more than D regions, they agree in the
-whole content of some region. Sets that agree in a region are candidates, and
-groups of candidates make up the tiles: blocks of sets of one band against
-blocks of the same or the next one. In a tile, counts of common bits of hashed
-bitmaps bound every overlap from above, and pairs that pass are decided by
-intersecting their sorted arrays. All steps are exact: no link is lost and
-no pair is sampled.
+whole content of some region. Counts of common bits of hashed bitmaps bound
+the overlap of sets that agree in a region from above; sets whose bound
+suffices are candidates, and groups of candidates make up the tiles: blocks of
+sets of one band against blocks of the same or the next one. In a tile the
+bound is taken for all pairs, and pairs that pass are decided by intersecting
+their sorted arrays. All steps are exact: no link is lost, no pair is sampled.
 
 Inside a tile a pair that is already connected need not be compared, so
 thousands of near copies cost about one comparison each.
@@ -31,6 +31,8 @@ from .store import broadcast_if_small, written
 
 #: Width of a size band (largest over smallest size), sets in a tile's side.
 BAND_RATIO, BLOCK_SETS = 1.5, 512
+#: Bits of the largest bitmap that travels with a candidate.
+LARGEST_BITMAP = 8192
 #: Sizes of bands are known up to here; a set is never that large.
 _MOST = 1 << 40
 
@@ -93,24 +95,104 @@ def region_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 def _described(batches: Iterator[pa.RecordBatch], size: int, percent: int, with_array: bool) -> Iterator[pa.RecordBatch]:
     """The batch's columns but the last, which is the text, then the set's
-    size and id, and its region keys or its shingles."""
+    size and id, and its shingles or else its bitmap and region keys."""
     known, bands = WordHashes(), Bands(percent)
     for batch in batches:
-        sizes, ids, arrays = [], [], []
+        sizes, ids, arrays, marks = [], [], [], []
         for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
             shingles = shingle_set(word_hashes(text.as_py() or b"", known), size)
             sizes.append(len(shingles))
             ids.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-            arrays.append(shingles.tobytes() if with_array else region_keys(shingles, bands).view(np.int64))
-        last = pa.array(arrays, pa.binary() if with_array else pa.list_(pa.int64()))
-        columns = [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), last]
-        names = [*batch.schema.names[:-1], "size", "set_id", "shingles" if with_array else "keys"]
+            if with_array:
+                arrays.append(shingles.tobytes())
+            else:
+                arrays.append(region_keys(shingles, bands).view(np.int64))
+                marks.append(bitmaps([shingles], bitmap_bits(len(shingles))).tobytes())
+        columns = [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
+        names = [*batch.schema.names[:-1], "size", "set_id"]
+        if with_array:
+            columns, names = [*columns, pa.array(arrays, pa.binary())], [*names, "shingles"]
+        else:
+            columns += [pa.array(marks, pa.binary()), pa.array(arrays, pa.list_(pa.int64()))]
+            names += ["marks", "keys"]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 # --- inside a tile ---------------------------------------------------------------
 
 
+def bitmap_bits(size: int) -> int:
+    """Bits of a set's own bitmap: a power of two, about twice its size."""
+    return max(64, min(LARGEST_BITMAP, 1 << int(2 * max(1, size) - 1).bit_length()))
+
+
+def folded(marks: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps cut to ``words`` 64-bit words: halves laid upon each other, as
+    if the elements had been hashed to fewer bits."""
+    while marks.shape[-1] > words:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] | marks[..., half:]
+    return marks
+
+
+def group_edges(rows: np.ndarray, sizes: np.ndarray, marks: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Chains through the groups that pairs with a sufficient bound connect."""
+    maps = [np.frombuffer(m, dtype=np.uint64) for m in marks]
+    words = min(len(m) for m in maps)
+    maps = np.stack([folded(m, words) for m in maps])
+    bound = overlap_bounds(maps, sizes, maps, sizes)
+    near = bound * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])
+    label = np.arange(len(rows))
+    while True:
+        least = np.where(near, label[None, :], len(rows)).min(axis=1)
+        least = np.minimum(least, label)
+        if (least == label).all():
+            break
+        label = least
+    order = np.argsort(label, kind="stable")
+    same = label[order][1:] == label[order][:-1]
+    return list(zip(rows[order][:-1][same].tolist(), rows[order][1:][same].tolist(), strict=True))
+
+
+def _candidate_edges(percent: int):
+    """(a, b) from rows (key, row, size, marks) sorted by key: in each tile of
+    rows that share a key, those connected by pairs whose bound suffices. A
+    tile of more than BLOCK_SETS rows is taken block by block, and the blocks
+    are connected without looking: too many candidates, never too few."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, sizes, marks, last = None, [], [], [], None
+
+        def closed() -> list[tuple[int, int]]:
+            nonlocal last
+            found = group_edges(np.array(rows), np.array(sizes), marks, percent) if len(rows) > 1 else []
+            if last is not None and rows:
+                found.append((last, rows[0]))
+            last = rows[-1] if rows else last
+            rows.clear(), sizes.clear(), marks.clear()
+            return found
+
+        for batch in batches:
+            out = []
+            for k, row, size, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key or len(rows) == BLOCK_SETS:
+                    out += closed()
+                    if k != key:
+                        key, last = k, None
+                rows.append(row)
+                sizes.append(size)
+                marks.append(mark)
+            yield _edge_batch(out)
+        yield _edge_batch(closed())
+
+    return edges
+
+
+def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*pairs, strict=True)) if pairs else [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     out = np.zeros((len(sets), bits // 8), dtype=np.uint8)
     for row, shingles in zip(out, sets, strict=True):
@@ -201,10 +283,10 @@ class JaccardJoin:
             F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         )
         describe = lambda batches: _described(batches, words, percent, False)
-        #: one row per document: row, doc_id, text_hash, size, set_id, keys
+        #: one row per document: row, doc_id, text_hash, size, set_id, marks, keys
         self.sets = written(
             self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "text").mapInArrow(
-                describe, "row long, doc_id long, text_hash long, size long, set_id binary, keys array<long>"
+                describe, "row long, doc_id long, text_hash long, size long, set_id binary, marks binary, keys array<long>"
             ),
             "shingle_sets",
         )
@@ -219,8 +301,9 @@ class JaccardJoin:
         )
 
     def candidates(self) -> DataFrame:
-        """(a, b): first rows of classes that agree in a region, enough of
-        them to connect all such classes."""
+        """(a, b): first rows of classes that agree in a region and whose
+        bitmaps leave a sufficient overlap possible, enough of them to connect
+        all such classes."""
         copied = self.classes.where("members > 1").select("set_id", F.col("row").alias("first_row"))
         copies = written(
             self.sets.join(broadcast_if_small(written(copied, "copied")), "set_id")
@@ -228,13 +311,24 @@ class JaccardJoin:
             .select("row"),
             "copies",
         )
-        keys = self.sets.join(broadcast_if_small(copies), "row", "left_anti").select("row", F.explode("keys").alias("key"))
-        # neighbours in the order of a key's rows: a chain, however many share the key
-        chain = Window.partitionBy("key").orderBy("row")
+        firsts = self.sets.join(broadcast_if_small(copies), "row", "left_anti")
+        keys = firsts.select(F.explode("keys").alias("key"), "row")
+        # most keys have one row: a look at the neighbours in order finds the others, however many share a key
+        order = Window.partitionBy("key").orderBy("row")
+        shared = written(
+            keys.withColumn("before", F.lag("row").over(order))
+            .withColumn("after", F.lead("row").over(order))
+            .where(F.col("before").isNotNull() | F.col("after").isNotNull())
+            .select("key", "row"),
+            "shared_keys",
+        )
+        percent = self.percent
         return (
-            keys.withColumn("b", F.lag("row").over(chain))
-            .where(F.col("b").isNotNull())
-            .select(F.col("row").alias("a"), "b")
+            shared.join(self.sets.select("row", "size", "marks"), "row")
+            .repartition("key")
+            .sortWithinPartitions("key", "row")
+            .select("key", "row", "size", "marks")
+            .mapInArrow(_candidate_edges(percent), "a long, b long")
             .distinct()
         )
 
