@@ -7,7 +7,7 @@ import xxhash
 
 #: Odd 64-bit multipliers.
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 150_000
 
 
 class WordHashes(dict):

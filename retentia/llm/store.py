@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +45,30 @@ def drop_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch that goes to a Python worker while whole texts do.
+TEXT_BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Small batches for the actions inside: a batch of whole texts is held by
+    the executor and by the worker at once."""
+    before = spark.conf.get(BATCH_CONF, None)
+    spark.conf.set(BATCH_CONF, str(TEXT_BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_CONF) if before is None else spark.conf.set(BATCH_CONF, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder: the lineage ends there,
     so that a lost executor costs a re-read and no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with text_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import broadcast_if_small, written
+from .store import broadcast_if_small, text_batches, written
 
 LABELLED_ROWS, TRAINING_ROWS = 20_000, 6_000
 
@@ -59,7 +59,7 @@ _LEXICON_VOTERS = len(LEXICONS) + INDUCED
 BITS = 18
 BUCKETS = 1 << BITS
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 150_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -354,13 +354,14 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int32())], names=["doc_id", "votes"])
 
     # a row per combination of votes and label, of which there is a fixed number
-    table = (
+    votes_by_label = (
         rows.mapInArrow(vote, "doc_id long, votes int")
         .join(known, "doc_id", "left")
         .groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
     )
+    with text_batches(docs.sparkSession):
+        table = votes_by_label.collect()
     masks, marks, counts = (np.array([r[c] for r in table], dtype=np.int64) for c in ("votes", "toxic", "n"))
     label_model = fit_label_model(masks, marks, counts.astype(float))
 
