@@ -1,6 +1,6 @@
 """Feature engineering: coercion, plan normalization and the model features.
 
-``build_renewal_features`` is one narrow projection: no shuffle, no Python,
+``account_features`` is one narrow projection: no shuffle, no Python,
 all inside whole-stage code generation. Passthrough columns (ids, the label,
 anything else the input carries) come first, then the model features in the
 configured order; the raw plan text is dropped, as in the original.
@@ -60,7 +60,7 @@ def feature_columns(config: RenewalConfig = DEFAULT_CONFIG) -> dict[str, F.Colum
     }
 
 
-def build_renewal_features(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
+def account_features(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
     """Raw account rows -> passthrough columns + the model features."""
     require_columns(df, config.input_features, "subscription input")
     frame = normalize_plans(coerce_inputs(df), config)
@@ -84,5 +84,5 @@ def model_frame(df: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, keep: Seq
     if set(features).issubset(df.columns):
         return df.select(*keep, *[F.col(c).cast(T.DoubleType()).alias(c) for c in features])
     require_columns(df, config.input_features, "subscription input")
-    built = build_renewal_features(df.select(*keep, *config.input_features), config)
+    built = account_features(df.select(*keep, *config.input_features), config)
     return built.select(*keep, *[F.col(c).cast(T.DoubleType()).alias(c) for c in features])

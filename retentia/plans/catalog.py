@@ -29,7 +29,7 @@ from ..operators import explain as explain_ops
 from ..operators import metrics as metric_ops
 from ..operators import quality
 from ..operators import scoring as score_ops
-from ..operators.features import build_renewal_features, coerce_inputs, normalize_plans
+from ..operators.features import account_features, coerce_inputs, normalize_plans
 from ..operators.quantiles import exact_medians
 from ..operators.split import cv_folds, stratified_split
 from ..sources.accounts import account_table
@@ -71,7 +71,7 @@ def registered_features(features: DataFrame) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir, "features", lambda: registered_features(build_renewal_features(accounts(spark, sf_dir), CFG)))
+    return _plan(spark, sf_dir, "features", lambda: registered_features(account_features(accounts(spark, sf_dir), CFG)))
 
 
 def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def q_labeled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     to put predictions next to the rows they belong to."""
     acc = accounts(spark, sf_dir)
     raw = {f"_raw_{c}": F.col(c) for c in CFG.source_columns}
-    feats = registered_features(build_renewal_features(acc.withColumns(raw), CFG))
+    feats = registered_features(account_features(acc.withColumns(raw), CFG))
     scored = score_ops.add_predictions(score_ops.score_stand_in(feats), CFG)
     return scored.select(
         "account_id",
@@ -255,7 +255,7 @@ def q_scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = split_features(spark, sf_dir)
     scenarios = score_ops.scenario_inputs(spark, _train(split), CFG)
     profiles = scenarios.select("profile", F.lit(None).cast(T.LongType()).alias("account_id"), *BASE_NUMERIC_FEATURES, "subscription_plan")
-    profile_feats = registered_features(build_renewal_features(profiles, CFG))
+    profile_feats = registered_features(account_features(profiles, CFG))
     account_feats = split.select(F.lit("account").alias("profile"), "account_id", *MODEL_FEATURES)
     scored = score_ops.score_stand_in(account_feats.unionByName(profile_feats))
     # one non-null text key for accounts and profiles alike
@@ -388,7 +388,7 @@ def q_untidy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("label", label_number(rows, "renewed")).withColumn(
         "violations", F.concat_ws(",", *quality.contract_checks(rows))
     )
-    feats = build_renewal_features(rows.withColumn("account_id", F.col("account_id").cast("bigint")), CFG)
+    feats = account_features(rows.withColumn("account_id", F.col("account_id").cast("bigint")), CFG)
     return registered_features(feats).drop("renewed")
 
 

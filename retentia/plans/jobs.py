@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_CONFIG, RenewalConfig
 from ..operators import drift as drift_ops
 from ..operators import quality
-from ..operators.features import build_renewal_features
+from ..operators.features import account_features
 from ..operators.scoring import PREDICTION, PROBABILITY, add_segments
 from ..operators.split import stratified_split
 from ..functions.columns import parse_numeric
@@ -99,7 +99,7 @@ def stage_validate(spark: SparkSession, accounts: str, out: str, config: Renewal
 
 
 def stage_features(spark: SparkSession, accounts: str, out: str, config: RenewalConfig, fmt: str = "csv") -> None:
-    ensure_table(build_renewal_features(read_accounts(spark, accounts, config, fmt), config), _paths(out)["features"])
+    ensure_table(account_features(read_accounts(spark, accounts, config, fmt), config), _paths(out)["features"])
 
 
 def stage_split(spark: SparkSession, out: str, config: RenewalConfig) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_CONFIG, RenewalConfig
-from ..operators.features import build_renewal_features
+from ..operators.features import account_features
 from ..operators.scoring import add_predictions, add_segments, score_stand_in
 
 
@@ -23,4 +23,4 @@ def account_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: st
 
 def score_stream_stand_in(accounts: DataFrame, config: RenewalConfig = DEFAULT_CONFIG) -> DataFrame:
     """Features -> stand-in probability -> label -> segment, per row."""
-    return add_segments(add_predictions(score_stand_in(build_renewal_features(accounts, config)), config))
+    return add_segments(add_predictions(score_stand_in(account_features(accounts, config)), config))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 from retentia.config import MODEL_FEATURES, RenewalConfig
-from retentia.operators.features import build_renewal_features, coerce_inputs, model_frame, normalize_plans
+from retentia.operators.features import account_features, coerce_inputs, model_frame, normalize_plans
 
 NUM = ["monthly_usage_hours", "login_frequency", "last_login_days", "support_tickets", "payment_failures"]
 SCHEMA = T.StructType(
@@ -19,7 +19,7 @@ def frame(spark, rows):
 
 
 def test_sample_account_features(spark):
-    out = build_renewal_features(frame(spark, [(1, 42.0, 18.0, 2.0, 1.0, 0.0, "business")])).first()
+    out = account_features(frame(spark, [(1, 42.0, 18.0, 2.0, 1.0, 0.0, "business")])).first()
     assert out["engagement_score"] == 14.0
     assert out["activity_ratio"] == pytest.approx(18 / 43)
     assert out["support_pressure"] == pytest.approx(1 / 19)
@@ -30,12 +30,12 @@ def test_sample_account_features(spark):
 
 
 def test_high_risk_scenario_risk_score(spark):
-    out = build_renewal_features(frame(spark, [(1, 8.0, 4.0, 21.0, 4.0, 2.0, "starter")])).first()
+    out = account_features(frame(spark, [(1, 8.0, 4.0, 21.0, 4.0, 2.0, "starter")])).first()
     assert out["risk_score"] == 7.6659
 
 
 def test_output_order_passthrough_first(spark):
-    out = build_renewal_features(frame(spark, [(1, 1.0, 1.0, 1.0, 1.0, 1.0, "growth")]))
+    out = account_features(frame(spark, [(1, 1.0, 1.0, 1.0, 1.0, 1.0, "growth")]))
     assert out.columns == ["account_id"] + list(MODEL_FEATURES)
 
 
@@ -62,20 +62,20 @@ def test_numeric_coercion_from_text(spark):
 
 def test_numeric_coercion_null_and_nan(spark):
     df = frame(spark, [(1, None, float("nan"), 3.0, None, None, None)])
-    out = build_renewal_features(df).first()
+    out = account_features(df).first()
     assert out["monthly_usage_hours"] == 0.0 and out["login_frequency"] == 0.0
     assert out["plan_value_index"] == 1.0  # null plan -> growth
 
 
 def test_negative_inputs_do_not_fail(spark):
     # pandas would give inf; ANSI Spark would raise: we give null instead
-    out = build_renewal_features(frame(spark, [(1, -1.0, 2.0, 3.0, 0.0, 0.0, "growth")])).first()
+    out = account_features(frame(spark, [(1, -1.0, 2.0, 3.0, 0.0, 0.0, "growth")])).first()
     assert out["activity_ratio"] is None
 
 
 def test_custom_plan_map_missing_plan_is_null(spark):
     cfg = RenewalConfig.from_dict({"feature_engineering": {"plan_scores": {"starter": 0.5, "growth": 1.0}}})
-    out = build_renewal_features(frame(spark, [(1, 1.0, 1.0, 1.0, 1.0, 1.0, "business")]), cfg).first()
+    out = account_features(frame(spark, [(1, 1.0, 1.0, 1.0, 1.0, 1.0, "business")]), cfg).first()
     assert out["plan_value_index"] is None
 
 
@@ -85,7 +85,7 @@ def test_config_accepts_feature_section_only():
 
 
 def test_bypass_when_features_present(spark):
-    feats = build_renewal_features(frame(spark, [(1, 42.0, 18.0, 2.0, 1.0, 0.0, "business")]))
+    feats = account_features(frame(spark, [(1, 42.0, 18.0, 2.0, 1.0, 0.0, "business")]))
     again = model_frame(feats, keep=["account_id"])
     assert again.columns == ["account_id"] + list(MODEL_FEATURES)
     assert again.first().asDict() == feats.select("account_id", *MODEL_FEATURES).first().asDict()
@@ -106,5 +106,5 @@ def test_scenario_rows_follow_accounts(spark):
     assert profiles.count("account") == 2 and "default" in profiles and len(rows) == 2 + len(set(profiles) - {"account"})
     default = next(r for r in rows if r["profile"] == "default")
     assert default["monthly_usage_hours"] == 25.0 and default["account_id"] is None  # median of 42 and 8
-    built = build_renewal_features(apply_scenarios(accounts, scenario_inputs(spark, accounts)))
+    built = account_features(apply_scenarios(accounts, scenario_inputs(spark, accounts)))
     assert built.count() == len(rows)

@@ -73,7 +73,7 @@ def test_csv_accounts_without_id(spark, tmp_path):
     )
     df = jobs.read_accounts(spark, str(path), jobs.DEFAULT_CONFIG)
     assert df.count() == 3 and df.select("account_id").distinct().count() == 3
-    from retentia.operators.features import build_renewal_features
+    from retentia.operators.features import account_features
 
-    feats = {r["risk_score"] for r in build_renewal_features(df).collect()}
+    feats = {r["risk_score"] for r in account_features(df).collect()}
     assert 7.6659 in feats

@@ -80,9 +80,9 @@ def _signal(spark, n=1200):
         F.lit("growth").alias("subscription_plan"),
     )
     good = F.col("login_frequency") - F.col("last_login_days") - 3 * F.col("payment_failures") + 4 * F.randn(6) > -5
-    from retentia.operators.features import build_renewal_features
+    from retentia.operators.features import account_features
 
-    return build_renewal_features(base.withColumn("renewed", good.cast("int")))
+    return account_features(base.withColumn("renewed", good.cast("int")))
 
 
 SMALL = DEFAULT_CONFIG.with_(gbt_ranges=(("n_estimators", (20, 25)),) + DEFAULT_CONFIG.gbt_ranges[1:])
