@@ -48,6 +48,13 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines of every document that an earlier place holds already."""
+    from .line_dedup import repeated_runs
+
+    return repeated_runs(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived, then read back from the archives."""
     from .warc import page_records, read_archives, write_archives
@@ -122,6 +129,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
     "op7_katz": op7_katz,
     "op8_packing": op8_packing,
