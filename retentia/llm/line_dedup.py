@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import mixed
@@ -82,14 +82,21 @@ def extended(later: np.ndarray, at: int, first: np.ndarray, origin: int) -> tupl
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one text that a second one holds first, from all their matches."""
     for batch in batches:
-        runs = []
-        for at, origin, later, first in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            runs.append(extended(np.frombuffer(later, np.uint64), at, np.frombuffer(first, np.uint64), origin))
-        starts, ends = (list(x) for x in zip(*runs, strict=True)) if runs else ([], [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["row", "start", "end"]
-        )
+        out = []
+        for matches, later, first in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            later, first = np.frombuffer(later, np.uint64), np.frombuffer(first, np.uint64)
+            reached: dict[int, int] = {}  # by diagonal, where its last run ends
+            runs = set()
+            for at, origin in sorted((m["at"], m["origin"]) for m in matches):
+                if at >= reached.get(at - origin, 0):
+                    run = extended(later, at, first, origin)
+                    reached[at - origin] = run[1]
+                    runs.add(run)
+            out.append([{"start": a, "end": b} for a, b in sorted(runs)])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "runs"])
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,25 +156,19 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "first_fingerprints",
     )
     later = prints.join(firsts, "gram").where((F.col("row") != F.col("first_row")) | (F.col("at") != F.col("origin")))
-    # matches of one diagonal of two texts that overlap lie in one run: only the first of them is extended
-    diagonal = Window.partitionBy("row", "first_row", F.col("at") - F.col("origin")).orderBy("at")
-    gap = F.col("at") - F.lag("at").over(diagonal)
+    # one row for two texts, however many places they share: no more than the later one has fingerprints
     matches = written(
-        later.withColumn("gap", gap)
-        .where(F.col("gap").isNull() | (F.col("gap") >= GRAM))
-        .select("row", "first_row", "at", "origin"),
-        "matches",
+        later.groupBy("row", "first_row").agg(F.collect_list(F.struct("at", "origin")).alias("matches")), "matches"
     )
     own = table.select("row", F.col("hashes").alias("later"))
     other = table.select(F.col("row").alias("first_row"), F.col("hashes").alias("first"))
-    runs = (
+    extended_runs = (
         matches.join(own, "row")
         .join(other, "first_row")
-        .select("row", "at", "origin", "later", "first")
-        .mapInArrow(_extend, "row long, start int, end int")
-        .groupBy("row")
-        .agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+        .select("row", "matches", "later", "first")
+        .mapInArrow(_extend, f"row long, runs {_LISTS}")
     )
+    runs = written(extended_runs, "runs").groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return (
         table.select("row", "doc_id", "hashes", "starts", "ends")
         .join(runs, "row", "left")
