@@ -6,7 +6,8 @@ the same or in neighbouring bands. Similar sets differ in at most D elements,
 so if a band's hash space is cut into more than D regions, they agree in the
 whole content of some region. Counts of common bits of hashed bitmaps bound
 the overlap of sets that agree in a region from above; sets whose bound
-suffices are candidates, and groups of candidates make up the tiles: blocks of
+suffices are candidates, also between blocks of a region that many sets share,
+and groups of candidates make up the tiles: blocks of
 sets of one band against blocks of the same or the next one. In a tile the
 bound is taken for all pairs, and pairs that pass are decided by intersecting
 their sorted arrays. All steps are exact: no link is lost, no pair is sampled.
@@ -135,13 +136,17 @@ def folded(marks: np.ndarray, words: int) -> np.ndarray:
     return marks
 
 
-def group_edges(rows: np.ndarray, sizes: np.ndarray, marks: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Chains through the groups that pairs with a sufficient bound connect."""
-    maps = [np.frombuffer(m, dtype=np.uint64) for m in marks]
-    words = min(len(m) for m in maps)
-    maps = np.stack([folded(m, words) for m in maps])
-    bound = overlap_bounds(maps, sizes, maps, sizes)
-    near = bound * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])
+def _near(left, left_sizes, right, right_sizes, percent: int) -> np.ndarray:
+    """True for pairs whose bound suffices; bitmaps are folded to the shortest."""
+    left, right = ([np.frombuffer(m, dtype=np.uint64) for m in marks] for marks in (left, right))
+    words = min(len(m) for m in [*left, *right])
+    left, right = (np.stack([folded(m, words) for m in maps]) for maps in (left, right))
+    bound = overlap_bounds(left, left_sizes, right, right_sizes)
+    return bound * (100 + percent) >= percent * (left_sizes[:, None] + right_sizes[None, :])
+
+
+def _chains(rows: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Chains through the groups that a symmetric matrix connects."""
     label = np.arange(len(rows))
     while True:
         least = np.where(near, label[None, :], len(rows)).min(axis=1)
@@ -154,28 +159,42 @@ def group_edges(rows: np.ndarray, sizes: np.ndarray, marks: list[bytes], percent
     return list(zip(rows[order][:-1][same].tolist(), rows[order][1:][same].tolist(), strict=True))
 
 
-def _candidate_edges(percent: int):
-    """(a, b) from rows (key, row, size, marks) sorted by key: in each tile of
-    rows that share a key, those connected by pairs whose bound suffices. A
-    tile of more than BLOCK_SETS rows is taken block by block, and the blocks
-    are connected without looking: too many candidates, never too few."""
+def group_edges(rows: np.ndarray, sizes: np.ndarray, marks: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Chains through the groups that pairs with a sufficient bound connect."""
+    return _chains(rows, _near(marks, sizes, marks, sizes, percent))
+
+
+def cross_edges(left, right, percent: int) -> list[tuple[int, int]]:
+    """The same for pairs between two blocks (rows, sizes, marks) only."""
+    n = len(left[0])
+    near = np.zeros((n + len(right[0]),) * 2, dtype=bool)
+    near[:n, n:] = _near(left[2], np.array(left[1]), right[2], np.array(right[1]), percent)
+    near[n:, :n] = near[:n, n:].T
+    return _chains(np.array([*left[0], *right[0]]), near)
+
+
+def _candidate_edges(percent: int, block: int):
+    """(a, b) from rows (key, row, size, marks) sorted by key: in each block of
+    rows that share a key, and between a block and the next, those connected
+    by pairs whose bound suffices. Blocks of a key that lie further apart are
+    left to ``_far_edges``."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, sizes, marks, last = None, [], [], [], None
 
         def closed() -> list[tuple[int, int]]:
-            nonlocal last
+            nonlocal last, rows, sizes, marks
             found = group_edges(np.array(rows), np.array(sizes), marks, percent) if len(rows) > 1 else []
             if last is not None and rows:
-                found.append((last, rows[0]))
-            last = rows[-1] if rows else last
-            rows.clear(), sizes.clear(), marks.clear()
+                found += cross_edges(last, (rows, sizes, marks), percent)
+            last = (rows, sizes, marks) if len(rows) == block else None
+            rows, sizes, marks = [], [], []
             return found
 
         for batch in batches:
             out = []
             for k, row, size, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key or len(rows) == BLOCK_SETS:
+                if k != key or len(rows) == block:
                     out += closed()
                     if k != key:
                         key, last = k, None
@@ -188,6 +207,27 @@ def _candidate_edges(percent: int):
     return edges
 
 
+def _far_edges(percent: int):
+    """(a, b) of one tile, a block of a key against another or itself: rows of
+    different labels (not connected so far) that pairs whose bound suffices
+    connect."""
+
+    def edges(tile: pa.Table) -> pa.Table:
+        rows, sizes, labels, sides = (tile[c].to_numpy() for c in ("row", "size", "label", "side"))
+        marks = tile["marks"].to_pylist()
+        left = np.flatnonzero(sides == 0)
+        right = np.flatnonzero(sides == 1)
+        right = right if len(right) else left
+        near = _near([marks[i] for i in left], sizes[left], [marks[j] for j in right], sizes[right], percent)
+        near &= labels[left][:, None] != labels[right][None, :]
+        i, j = np.nonzero(near)
+        # one pair for two labels is enough
+        _, one = np.unique(np.stack([labels[left][i], labels[right][j]]), axis=1, return_index=True)
+        return pa.table({"a": rows[left][i[one]], "b": rows[right][j[one]]})
+
+    return edges
+
+
 def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     columns = list(zip(*pairs, strict=True)) if pairs else [[], []]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
@@ -322,15 +362,60 @@ class JaccardJoin:
             .select("key", "row"),
             "shared_keys",
         )
-        percent = self.percent
-        return (
-            shared.join(self.sets.select("row", "size", "marks"), "row")
-            .repartition("key")
+        described = shared.join(self.sets.select("row", "size", "marks"), "row")
+        near = (
+            described.repartition("key")
             .sortWithinPartitions("key", "row")
             .select("key", "row", "size", "marks")
-            .mapInArrow(_candidate_edges(percent), "a long, b long")
+            .mapInArrow(_candidate_edges(self.percent, BLOCK_SETS), "a long, b long")
             .distinct()
         )
+        wide = written(shared.groupBy("key").count().where(F.col("count") > 2 * BLOCK_SETS).select("key"), "wide_keys")
+        return near if wide.isEmpty() else self._with_far(shared, wide, near)
+
+    def _with_far(self, shared: DataFrame, wide: DataFrame, near: DataFrame) -> DataFrame:
+        """Candidate edges and those between any two blocks of a wide key. Its
+        rows are dealt into blocks by what ``near`` connects, so that most
+        blocks of many near copies hold one label and need no comparison."""
+        labels = components(near, "near_groups").select(F.col("node").alias("row"), F.col("component").alias("label"))
+        order = Window.partitionBy("key").orderBy("label", "row")
+        rows = written(
+            shared.join(broadcast_if_small(wide), "key")
+            .join(labels, "row", "left")
+            .withColumn("label", F.coalesce("label", "row"))
+            .withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK_SETS)),
+            "wide_rows",
+        )
+        blocks = written(
+            rows.groupBy("key", "block").agg(F.min("label").alias("least"), F.max("label").alias("most")), "wide_blocks"
+        )
+        other = blocks.select("key", F.col("block").alias("high"), F.col("least").alias("least_2"), F.col("most").alias("most_2"))
+        pairs = (
+            blocks.withColumnRenamed("block", "low")
+            .join(other, "key")
+            .where((F.col("low") <= F.col("high")) & (F.least("least", "least_2") < F.greatest("most", "most_2")))
+        )
+        sides = pairs.select(
+            "key",
+            "low",
+            "high",
+            F.inline(
+                F.when(F.col("low") == F.col("high"), F.array(F.struct(F.col("low").alias("block"), F.lit(0).alias("side")))).otherwise(
+                    F.array(
+                        F.struct(F.col("low").alias("block"), F.lit(0).alias("side")),
+                        F.struct(F.col("high").alias("block"), F.lit(1).alias("side")),
+                    )
+                )
+            ),
+        )
+        far = (
+            rows.join(self.sets.select("row", "size", "marks"), "row")
+            .join(sides, ["key", "block"])
+            .select("key", "low", "high", "side", "row", "size", "label", "marks")
+            .groupBy("key", "low", "high")
+            .applyInArrow(_far_edges(self.percent), "a long, b long")
+        )
+        return labels.select(F.col("row").alias("a"), F.col("label").alias("b")).unionByName(far.distinct())
 
     def _tiles(self, groups: DataFrame) -> DataFrame:
         """(tile columns, side, row) for rows (row, size, component)."""

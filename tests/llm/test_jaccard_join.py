@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from retentia.llm import jaccard_join as jj
 from retentia.llm.components import components
@@ -81,6 +82,19 @@ def test_components_equal_brute_force(spark, monkeypatch, k, percent, block):
     assert len(pairs) == len({frozenset((text_sets[a], text_sets[b])) for a, b in links if text_sets[a] != text_sets[b]})
 
 
+def test_near_copies_in_distant_blocks_of_a_key_are_candidates(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(1300)]
+    rows = list(enumerate(texts + [f"{t} more" for t in texts[:10]]))
+    join = jj.JaccardJoin(docs(spark, rows).coalesce(1), 3, 80)
+    # one key for all sets, as if they shared a common passage and nothing else
+    join.sets = join.sets.withColumn("keys", F.array(F.lit(7).cast("long")))
+    ids = {r.row: r.doc_id for r in join.sets.collect()}
+    group = {ids[r.node]: ids[r.component] for r in components(join.candidates()).collect()}
+    assert all(group[i] == group[1300 + i] for i in range(10))
+    assert len(set(group.values())) == 10
+
+
 def test_one_document_of_each_group_stays(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(9, " ".join(base)), (4, " ".join(base[:-2])), (7, " ".join(base[2:])), (1, "other text"), (2, None), (3, ""), (None, "no id")]
