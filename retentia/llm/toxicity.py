@@ -8,7 +8,8 @@ posterior is the label on which a linear classifier is trained, over votes
 and hashed words and stems. The classifier scores whole texts.
 
 Fitted on bounded samples (LABELLED_ROWS for the stems, TRAINING_ROWS for the
-classifier; expected sizes of hashed samples); the label model uses the votes
+classifier, half of them from either class of the posterior; expected sizes of
+hashed samples); without training texts the label model's posterior scores; the label model uses the votes
 on all documents, and what reaches the driver is a table of at most one row
 per combination of votes and label.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import broadcast_if_small, text_batches, written
+from .store import broadcast_if_small, written
 
 LABELLED_ROWS, TRAINING_ROWS = 20_000, 6_000
 
@@ -138,9 +139,10 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(key: Column, expected: int, of: int) -> Column:
     """A hashed sample of ``expected`` of ``of`` rows (all, if there are fewer)."""
-    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < F.lit(
-        int(min(1.0, expected / max(1, of)) * 1_000_000)
-    )
+    if expected >= of:
+        return F.lit(True)
+    # of the whole 64 bits: no table is so large that the sample is empty
+    return F.xxhash64(key, F.lit("sample")) < F.lit((expected << 64) // of - (1 << 63)).cast("long")
 
 
 def induce_stems(docs: DataFrame, labels: DataFrame) -> dict[str, int]:
@@ -202,6 +204,12 @@ class LabelModel:
         evidence = (votes * spoke + (1 - votes) * silent) @ self.weights
         return 1 / (1 + np.exp(-np.clip(evidence + np.log(self.share / (1 - self.share)), -50, 50)))
 
+    def linear(self) -> tuple[float, np.ndarray]:
+        """Bias and vote weights of the posterior's margin."""
+        silent = (np.log1p(-self.rates[1]) - np.log1p(-self.rates[0])) * self.weights
+        spoke = (np.log(self.rates[1]) - np.log(self.rates[0])) * self.weights
+        return float(np.log(self.share / (1 - self.share)) + silent.sum()), spoke - silent
+
 
 def unpacked(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(len(VOTERS))) & 1
@@ -283,21 +291,21 @@ class _Scorer(dict):
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, margin))))
 
 
-def _on_votes(votes: np.ndarray, target: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Bias and vote weights by Newton's method."""
+def _on_votes(votes: np.ndarray, target: np.ndarray, share: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Bias and vote weights by Newton's method; ``share`` weighs the rows."""
     a = np.concatenate([np.ones((len(votes), 1)), votes], axis=1)
     ridge = np.diag([1e-6] + [1e-4] * votes.shape[1])
-    x, n = np.zeros(a.shape[1]), max(1, len(votes))
+    x = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ x, -30, 30)))
-        slope = a.T @ (p - target) / n + ridge @ x
-        x -= np.linalg.solve((a * (p * (1 - p) + 1e-6)[:, None]).T @ a / n + ridge, slope)
+        slope = a.T @ (share * (p - target)) + ridge @ x
+        x -= np.linalg.solve((a * (share * (p * (1 - p) + 1e-6))[:, None]).T @ a + ridge, slope)
     return x
 
 
-def fit_classifier(votes: np.ndarray, features: list[np.ndarray], target: np.ndarray, rounds: int = 60):
+def fit_classifier(votes: np.ndarray, features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, rounds: int = 60):
     """(bias, vote weights, feature weights): logistic regression on soft
-    labels, features over the root of the number of words, by Adam with an L2 penalty. Starts from
+    labels of weighted rows, features over the root of the number of words, by Adam with an L2 penalty. Starts from
     the regression on the votes alone."""
     width = (len(STEM_LENGTHS) + 1) * BUCKETS
     sizes = np.array([len(f) for f in features], dtype=np.int64)
@@ -308,13 +316,14 @@ def fit_classifier(votes: np.ndarray, features: list[np.ndarray], target: np.nda
     at = number[flat]
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     value = (1 / np.sqrt(np.maximum(sizes // (len(STEM_LENGTHS) + 1), 1))).astype(np.float32)[row]
-    x = np.concatenate([_on_votes(votes, target), np.zeros(len(used))])
+    share = weight / weight.sum()
+    x = np.concatenate([_on_votes(votes, target, share), np.zeros(len(used))])
     penalty = np.concatenate([[0.0], np.full(votes.shape[1], 1e-5), np.full(len(used), 1e-2)])
-    m, v, n = np.zeros_like(x), np.zeros_like(x), max(1, len(sizes))
+    m, v = np.zeros_like(x), np.zeros_like(x)
     k = 1 + votes.shape[1]
     for t in range(1, rounds + 1):
         margin = x[0] + votes @ x[1:k] + np.bincount(row, weights=x[k:][at] * value, minlength=len(sizes))
-        wrong = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target) / n
+        wrong = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target) * share
         slope = np.concatenate([[wrong.sum()], votes.T @ wrong, np.bincount(at, weights=wrong[row] * value, minlength=len(used))])
         slope += penalty * x
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
@@ -350,18 +359,20 @@ def fit_toxicity(
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(stems)
         for batch in batches:
-            masks = [voters.votes(t, _words(t)) for t in (x.as_py() for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int32())], names=["doc_id", "votes"])
+            masks = [voters.votes(t, _words(t)) for t in (x.as_py() for x in batch.column(2))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(masks, pa.int32())], names=["doc_id", "text_hash", "votes"]
+            )
 
+    hashed_rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    votes_table = written(hashed_rows.mapInArrow(vote, "doc_id long, text_hash long, votes int"), "votes")
     # a row per combination of votes and label, of which there is a fixed number
     votes_by_label = (
-        rows.mapInArrow(vote, "doc_id long, votes int")
-        .join(known, "doc_id", "left")
+        votes_table.join(known, "doc_id", "left")
         .groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    with text_batches(docs.sparkSession):
-        table = votes_by_label.collect()
+    table = votes_by_label.collect()
     masks, marks, counts = (np.array([r[c] for r in table], dtype=np.int64) for c in ("votes", "toxic", "n"))
     label_model = fit_label_model(masks, marks, counts.astype(float))
 
@@ -377,17 +388,38 @@ def fit_toxicity(
                 [pa.array(votes, pa.int32()), pa.array(hashed, pa.binary())], names=["votes", "features"]
             )
 
+    # half of the sample from either class of the posterior, so that a rare one has its rows; weights undo it
+    training = votes_table.where(~held_out(F.col("doc_id"))).select("text_hash", "votes").distinct()
+    training = written(training, "training_votes")
+    by_votes = training.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = np.array([r["votes"] for r in by_votes], dtype=np.int64)
+    texts = np.array([r["n"] for r in by_votes], dtype=np.int64)
+    toxic = label_model.posterior(unpacked(seen).astype(float)) >= 0.5
+    found = [int(texts[~toxic].sum()), int(texts[toxic].sum())]
+    wanted = [max(TRAINING_ROWS // 2, TRAINING_ROWS - found[1 - c]) for c in (0, 1)]
+    of_class = F.col("votes").isin([int(v) for v in seen[toxic]])
+    chosen = training.where(
+        F.when(of_class, _sampled(F.col("text_hash"), wanted[1], found[1])).otherwise(
+            _sampled(F.col("text_hash"), wanted[0], found[0])
+        )
+    )
+    chosen = written(chosen.select("text_hash"), "training_sample")
     sample = (
-        rows.where(~held_out(F.col("doc_id")) & _sampled(F.col("text"), TRAINING_ROWS, docs.count()))
-        .groupBy(F.xxhash64("text").alias("key"))
-        .agg(F.first("text").alias("text"))
+        hashed_rows.join(broadcast_if_small(chosen), "text_hash", "left_semi")
+        .groupBy("text_hash")
+        .agg(F.min("text").alias("text"))
         .select("text")
         .mapInArrow(features, "votes int, features binary")
         .collect()
     )  # TRAINING_ROWS rows
-    votes = unpacked(np.array([r["votes"] for r in sample], dtype=np.int64)).astype(float)
+    if not sample:
+        return ToxicityModel(stems, label_model, *label_model.linear(), np.zeros((len(STEM_LENGTHS) + 1) * BUCKETS, dtype=np.float32))
+    masks = np.array([r["votes"] for r in sample], dtype=np.int64)
+    votes = unpacked(masks).astype(float)
+    target = label_model.posterior(votes)
+    weight = np.where(target >= 0.5, *(max(1.0, found[c] / wanted[c]) for c in (1, 0)))
     bias, vote_weights, weights = fit_classifier(
-        votes, [np.frombuffer(r["features"], dtype="<i4") for r in sample], label_model.posterior(votes)
+        votes, [np.frombuffer(r["features"], dtype="<i4") for r in sample], target, weight
     )
     return ToxicityModel(stems, label_model, bias, vote_weights, weights)
 

@@ -94,3 +94,27 @@ def test_no_columns_but_the_text_matter(spark):
     a = sorted((r.doc_id, r.score) for r in tx.score_toxicity(docs(spark, rows), model).collect())
     b = sorted((r.doc_id - 10_000, r.score) for r in tx.score_toxicity(other, model).collect())
     assert a == b
+
+
+def test_samples_of_huge_tables_have_their_size(spark):
+    keys = spark.range(200_000)
+    for of in (200_000, 10**7, 10**13):
+        part = keys.where(tx._sampled(F.col("id"), of // 100, of)).count()
+        assert 1_700 < part < 2_300
+    # 6,000 of 10**13: the bound is not zero
+    assert keys.where(tx._sampled(F.col("id"), 6_000, 10**13)).count() == 0
+    assert "false" not in str(tx._sampled(F.col("id"), 6_000, 10**13)).lower()
+    bound = (6_000 << 64) // 10**13
+    assert f"{bound - (1 << 63)}" in str(tx._sampled(F.col("id"), 6_000, 10**13)) and bound > 10**9
+
+
+def test_without_training_texts_the_posterior_scores(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows = [(i, "an idiot and a pathetic moron" if n % 10 == 0 else "a fine day") for n, i in enumerate(ids)]
+    marks = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    model = tx.fit_toxicity(docs(spark, rows), marks)
+    got = {r.doc_id: r for r in tx.score_toxicity(docs(spark, rows), model).collect()}
+    masks = np.array([tx.Voters(model.stems).votes(t, tx._words(t)) for _, t in rows])
+    want = model.label_model.posterior(tx.unpacked(masks).astype(float))
+    assert all(abs(got[i].score - p) < 1e-9 for (i, _), p in zip(rows, want, strict=True))
+    assert {got[i].predicted for i, t in rows if "fine" in t} == {0}
