@@ -4,8 +4,11 @@ A text is cut into lines, and lines into sentences, so that passages inside a
 line are found too; each piece is hashed. Of every WINDOW successive grams of
 GRAM pieces the one with the least hash is a fingerprint, so any repeated run
 of GRAM + WINDOW - 1 pieces or more holds one at the same place in both texts.
+The words of the pieces are winnowed likewise, so any repeated run of
+WORD_GRAM + WORD_WINDOW - 1 = 50 words holds a fingerprint, however long its
+pieces are and wherever its ends lie in them.
 Each later occurrence of a fingerprint is joined with its first occurrence
-only, the match is extended both ways as far as the pieces agree, and the
+only, the match is extended both ways as far as the pieces (or words) agree, and the
 later run is deleted. So a passage that a third of all texts share costs one
 match per text, whatever its group's size.
 """
@@ -25,8 +28,15 @@ from .shingles import mixed
 from .store import written
 
 GRAM, WINDOW = 2, 2
+WORD_GRAM, WORD_WINDOW = 26, 25
 _PIECE = re.compile(r"[^.!?\n]+[.!?]*")
 _LISTS = "array<struct<start:int,end:int>>"
+#: True for characters that are not white space; the last stands for all above.
+_INK = np.array([not chr(c).isspace() for c in range(0x3002)])
+#: An odd number and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,6 +48,45 @@ def pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.array([a for a, _, _ in found], dtype="<u4"), np.array([b for _, b, _ in found], dtype="<u4")
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(1024, 2 * n), base, dtype=np.uint64)
+        known[0] = 1
+        known = _POWERS[base] = np.cumprod(known)
+    return known[:n]
+
+
+def words(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of the pieces; a piece ends a word."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    inside = np.zeros(len(chars) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    ink = _INK[np.minimum(chars, len(_INK) - 1)] & (np.cumsum(inside[:-1], dtype=np.int8) > 0)
+    opens = ink.copy()
+    opens[1:] &= ~ink[:-1]
+    opens[starts] |= ink[starts]
+    closes = ink.copy()
+    closes[:-1] &= ~ink[1:] | opens[1:]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    at = np.flatnonzero(ink)
+    sizes = last - first
+    place = at - np.repeat(first, sizes)
+    values = mixed(chars[at].astype(np.uint64)) * _powers(_BASE, int(sizes.max()))[place]
+    return mixed(np.add.reduceat(values, np.cumsum(sizes) - sizes) ^ sizes.astype(np.uint64)), first, last
+
+
+def _winnowed(grams: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the least gram of each window, the last of equal ones."""
+    width = min(window, len(grams))
+    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
+    least = width - 1 - np.argmin(windows[:, ::-1], axis=1)
+    return np.unique(np.arange(len(windows)) + least)
+
+
 def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, gram hash) of the least gram of each window, the last of
     equal ones; of all grams if there are fewer than a window."""
@@ -47,26 +96,66 @@ def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grams = np.full(n, GRAM, dtype=np.uint64)
     for i in range(GRAM):
         grams = mixed(grams ^ hashes[i : i + n])
-    width = min(WINDOW, n)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
-    least = width - 1 - np.argmin(windows[:, ::-1], axis=1)
-    chosen = np.unique(np.arange(len(windows)) + least)
+    chosen = _winnowed(grams, WINDOW)
+    return chosen, grams[chosen]
+
+
+def word_fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of grams of WORD_GRAM words, as differences of running sums."""
+    n = len(hashes) - WORD_GRAM + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(hashes)))])
+    grams = mixed((sums[WORD_GRAM:] - sums[:n]) * _powers(_INVERSE, n))
+    chosen = _winnowed(grams, WORD_WINDOW)
     return chosen, grams[chosen]
 
 
+def _small(data: bytes) -> bytes:
+    """Compressed; the length goes first."""
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(data: bytes | None) -> bytes:
+    if data is None:
+        return b""
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
+def _packed(first: np.ndarray, last: np.ndarray) -> bytes:
+    """Steps between the starts and ends of words, in a byte each if they fit."""
+    steps = np.diff(np.stack([first, last], axis=1).ravel(), prepend=0)
+    return steps.astype(np.uint8 if steps.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _unpacked(steps: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.cumsum(np.frombuffer(steps, np.uint8 if len(steps) == 2 * n else "<u4"), dtype=np.int64)
+    return bounds[::2], bounds[1::2]
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places are twice the number of a piece, or of a word and one more."""
     for batch in batches:
-        made = [pieces(t.as_py()) for t in batch.column(2)]
-        prints = [fingerprints(h) for h, _, _ in made]
+        columns = [[] for _ in range(7)]
+        for text in batch.column(2):
+            text = text.as_py()
+            hashes, starts, ends = pieces(text)
+            word_hashes, first, last = words(text, starts, ends)
+            (at, gram), (word_at, word_gram) = fingerprints(hashes), word_fingerprints(word_hashes)
+            made = [
+                *(x.tobytes() for x in (hashes, starts, ends)),
+                # half of a hash: what lies beyond a match is compared word by word
+                _small((word_hashes >> np.uint64(32)).astype("<u4").tobytes()),
+                _small(_packed(first, last)),
+                np.concatenate([2 * at, 2 * word_at + 1]).astype(np.int32),
+                np.concatenate([gram, word_gram]).view(np.int64),
+            ]
+            for column, value in zip(columns, made, strict=True):
+                column.append(value)
+        kinds = [pa.binary()] * 5 + [pa.list_(pa.int32()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                *(pa.array([m[i].tobytes() for m in made], pa.binary()) for i in range(3)),
-                pa.array([p.astype(np.int32) for p, _ in prints], pa.list_(pa.int32())),
-                pa.array([g.view(np.int64) for _, g in prints], pa.list_(pa.int64())),
-            ],
-            names=["row", "doc_id", "hashes", "starts", "ends", "places", "grams"],
+            [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+            names=["row", "doc_id", "hashes", "starts", "ends", "words", "steps", "places", "grams"],
         )
 
 
@@ -82,36 +171,64 @@ def extended(later: np.ndarray, at: int, first: np.ndarray, origin: int) -> tupl
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of one text that a second one holds first, from all their matches."""
+    """Runs of pieces and of words of one text that a second one holds first,
+    from all their matches."""
     for batch in batches:
-        out = []
-        for matches, later, first in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            later, first = np.frombuffer(later, np.uint64), np.frombuffer(first, np.uint64)
-            reached: dict[int, int] = {}  # by diagonal, where its last run ends
-            runs = set()
-            for at, origin in sorted((m["at"], m["origin"]) for m in matches):
-                if at >= reached.get(at - origin, 0):
-                    run = extended(later, at, first, origin)
-                    reached[at - origin] = run[1]
-                    runs.add(run)
-            out.append([{"start": a, "end": b} for a, b in sorted(runs)])
+        out = [[], []]
+        for matches, *arrays in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            arrays[2:] = map(_whole, arrays[2:])
+            for kind, width in enumerate((np.uint64, np.dtype("<u4"))):
+                later, first = (np.frombuffer(x, width) for x in arrays[2 * kind : 2 * kind + 2])
+                reached: dict[int, int] = {}  # by diagonal, where its last run ends
+                runs = set()
+                for at, origin in sorted((m["at"] // 2, m["origin"] // 2) for m in matches if m["at"] % 2 == kind):
+                    if at >= reached.get(at - origin, 0):
+                        run = extended(later, at, first, origin)
+                        reached[at - origin] = run[1]
+                        runs.add(run)
+                out[kind].append([{"start": a, "end": b} for a, b in sorted(runs)])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "runs"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(x, kind) for x in out)], names=["row", "runs", "word_runs"]
+        )
+
+
+def _marked(runs, n: int) -> np.ndarray:
+    out = np.zeros(n, dtype=bool)
+    for r in runs or []:
+        out[r["start"] : r["end"]] = True
+    return out
+
+
+def _spans(dead: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.diff(np.concatenate([[0], dead.astype(np.int8), [0]]))
+    pairs = zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)
+    return [(int(starts[i]), int(ends[j - 1])) for i, j in pairs]
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deleted pieces of a document as character spans, from its runs."""
+    """Deleted pieces and words of a document as character spans, from its runs."""
     for batch in batches:
-        ids, hashes, starts, ends, runs = (c.to_pylist() for c in batch.columns)
         lines, gone, spans = [], [], []
-        for h, a, b, own in zip(hashes, starts, ends, runs, strict=True):
+        ids, *rest = (c.to_pylist() for c in batch.columns)
+        for h, a, b, steps, n_words, own, own_words in zip(*rest, strict=True):
             a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-            dead = np.zeros(len(h) // 8, dtype=bool)
-            for r in own or []:
-                dead[r["start"] : r["end"]] = True
-            edge = np.diff(np.concatenate([[0], dead.astype(np.int8), [0]]))
-            pairs = zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)
-            spans.append([{"start": int(a[i]), "end": int(b[j - 1])} for i, j in pairs])
+            dead = _marked(own, len(h) // 8)
+            found = []
+            if own_words:
+                steps, n_words = _whole(steps), int.from_bytes(n_words, "little") // 4
+                first, last = _unpacked(steps, n_words)
+                dead_words = _marked(own_words, n_words)
+                alive = np.concatenate([[0], np.cumsum(~dead_words)])
+                dead |= alive[np.searchsorted(first, a)] == alive[np.searchsorted(first, b)]
+                found = _spans(dead_words, first, last)
+            united = []
+            for start, end in sorted(_spans(dead, a, b) + found):
+                if united and start <= united[-1]["end"]:
+                    united[-1]["end"] = max(end, united[-1]["end"])
+                else:
+                    united.append({"start": start, "end": end})
+            spans.append(united)
             lines.append(len(dead))
             gone.append(int(dead.sum()))
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -122,15 +239,16 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_lines (pieces), n_deleted, spans (character spans to
-    delete, in order).
+    """Per row: doc_id, n_lines (pieces), n_deleted (whole pieces), spans
+    (character spans to delete, in order; of pieces or of words).
 
     Texts come in the order of their ids, null ids last, then of their rows;
     the first occurrence of a run stays, later ones go, also within one text.
-    Every repeated run of GRAM + WINDOW - 1 pieces has a match; shorter ones
-    may have. A fingerprint is followed to its first occurrence, so where a
-    run is made up of parts that occur first in different texts, a piece or
-    two between the parts may stay. A null or empty text has no pieces; repeated rows are repeated
+    Every repeated run of GRAM + WINDOW - 1 pieces, or of 50 words, has a
+    match; shorter ones may have. A fingerprint is followed to its first
+    occurrence, so where a run is made up of parts that occur first in
+    different texts, a piece or two between the parts, or fewer than
+    WORD_WINDOW words at either end of the whole run, may stay. A null or empty text has no pieces; repeated rows are repeated
     texts; an empty table gives an empty result; other columns are not looked at.
     """
     table = written(
@@ -140,7 +258,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         ).mapInArrow(
             _described,
-            "row long, doc_id long, hashes binary, starts binary, ends binary, places array<int>, grams array<long>",
+            "row long, doc_id long, hashes binary, starts binary, ends binary, words binary, steps binary, "
+            "places array<int>, grams array<long>",
         ),
         "pieces",
     )
@@ -160,19 +279,23 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     matches = written(
         later.groupBy("row", "first_row").agg(F.collect_list(F.struct("at", "origin")).alias("matches")), "matches"
     )
-    own = table.select("row", F.col("hashes").alias("later"))
-    other = table.select(F.col("row").alias("first_row"), F.col("hashes").alias("first"))
+    of_words = F.exists("matches", lambda m: m["at"] % 2 == 1)
+    own = table.select("row", F.col("hashes").alias("later"), F.col("words").alias("later_words"))
+    other = table.select(F.col("row").alias("first_row"), F.col("hashes").alias("first"), F.col("words").alias("first_words"))
     extended_runs = (
         matches.join(own, "row")
+        .withColumn("later_words", F.when(of_words, F.col("later_words")))
         .join(other, "first_row")
-        .select("row", "matches", "later", "first")
-        .mapInArrow(_extend, f"row long, runs {_LISTS}")
+        .select("row", "matches", "later", "first", "later_words", F.when(of_words, F.col("first_words")).alias("first_words"))
+        .mapInArrow(_extend, f"row long, runs {_LISTS}, word_runs {_LISTS}")
     )
-    runs = written(extended_runs, "runs").groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    kinds = ["runs", "word_runs"]
+    runs = written(extended_runs, "runs").groupBy("row").agg(*(F.flatten(F.collect_list(k)).alias(k) for k in kinds))
+    n_words = F.substring("words", 1, 4).alias("n_words")  # in bytes of the array, see _small
     return (
-        table.select("row", "doc_id", "hashes", "starts", "ends")
+        table.select("row", "doc_id", "hashes", "starts", "ends", "steps", n_words)
         .join(runs, "row", "left")
-        .select("doc_id", "hashes", "starts", "ends", F.col("runs").cast(_LISTS).alias("runs"))
+        .select("doc_id", "hashes", "starts", "ends", "steps", "n_words", *(F.col(k).cast(_LISTS).alias(k) for k in kinds))
         .mapInArrow(_united, f"doc_id long, n_lines long, n_deleted long, spans {_LISTS}")
     )
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -82,3 +83,29 @@ def test_every_window_has_a_fingerprint():
     hashes = rng.integers(0, 9, 300).astype(np.uint64)
     at, _ = ld.fingerprints(hashes)
     assert np.diff(at).max() <= ld.WINDOW and at[0] < ld.WINDOW and at[-1] >= len(hashes) - ld.GRAM + 1 - ld.WINDOW
+
+
+def test_repeats_of_over_50_words_go_whatever_their_pieces(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one_line, sentences = fresh(60), fresh(55)
+    sentences[20] += "."  # two pieces, both run into the text around them
+    rows = []
+    for i in range(30):
+        passage = (one_line, sentences, fresh(70), one_line[3:57])[i % 4]
+        rows.append((i, " ".join(fresh(rng.randrange(1, 40)) + passage + fresh(rng.randrange(1, 40)))))
+    rows += [(50, " ".join(one_line) + "\u00a0\u2003tail"), (51, "é\U0001f600 " + "  ".join(sentences)), (52, " ".join(fresh(30) * 4))]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in ld.repeated_runs(docs(spark, rows).repartition(4, "doc_id")).collect()}
+    # independent: every word of a run of 51 that an earlier place holds
+    seen = set()
+    for i, text in rows:
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        runs = [tuple(text[a:b] for a, b in words[k : k + 51]) for k in range(len(words) - 50)]
+        must = set()
+        for k, run in enumerate(runs):
+            if run in seen:
+                must |= set(range(k, k + 51))
+            seen.add(run)
+        gone = {k for k, (a, b) in enumerate(words) if any(s <= a and b <= e for s, e in got[i])}
+        assert must == gone, i
+    assert got[52] and got[0] == [] and got[1] == []
