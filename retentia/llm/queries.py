@@ -124,6 +124,42 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of ``docs``; a tenth of the texts is rewritten
+    into words that repeat from some place on."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return (
+        docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+        .withColumn("n", F.size("words"))
+        .withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+        .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+        .withColumn("tail", F.expr("transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)]))"))
+        .select("doc_id", F.coalesce(F.array_join("tail", " "), "text").alias("text"))
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, and its text without them."""
+    from .periodic_runs import periodic_runs
+
+    found = periodic_runs(with_repeated_tails(_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # of equally long runs the one with the smallest start, then period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest").getField("col2")).alias("start"),
+        F.col("longest").getField("length").alias("length"),
+        (-F.col("longest").getField("col3")).alias("period"),
+        F.expr("1000 * longest.length div -longest.col3").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_exact_dedup": op2_exact_dedup,
@@ -135,4 +171,5 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
 }
