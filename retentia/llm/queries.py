@@ -160,6 +160,31 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf in the manifest, its proof, and what the proof
+    says of it after a fifth of the texts were lower-cased."""
+    from .merkle import folded, leaf_digest, merkle_manifest
+
+    docs = _table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    chosen = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    tampered = F.when(chosen, leaf_digest(*others, F.translate("text", upper, upper.lower())))
+    manifest = merkle_manifest(docs, [*others, F.col("text")], keep=[tampered.alias("tampered")])
+    proven = manifest.proofs().withColumn("folded", folded(F.coalesce("tampered", "digest"), F.col("proof")))
+    siblings = F.transform("proof", lambda step: F.lower(F.hex(F.concat(step["before"], step["after"]))))
+    root = F.lit(manifest.root.hex() if manifest.root else None).cast("string")
+    return proven.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.hex("digest")).alias("leaf"),
+        F.lower(F.hex("subroot")).alias("subroot"),
+        root.alias("root"),
+        F.sha2(F.encode(F.array_join(siblings, ""), "UTF-8"), 256).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == root).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_exact_dedup": op2_exact_dedup,
@@ -172,4 +197,5 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle": op12_merkle,
 }
