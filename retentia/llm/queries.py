@@ -185,6 +185,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found of every vector whose id is divisible by 50."""
+    from .multi_index import build_index, vector_rows
+
+    vectors = vector_rows(_table(spark, sf_dir, "embeddings"))
+    return build_index(vectors, k=5).search(vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_exact_dedup": op2_exact_dedup,
@@ -198,4 +206,5 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle": op12_merkle,
+    "op13_multi_index": op13_multi_index,
 }
