@@ -48,11 +48,6 @@ def _hex(digests: Column) -> Column:
     return F.lower(F.hex(digests))
 
 
-def _digest_of(children: Column) -> Column:
-    """The digest over digests that lie end to end, taken as hex text."""
-    return F.unhex(F.sha2(F.encode(_hex(children), "UTF-8"), 256))
-
-
 def folded(leaf: Column, proof: Column) -> Column:
     """The root that follows from a leaf (32 bytes) and its proof, as hex text."""
 
@@ -105,17 +100,20 @@ class Manifest:
         subroot and proof: from the leaf's level to the root's, the digests
         before and after the one that comes from below, end to end."""
         asked = self.leaves if requests is None else requests
-        entry = self.leaves.sparkSession.createDataFrame(
-            [(0, self.root, [])] if self.root else [], f"tree bigint, digest binary, path {PATH_TYPE}"
+        spark = self.leaves.sparkSession
+        entry = spark.range(1 if self.root else 0).select(
+            F.col("id").alias("tree"),
+            F.unhex(F.lit((self.root or b"").hex())).alias("digest"),
+            F.array().cast(PATH_TYPE).alias("path"),
+            F.lit(len(self.top_records)).alias("height"),
         )
         top = self.groups.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("rank"), "n", "height", "digest")
         wanted = asked.select("tree").distinct() if requests is not None else None
         if wanted is not None:
             top = top.join(wanted.select(F.col("tree").alias("rank")), "rank", "left_semi")
-        entry = entry.withColumn("height", F.lit(len(self.top_records)))
         found = _descended(entry, self.top_records, top.withColumnRenamed("digest", "subroot"), every=requests is None)
-        entry = found.select(F.col("rank").alias("tree"), F.col("subroot").alias("digest"), "path", "height")
-        entry = entry.withColumn("subroot", F.col("digest"))
+        entry = found.select(F.col("rank").alias("tree"), F.col("subroot").alias("digest"), "subroot", "path", "height")
+        entry = written(entry, "paths-to-groups")  # read for each height
         found = _descended(entry, self.records, asked, every=requests is None)
         return found.withColumn("proof", F.reverse("path")).drop("path")
 
@@ -127,11 +125,11 @@ def _climbed(leaves: DataFrame, height: int, name: str) -> list[DataFrame]:
     nodes = leaves.select("tree", "rank", "digest", _height(F.col("n")).alias("above"))
     for h in range(1, height + 1):
         inner = nodes.where(F.col("above") > 0)
-        children = F.array_sort(F.collect_list(F.struct("rank", "digest")))  # at most 16
+        children = F.sort_array(F.collect_list(F.struct("rank", _hex(F.col("digest")).alias("hex"))))  # at most 16
         grouped = inner.groupBy("tree", F.shiftright("rank", DIGIT_BITS).alias("rank"), "above").agg(children.alias("c"))
-        joined = F.aggregate("c", F.lit(b""), lambda all_, c: F.concat(all_, c["digest"]))
-        table = grouped.select("tree", "rank", "above", joined.alias("children"))
-        levels.append(written(table.withColumn("digest", _digest_of(F.col("children"))), f"{name}-{h}"))
+        joined = grouped.select("tree", "rank", "above", F.array_join("c.hex", "").alias("hex"))
+        digest, children = F.unhex(F.sha2(F.encode("hex", "UTF-8"), 256)), F.unhex("hex")
+        levels.append(written(joined.select("tree", "rank", "above", digest.alias("digest"), children.alias("children")), f"{name}-{h}"))
         nodes = levels[-1].select("tree", "rank", "digest", (F.col("above") - 1).alias("above"))
     return levels
 
@@ -204,7 +202,7 @@ def merkle_manifest(
     )
     leaves = _numbered(leaves, ["name", "id", "digest", "row"], "leaf-order")
     # a group with many rows lies in many ranges: (group, range) is never a hot key
-    spots = written(leaves.groupBy("name", "part").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")), "spots")
+    spots = leaves.groupBy("name", "part").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = spots.groupBy("name").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     groups = _numbered(groups, ["name"], "group-order").withColumnRenamed("number", "tree").drop("part")
     spots = written(spots.select("name", "part").join(groups, "name"), "spots")
