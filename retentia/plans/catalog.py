@@ -18,23 +18,26 @@ import uuid
 import weakref
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import BASE_NUMERIC_FEATURES, DEFAULT_CONFIG, MODEL_FEATURES, RATE_SLIDE, RATE_WINDOW
 from ..functions.columns import q6
 from ..operators import drift as drift_ops
+from ..operators import drift_tests as test_ops
 from ..operators import explain as explain_ops
 from ..operators import metrics as metric_ops
+from ..operators import profiles as profile_ops
 from ..operators import quality
 from ..operators import scoring as score_ops
+from ..operators import sketches as sketch_ops
 from ..operators.features import account_features, coerce_inputs, normalize_plans
-from ..operators.quantiles import exact_medians
+from ..operators.quantiles import exact_medians, long_form
 from ..operators.split import cv_folds, stratified_split
 from ..sources.accounts import account_table
 from ..streaming import requests as req
-from ..sources.tables import load_accounts, table
+from ..sources.tables import load_accounts, load_accounts_apart, table
 from ..session import ensure_checkpoint_dir, stored
 
 CFG = DEFAULT_CONFIG
@@ -344,6 +347,80 @@ def q_drift_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, "psi", "ks_statistic", "wasserstein")
 
 
+def q_drift_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two sides, every column by the test of its kind: the plan and
+    the label are categories."""
+    plans = accounts(spark, sf_dir).withColumn("plan", F.col("subscription_plan"))
+    with_plan = normalize_plans(account_features(plans, CFG), CFG, "plan")
+    scored = stored(score_ops.score_stand_in(registered_features(with_plan)), "scored")
+    small = F.col("plan_value_index") < F.lit(CFG.plan_score_map["business"])
+    columns = [*DRIFT_COLUMNS, "plan"]
+    out = test_ops.drift_tests(scored.where(small), scored.where(~small), columns, categories=[CFG.target])
+    return _round(out, "statistic", "distance", "p_value")
+
+
+# -- sketches per load -----------------------------------------------------------
+
+
+LOADS = 3
+
+
+def _sketched_loads(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The sketches of ``rows``, which arrive in loads by account id."""
+    path = _scratch(spark, "sketches")
+    for i in range(LOADS):
+        sketch_ops.add_load(rows.where(F.col("account_id") % LOADS == i), MODEL_FEATURES, path, str(i))
+    return sketch_ops.merged(sketch_ops.read_loads(spark, path))
+
+
+def q_sketched_medians_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say about medians merged from the sketches of three loads:
+    the values seen, and the columns whose median has a rank further from the
+    middle than the sketches' bound."""
+    rows = stored(features(spark, sf_dir), "feature_rows")
+    sketches = stored(_sketched_loads(spark, rows), "merged_sketches")
+    medians = sketch_ops.sketched_medians(sketches)
+    values = long_form(rows, MODEL_FEATURES).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    ranks = values.join(F.broadcast(medians), "column").groupBy("column").agg(  # a row per column
+        F.count(F.lit(1)).alias("n"),
+        F.avg((F.col("value") < F.col("median")).cast("double")).alias("below"),
+        F.avg((F.col("value") <= F.col("median")).cast("double")).alias("up_to"),
+    )
+    bound = sketch_ops.RANK_ERROR
+    outside = (F.col("below") > 0.5 + bound) | (F.col("up_to") < 0.5 - bound)
+    return ranks.join(sketches.select("column", F.col("n").alias("seen")), "column").agg(
+        F.count(F.lit(1)).alias("columns"),
+        F.sum("seen").alias("sketched_values"),
+        F.count_if(F.col("seen") != F.col("n")).alias("miscounted"),
+        F.count_if(outside).alias("violations"),
+    )
+
+
+def q_sketched_psi_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say about the decile shares of sketches, small against
+    large plans: the buckets whose share is further from the counted one than
+    two ranks' bounds."""
+    rows = stored(features(spark, sf_dir), "feature_rows")
+    small = F.col("plan_value_index") < F.lit(CFG.plan_score_map["business"])
+    sides = {"ref": rows.where(small), "cur": rows.where(~small)}
+    psi = stored(sketch_ops.sketched_psi(*(_sketched_loads(spark, x) for x in sides.values())), "sketched_psi")
+    bound, checked = 2 * sketch_ops.RANK_ERROR, []
+    for side, part in sides.items():
+        values = long_form(part, MODEL_FEATURES).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        cuts = F.transform("buckets", lambda b: b["cut"])
+        placed = values.join(F.broadcast(psi), "column").withColumn(  # a row per column
+            "at", F.size(F.filter(cuts, lambda c: c < F.col("value")))
+        )
+        counted = placed.groupBy("column", "at").agg(F.count(F.lit(1)).alias("n"))
+        shares = counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("column")))
+        told = psi.select("column", F.posexplode("buckets").alias("at", "b"))
+        both = told.join(shares, ["column", "at"], "left")
+        gap = F.abs(F.coalesce("share", F.lit(0.0)) - F.col(f"b.p_{side}"))
+        checked.append(both.agg(F.count_distinct("column").alias("columns"), F.count_if(gap > bound).alias("violations")))
+    out = checked[0].unionByName(checked[1])
+    return out.agg(F.max("columns").alias("columns"), F.sum("violations").alias("violations"))
+
+
 # -- untidy account files ------------------------------------------------------------
 
 
@@ -374,7 +451,7 @@ def text_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``text_accounts`` written as CSV and read back as an account file."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    path = _scratch(spark, "csv")
     options = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     text_accounts(spark, sf_dir).write.options(**options).csv(path)
     return load_accounts(spark, path, CFG.source_columns, "csv", optional=("account_id",))
@@ -400,6 +477,42 @@ def q_untidy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.target_classes(csv_accounts(spark, sf_dir), CFG.target)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder among this application's stored tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def q_broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account file with planted broken lines, read apart: the ids of its
+    good rows and the broken lines themselves."""
+    path, k = _scratch(spark, "broken"), F.col("account_id")
+    fields = [F.floor(F.col(c)).cast("bigint").cast("string") for c in BASE_NUMERIC_FEATURES]
+    whole = F.concat_ws(",", k.cast("string"), *[F.coalesce(f, F.lit("0")) for f in fields])
+    line = F.when(k % 11 == 0, F.concat(k.cast("string"), F.lit(",1"))).when(k % 13 == 0, F.concat(whole, F.lit(",extra"))).otherwise(whole)
+    header = ",".join(["account_id", *BASE_NUMERIC_FEATURES])
+    # one field a line, as it is: its name is the header
+    plain = {"header": True, "sep": "\u0001", "quote": "\u0000", "escapeQuotes": False}
+    accounts(spark, sf_dir).select(line.alias(header)).write.options(**plain).csv(path)
+    good, broken = load_accounts_apart(spark, path, ["account_id", *BASE_NUMERIC_FEATURES])
+    return good.select("account_id", F.lit(None).cast("string").alias("line")).unionByName(
+        broken.select(F.col("first_field").alias("account_id"), "line")
+    )
+
+
+def q_incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of an account file that arrives in three loads, each read
+    once; ``read``: the files that the three updates read."""
+    folder, store = _scratch(spark, "loads"), _scratch(spark, "profiles")
+    rows = stored(text_accounts(spark, sf_dir), "text_accounts")
+    columns, read = list(CFG.source_columns), 0
+    for i in range(LOADS):
+        rows.where(F.col("account_id").cast("bigint") % LOADS == i).coalesce(1).write.parquet(f"{folder}/{i}")
+        read += profile_ops.update_profiles(spark, folder, store, columns, CFG.target)
+    out = profile_ops.table_profile(profile_ops.current_profiles(spark, folder, store), columns)
+    counted = spark.range(1).select(F.lit("read").alias("measure"), F.lit("").alias("name"), F.lit(read).cast("bigint").alias("value"))
+    return out.unionByName(counted)
+
+
 QUERIES: dict[str, Query] = {
     "account_scan": q_account_scan,
     "coerced_inputs": q_coerced_inputs,
@@ -439,9 +552,14 @@ QUERIES: dict[str, Query] = {
     "request_rate_5m": q_request_rate_5m,
     "request_rate_sliding": q_request_rate_sliding,
     "drift_shifted": q_drift_shifted,
+    "drift_tests": q_drift_tests,
+    "sketched_medians_check": q_sketched_medians_check,
+    "sketched_psi_check": q_sketched_psi_check,
     "untidy_features": q_untidy_features,
     "untidy_profile": q_untidy_profile,
     "untidy_classes": q_untidy_classes,
+    "broken_lines": q_broken_lines,
+    "incremental_profile": q_incremental_profile,
 }
 
 

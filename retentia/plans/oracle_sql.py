@@ -529,6 +529,56 @@ sided AS (SELECT *, CASE WHEN plan_value_index < {d(CFG.plan_score_map['business
 SELECT "column", {q6("psi")} AS psi, {q6("ks_statistic")} AS ks_statistic, {q6("wasserstein")} AS wasserstein, drifted FROM dd"""
 
 
+def drift_tests() -> str:
+    border = d(CFG.plan_score_map["business"])
+    # both p-values as folds over the terms of their series
+    ks_terms = f"list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp({d(-2)} * k * k * x * x))"
+    step = "struct_pack(t := s.t * z / (a + i.k), total := s.total + s.t * z / (a + i.k), k := i.k)"
+    items = "list_transform(range(1, CAST(ceil(z) AS BIGINT) + 101), lambda k: struct_pack(t := one, total := one, k := CAST(k AS DOUBLE)))"
+    first = "exp(a * ln(z) - z - lgamma(a + 1))"
+    start = f"list_prepend(struct_pack(t := {first}, total := {first}, k := zero), {items})"
+    lower = f"list_reduce({start}, lambda s, i: {step}).total"
+    sides = f"""
+sided AS (SELECT f.*, c.subscription_plan AS plan, CASE WHEN plan_value_index < {border} THEN 'train' ELSE 'test' END AS split
+          FROM feat AS f JOIN coerced AS c ON c.account_id = f.account_id)"""
+    return with_(ACCOUNTS_SQL, features_ctes(), sides, scored_ctes("sided"), _drift_sides()) + f""",
+sz AS (SELECT "column", COUNT(CASE WHEN side = 'reference' THEN 1 END) AS n, COUNT(CASE WHEN side = 'current' THEN 1 END) AS m
+       FROM lf WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY "column"),
+numbers AS (SELECT dd."column", ks_statistic, wasserstein,
+              ks_statistic * sqrt(CAST(n AS DOUBLE) * CAST(m AS DOUBLE) / (CAST(n AS DOUBLE) + CAST(m AS DOUBLE))) AS x
+            FROM dd JOIN sz ON sz."column" = dd."column" WHERE dd."column" <> 'renewed'),
+number_p AS (SELECT *, CASE WHEN x < 0.2 THEN {d(1)} ELSE least({d(1)}, greatest({d(0)}, 2 * list_sum({ks_terms}))) END AS p FROM numbers),
+cats AS (SELECT 'plan' AS "column", plan AS category, split FROM sided
+         UNION ALL SELECT 'renewed', CAST(renewed AS VARCHAR), split FROM sided),
+cc AS (SELECT "column", category, CAST(COUNT(CASE WHEN split = 'train' THEN 1 END) AS DOUBLE) AS r,
+         CAST(COUNT(CASE WHEN split = 'test' THEN 1 END) AS DOUBLE) AS c FROM cats WHERE category IS NOT NULL GROUP BY "column", category),
+cs AS (SELECT *, SUM(r) OVER w AS nr, SUM(c) OVER w AS nc, COUNT(*) OVER w AS k FROM cc WINDOW w AS (PARTITION BY "column")),
+ct AS (SELECT "column", MAX(k) - 1 AS freedom,
+         SUM((r - nr * (r + c) / (nr + nc)) ** 2 / (nr * (r + c) / (nr + nc)) + (c - nc * (r + c) / (nr + nc)) ** 2 / (nc * (r + c) / (nr + nc))) AS chi,
+         SUM((CASE WHEN r > 0 THEN r / nr * log2(r / nr / ((r / nr + c / nc) / 2)) ELSE 0 END
+              + CASE WHEN c > 0 THEN c / nc * log2(c / nc / ((r / nr + c / nc) / 2)) ELSE 0 END) / 2) AS js
+       FROM cs GROUP BY "column"),
+cz AS (SELECT *, CAST(freedom AS DOUBLE) / 2 AS a, chi / 2 AS z, {d(1)} AS one, {d(0)} AS zero FROM ct),
+cp AS (SELECT "column", chi, sqrt(greatest({d(0)}, js)) AS distance,
+         CASE WHEN freedom < 1 OR z <= 0 THEN {d(1)} WHEN z > a + 50 * sqrt(a) + 100 THEN {d(0)}
+              ELSE greatest({d(0)}, 1 - {lower}) END AS p FROM cz)
+SELECT "column", 'number' AS kind, 'ks' AS test, {q6("ks_statistic")} AS statistic, {q6("wasserstein")} AS distance,
+  {q6("p")} AS p_value, p < {d(0.05)} AS drifted FROM number_p
+UNION ALL
+SELECT "column", 'category', 'chi_square', {q6("chi")}, {q6("distance")}, {q6("p")}, p < {d(0.05)} FROM cp"""
+
+
+def sketched_medians_check() -> str:
+    return with_(ACCOUNTS_SQL, features_ctes()) + f""",
+lf AS ({long_union("feat", MODEL_FEATURES)})
+SELECT COUNT(DISTINCT "column") AS columns, COUNT(*) AS sketched_values, CAST(0 AS BIGINT) AS miscounted, CAST(0 AS BIGINT) AS violations
+FROM lf WHERE value IS NOT NULL AND NOT isnan(value)"""
+
+
+def sketched_psi_check() -> str:
+    return f"SELECT CAST({len(MODEL_FEATURES)} AS BIGINT) AS columns, CAST(0 AS BIGINT) AS violations"
+
+
 # -- untidy account files: what each spelling stands for, not how it is parsed; an empty
 # field of a CSV file is a missing one ---------------------------------------------------
 
@@ -576,6 +626,24 @@ def untidy_classes() -> str:
     return with_(ACCOUNTS_SQL, _untidy()) + "\nSELECT DISTINCT CAST(label AS DOUBLE) AS target_class FROM untidy WHERE label IS NOT NULL"
 
 
+def broken_lines() -> str:
+    whole = " || ',' || ".join(["CAST(account_id AS VARCHAR)", *[f"COALESCE(CAST(CAST(floor({c}) AS BIGINT) AS VARCHAR), '0')" for c in BASE_NUMERIC_FEATURES]])
+    return with_(ACCOUNTS_SQL) + f"""
+SELECT CAST(account_id AS VARCHAR) AS account_id, CASE WHEN account_id % 11 = 0 THEN CAST(account_id AS VARCHAR) || ',1'
+  WHEN account_id % 13 = 0 THEN {whole} || ',extra' END AS line FROM accounts"""
+
+
+def incremental_profile() -> str:
+    # as text: an untidy number is a cell, a number of the account table may be missing
+    nulls = {"monthly_usage_hours": "account_id % 7 = 3", "subscription_plan": "account_id % 5 = 0 OR (account_id % 5 = 4 AND subscription_plan IS NULL)"}
+    nulls |= {c: f"{c} IS NULL" for c in BASE_NUMERIC_FEATURES[1:]} | {"renewed": "account_id % 6 = 3 OR (account_id % 6 >= 4 AND renewed IS NULL)"}
+    parts = "".join(f"\nUNION ALL SELECT 'nulls', '{c}', CAST(COUNT(CASE WHEN {nulls[c]} THEN 1 END) AS BIGINT) FROM accounts" for c in CFG.source_columns)
+    return with_(ACCOUNTS_SQL, _untidy()) + f"""
+SELECT 'rows' AS measure, '' AS name, COUNT(*) AS value FROM accounts
+UNION ALL SELECT 'files', '', CAST(3 AS BIGINT) UNION ALL SELECT 'read', '', CAST(3 AS BIGINT){parts}
+UNION ALL SELECT 'class', CAST(CAST(label AS DOUBLE) AS VARCHAR), COUNT(*) FROM untidy WHERE label IS NOT NULL GROUP BY 1, 2"""
+
+
 # -- what SQL can say about the fitted model -------------------------------------------
 
 
@@ -589,4 +657,11 @@ def explained_accounts_check() -> str:
   CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS base_values FROM customer"""
 
 
-MODEL_CHECKS = ("score_accounts_check", "explained_accounts_check")
+def cv_trials_check() -> str:
+    return f"""WITH folds AS ({cv_folds()})
+SELECT CAST(trial AS INTEGER) AS trial, fold, COUNT(*) AS held_out_rows,
+  CAST(COUNT(CASE WHEN renewed = {CFG.positive_class} THEN 1 END) AS BIGINT) AS positives, TRUE AS in_range
+FROM folds, range({CFG.n_trials}) AS t(trial) GROUP BY trial, fold"""
+
+
+MODEL_CHECKS = ("score_accounts_check", "explained_accounts_check", "cv_trials_check")

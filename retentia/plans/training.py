@@ -12,8 +12,9 @@ Spark ML replaces the single-machine boosted trees:
   MLlib bins features (``maxBins``), so scores are not bit-equal;
 * tuning: a seeded random draw of N parameter maps (log-uniform learning
   rate) cross-validated on our stratified folds with the mean of the
-  configured metric (exact ROC-AUC by default); every (candidate, fold) fit is
-  its own Spark ML job and ``parallelism`` of them run at once;
+  configured metric (exact ROC-AUC by default); the models of all candidates
+  and folds grow together, one job a tree level (``operators.boosting``, which
+  gives the model of ``GBTClassifier`` where nothing is drawn);
   N <= 1 takes the first value of every range (the default path, which is
   what the published run used);
 * evaluation with the distributed metric operators at threshold 0.5;
@@ -38,22 +39,20 @@ import json
 import math
 import time
 import uuid
-from multiprocessing.pool import ThreadPool
 from dataclasses import dataclass, field
 from typing import Any, Mapping
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.util import inheritable_thread_target
 
 from ..config import DEFAULT_CONFIG, RenewalConfig
+from ..operators import boosting
 from ..operators import metrics as metric_ops
 from ..operators import scoring as score_ops
 from ..operators.explain import ExplanationBasis, fit_basis, top_factor_list
@@ -158,54 +157,73 @@ class SearchResult:
     scores: list[float]
     best_params: dict[str, Any]
     best_score: float
+    #: per trial and fold: rows, positives and the metric of the held-out rows
+    folds: list[list[tuple[int, int, float]]] = field(default_factory=list)
 
 
-def cv_evaluator(metric: str) -> Evaluator:
-    """The configured metric; ranking metrics are exact (no score bins)."""
-    ranking = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR"}
-    if metric in ranking:
-        return BinaryClassificationEvaluator(
-            labelCol=LABEL_COL, rawPredictionCol="probability", metricName=ranking[metric], numBins=0
-        )
-    by_label = {"accuracy": "accuracy", "f1": "fMeasureByLabel", "precision": "precisionByLabel", "recall": "recallByLabel"}
-    if metric not in by_label:
+RANKING_METRICS = ("roc_auc", "average_precision")
+THRESHOLD_METRICS = ("accuracy", "f1", "precision", "recall")
+
+
+def held_out_metric(held: DataFrame, metric: str) -> DataFrame:
+    """(model, value) of (model, label, score); ranking metrics are exact, the
+    others are those of the positive class at a threshold of one half. Null
+    where the metric has no value (ROC-AUC of one class)."""
+    if metric in RANKING_METRICS:
+        values = metric_ops.ranking_metrics(held, "label", "score", ["model"])
+    elif metric in THRESHOLD_METRICS:
+        predicted = held.withColumn("predicted", (F.col("score") >= 0.5).cast(T.IntegerType()))
+        values = metric_ops.binary_metrics(predicted, "label", "predicted", ["model"])
+    else:
         raise ValueError(f"unknown training metric: {metric}")
-    return MulticlassClassificationEvaluator(labelCol=LABEL_COL, metricName=by_label[metric], metricLabel=1.0)
+    return values.select("model", F.col(metric).alias("value"))
+
+
+def boosted_spec(params: Mapping[str, Any], config: RenewalConfig, held_out: int | None = None) -> boosting.Boosted:
+    """A candidate as ``GBTClassifier`` would be set (``gbt_settings``)."""
+    s, n = gbt_settings(params, config.random_state), len(config.model_features)
+    drawn = {"sqrt": math.ceil(math.sqrt(n)), "log2": max(1, math.ceil(math.log2(n)))}
+    return boosting.Boosted(
+        trees=s["maxIter"],
+        step=s["stepSize"],
+        depth=s["maxDepth"],
+        min_rows=s["minInstancesPerNode"],
+        row_share=s["subsamplingRate"],
+        features=drawn.get(s["featureSubsetStrategy"]),
+        held_out=held_out,
+        seed=s["seed"],
+    )
 
 
-def cross_validate(
-    train: DataFrame, candidates: list[dict[str, Any]], config: RenewalConfig = DEFAULT_CONFIG, parallelism: int = 2
-) -> SearchResult:
+def cross_validate(train: DataFrame, candidates: list[dict[str, Any]], config: RenewalConfig = DEFAULT_CONFIG) -> SearchResult:
     """Mean metric of every candidate over the stratified folds.
 
-    Every (candidate, fold) fit is an independent Spark ML job over the same
-    checkpointed, folded table; ``parallelism`` of them run at once from
-    driver threads and share the executors (``CrossValidator`` would run the
-    folds one after another and refit the best candidate on the whole table,
-    which the search does not need: the final fit is the caller's).
+    The models of all candidates and folds grow together: the number of jobs
+    is that of the longest model. Their scores of held-out rows are one table,
+    on which the metric of every model is one aggregation.
     """
-    pipeline, gbt = build_pipeline(config)
+    if config.cv_metric not in RANKING_METRICS + THRESHOLD_METRICS:
+        raise ValueError(f"unknown training metric: {config.cv_metric}")
     folded = laid_out(cv_folds(train, config), config)
-    maps = [param_map(gbt, p, config.random_state) for p in candidates]
-    evaluator = cv_evaluator(config.cv_metric)
-    fits = [(i, k) for i in range(len(maps)) for k in range(config.cv_folds)]
-
-    def fit(job: tuple[int, int]) -> tuple[int, float]:
-        i, k = job
-        model = pipeline.fit(folded.where(F.col(FOLD) != k), params=maps[i])
-        return i, float(evaluator.evaluate(model.transform(folded.where(F.col(FOLD) == k))))
-
-    with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
-        results = pool.map(inheritable_thread_target(folded.sparkSession)(fit), fits)
-    per_candidate: dict[int, list[float]] = {}
-    for i, metric in results:
-        per_candidate.setdefault(i, []).append(metric)
-    scores = [float(np.mean(per_candidate[i])) for i in range(len(maps))]
-    best = int(np.argmax(scores))
-    return SearchResult(candidates, scores, candidates[best], scores[best])
-
-
-def search(train: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, n_trials: int | None = None, parallelism: int = 2) -> SearchResult:
+    k = config.cv_folds
+    specs = [boosted_spec(p, config, fold) for p in candidates for fold in range(k)]
+    grown = boosting.grow_together(folded, config.model_features, LABEL_COL, config.id_column, specs, FOLD)
+    held = stored(grown.held_out_scores(folded.sparkSession), "held_out")
+    grown.release()
+    sizes = {r["model"]: (r["n"], r["p"]) for r in held.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()}
+    values = {r["model"]: r["value"] for r in held_out_metric(held, config.cv_metric).collect()}
+    folds, scores = [], []
+    for i in range(len(candidates)):
+        models = range(i * k, (i + 1) * k)
+        value = [math.nan if values.get(m) is None else float(values[m]) for m in models]
+        folds.append([(*sizes.get(m, (0, 0)), v) for m, v in zip(models, value)])
+        known = [v for v in value if not math.isnan(v)]
+        scores.append(float(np.mean(known)) if known else math.nan)
+    best = max(range(len(scores)), key=lambda i: -math.inf if math.isnan(scores[i]) else scores[i])
+    return SearchResult(candidates, scores, candidates[best], scores[best], folds)
+
+
+def search(train: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, n_trials: int | None = None) -> SearchResult:
     """Random search when more than one trial is asked, else the default
     parameters probed by cross-validation. ``n_trials`` of 0 / None falls
     back to the configured count, as in the original."""
@@ -214,7 +232,7 @@ def search(train: DataFrame, config: RenewalConfig = DEFAULT_CONFIG, n_trials: i
         candidates = sample_params(config, requested, config.random_state)
     else:
         candidates = [default_params(config)]
-    return cross_validate(train, candidates, config, parallelism)
+    return cross_validate(train, candidates, config)
 
 
 # -- bundle -------------------------------------------------------------------------
@@ -226,6 +244,8 @@ class Bundle:
     metadata: dict[str, Any]
     best_params: dict[str, Any] = field(default_factory=dict)
     metrics: dict[str, Any] = field(default_factory=dict)
+    #: name of the stored version it was loaded from
+    version: str = ""
 
 
 def importances(model: PipelineModel, config: RenewalConfig = DEFAULT_CONFIG) -> dict[str, float]:
@@ -276,7 +296,8 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
         raise NoBundle(f"no model bundle in {path}; train or publish one first")
     parsed = json.loads(spark.read.text(f"{versions[-1]}/metadata").first()["value"])
     model = PipelineModel.load(f"{versions[-1]}/model")
-    return Bundle(model, parsed["metadata"], parsed.get("best_params", {}), parsed.get("metrics", {}))
+    version = versions[-1].rsplit("/", 1)[-1]
+    return Bundle(model, parsed["metadata"], parsed.get("best_params", {}), parsed.get("metrics", {}), version)
 
 
 def publish_bundle(spark: SparkSession, source: str, destination: str) -> str:
@@ -388,13 +409,12 @@ def fit_and_evaluate(
     split_features: DataFrame,
     config: RenewalConfig = DEFAULT_CONFIG,
     n_trials: int | None = None,
-    parallelism: int = 8,
     bundle_path: str | None = None,
 ) -> Bundle:
     """Search (or probe), final fit on train, evaluation on test, bundle."""
     table = materialized_training_table(split_features.where(F.col("split") == "train"), config)
     test = split_features.where(F.col("split") == "test")
-    result = search(table, config, n_trials, parallelism)
+    result = search(table, config, n_trials)
     pipeline, gbt = build_pipeline(config)
     model = pipeline.fit(table, params=param_map(gbt, result.best_params, config.random_state))
     bundle = make_bundle(model, table, config, result.best_params, {})
@@ -457,14 +477,17 @@ def q_explained_accounts_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def q_cv_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random search over the configured space, mean 3-fold CV ROC-AUC per trial."""
+def searched(spark: SparkSession, sf_dir: str) -> SearchResult:
+    """The configured random search on the train split."""
     from .catalog import split_features as splits
 
-    cfg = DEFAULT_CONFIG
     split = splits(spark, sf_dir)
-    table = materialized_training_table(split.where(F.col("split") == "train"), cfg)
-    result = search(table, cfg, parallelism=8)
+    return search(materialized_training_table(split.where(F.col("split") == "train")))
+
+
+def q_cv_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random search over the configured space, mean 3-fold CV ROC-AUC per trial."""
+    result = searched(spark, sf_dir)
     rows = [
         (i, p["n_estimators"], p["learning_rate"], p["max_depth"], p["min_samples_split"], p["min_samples_leaf"],
          p["subsample"], str(p["max_features"]), s)
@@ -477,9 +500,21 @@ def q_cv_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def q_cv_trials_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say about the search: the held-out rows and positives of
+    every (trial, fold), and whether its metric is in range."""
+    rows = [
+        (i, k, n, positives, 0.0 <= value <= 1.0)
+        for i, folds in enumerate(searched(spark, sf_dir).folds)
+        for k, (n, positives, value) in enumerate(folds)
+    ]
+    return spark.createDataFrame(rows, "trial int, fold int, held_out_rows long, positives long, in_range boolean")
+
+
 MODEL_QUERIES = {
     "score_accounts": q_score_accounts,
     "score_accounts_check": q_score_accounts_check,
     "explained_accounts_check": q_explained_accounts_check,
     "cv_trials": q_cv_trials,
+    "cv_trials_check": q_cv_trials_check,
 }
