@@ -18,6 +18,7 @@ thousands of near copies cost about one comparison each.
 
 from __future__ import annotations
 
+import math
 import hashlib
 from collections.abc import Iterator
 
@@ -49,9 +50,10 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent = percent
-        starts = [1]
+        starts, ratio = [1], 100 / percent  # of the sizes of two similar sets at most
         while starts[-1] < _MOST:
-            starts.append(max(starts[-1] + 1, int(starts[-1] * BAND_RATIO)))
+            wider = int(starts[-1] * BAND_RATIO) if ratio <= BAND_RATIO else math.ceil(starts[-1] * ratio)
+            starts.append(max(starts[-1] + 1, wider))
         self.starts = np.array(starts, dtype=np.int64)
 
     def of(self, size: int) -> int:
@@ -520,14 +522,17 @@ class JaccardJoin:
 def keep_one_per_group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, but of each component
     only the document with the smallest id. Rows that agree in id and text
-    stay or go together."""
+    stay or go together. Null and empty texts belong to no group, so they
+    stay; a null id is larger than any other; an empty table stays empty;
+    columns may have any names."""
     done = written(JaccardJoin(docs, words, percent, id_col, text_col).result(), "groups")
     stays = done.where(F.col("row") == F.col("group_row")).select("doc_id", "text_hash")
     goes = done.where(F.col("row") != F.col("group_row")).select("doc_id", "text_hash")
     gone = written(goes.subtract(stays), "dropped")
     names = docs.columns
-    text_hash = "_".join(["text_hash", *sorted(names, key=len)[-1:]])
+    # names that no column of the input has
+    text_hash, gone_id, gone_text = (f"{n}_{max(names, key=len)}" for n in ("text_hash", "gone_id", "gone_text"))
     marked = docs.withColumn(text_hash, F.xxhash64(f"`{text_col}`"))
-    gone = broadcast_if_small(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")))
-    same = marked[f"`{id_col}`"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.col(f"`{text_hash}`") == F.col("_gone_text"))
+    gone = broadcast_if_small(gone.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text)))
+    same = marked[f"`{id_col}`"].cast("long").eqNullSafe(F.col(f"`{gone_id}`")) & (F.col(f"`{text_hash}`") == F.col(f"`{gone_text}`"))
     return marked.join(gone, same, "left_anti").select(*[f"`{n}`" for n in names])

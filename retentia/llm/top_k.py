@@ -64,13 +64,15 @@ def best_of_tile(query_ids, queries, vec_ids, vectors, k: int):
     vec_ids, vectors = vec_ids[order], vectors[order]
     scores = tile_scores(queries, vectors)
     n = len(vec_ids)
-    own = query_ids[:, None] == vec_ids[None, :]
-    take = min(n, k + 1)  # an id occurs once: its own vector is one at most
+    own = query_ids[:, None] == vec_ids[None, :]  # several, if rows share an id
+    take = min(n, k)
     if take < n and float(np.abs(scores.astype(np.float64)).max(initial=0)) * n < 2.0**62:
         rank = scores * n + (n - 1 - np.arange(n))  # no two are equal
+        rank[own] = np.iinfo(np.int64).min
         chosen = np.argpartition(rank, n - take, axis=1)[:, n - take :]
     else:
-        chosen = np.argsort(-scores.astype(object) if np.any(scores == np.iinfo(np.int64).min) else -scores, axis=1, kind="stable")[:, :take]
+        # ~x falls as x grows, for every integer; ties stay in the order of ids
+        chosen = np.lexsort((~scores, own), axis=1)[:, :take]
     rows = np.repeat(np.arange(len(query_ids)), take)
     cols = chosen.ravel()
     keep = ~own[rows, cols]
@@ -89,8 +91,9 @@ def top_k(
 ) -> DataFrame:
     """The k best vectors of every query: query_id, rank (from 1), vec_id, score.
 
-    Both frames have (vec_id long, vec array<long>), each id once and no
-    nulls (see ``vector_table``). A query's own id is no candidate. Score: the
+    Both frames have (vec_id long, vec array<long>) without nulls (see
+    ``vector_table``). A query's own id is no candidate. Rows that share an id
+    are candidates each; queries that share an id share one list. Score: the
     inner product; missing components of a shorter vector count as 0. Ties go
     to the smaller vec_id. With fewer than k candidates all are returned; an
     empty side gives an empty result.
@@ -122,7 +125,6 @@ def top_k(
             q["query_id"].to_numpy(), _matrix(q["query"], width), v["vec_id"].to_numpy(), _matrix(v["vector"], width), k
         )
         shard = np.full(len(ids), v["shard"][0].as_py())
-        # the own vector may have taken a place: at most k remain after it, k + 1 if it was not there
         return pa.table([ids, shard, found, score], schema=arrow)
 
     partial = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(tile, schema)
@@ -139,13 +141,7 @@ def top_k(
 
 def vector_table(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(vec_id, vec) of the rows that take part: id not null, vector whole.
-
-    Of rows that repeat an id, the smallest vector in component order stands
-    for it.
-    """
-    return (
-        rows.where(F.col(f"`{id_col}`").isNotNull() & whole_vector(F.col(f"`{vector_col}`")))
-        .select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), scaled(F.col(f"`{vector_col}`"), scale).alias("vec"))
-        .groupBy("vec_id")
-        .agg(F.min("vec").alias("vec"))
+    Rows that repeat an id all take part."""
+    return rows.where(F.col(f"`{id_col}`").isNotNull() & whole_vector(F.col(f"`{vector_col}`"))).select(
+        F.col(f"`{id_col}`").cast("long").alias("vec_id"), scaled(F.col(f"`{vector_col}`"), scale).alias("vec")
     )

@@ -455,9 +455,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is not predicted toxic."""
+    """The rows of ``docs``, with all their columns, whose text is not
+    predicted toxic. A null text is scored as an empty one; repeated rows stay
+    or go together; an empty table stays empty; columns may have any names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    names, place = docs.columns, docs.columns.index(text_col)
+    # plain names inside: mapInArrow takes a dot in a name for a field
+    plain = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
@@ -465,4 +469,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
             keep = [scorer.score(t.as_py() or "") < 0.5 for t in batch.column(place)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return plain.mapInArrow(clean, plain.schema).toDF(*names)

@@ -140,3 +140,27 @@ def test_short_sequences_differ_from_shingles():
     longer = word_hashes(b"a b c", WordHashes())
     assert shingle_set(hashes, 3)[0] not in shingle_set(longer, 3)
     assert (word_hashes(b"a\x0bB", WordHashes()) == hashes).all()
+
+
+def test_every_percent_links_sets_of_unlike_size(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(24):
+        start = int(rng.integers(0, 12))
+        rows.append((i, " ".join(f"w{j}" for j in range(start, start + int(rng.integers(1, 14))))))
+    sets = [set(t.split()) for _, t in rows]
+    for percent in (10, 34, 50, 66, 67, 90):
+        got = jj.JaccardJoin(docs(spark, rows), words=1, percent=percent).result().collect()
+        parent = list(range(len(rows)))
+        for _ in rows:  # least reachable id
+            for a in range(len(rows)):
+                for b in range(len(rows)):
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        parent[a] = min(parent[a], parent[b])
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(parent)), percent
+
+
+def test_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    frame = spark.createDataFrame([(1, text, 7, "x"), (2, text + " more", 8, "y"), (3, None, 9, "z")], "doc_id long, text string, _gone_id long, `a.b` string")
+    assert sorted(map(tuple, jj.keep_one_per_group(frame).collect()), key=str) == [(1, text, 7, "x"), (3, None, 9, "z")]

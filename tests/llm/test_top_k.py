@@ -12,15 +12,15 @@ def table(spark, rows):
 
 
 def brute(rows, k, scale=64):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        ints = [math.floor(scale * float(np.float32(x))) for x in v]
-        vectors[i] = min(ints, vectors.get(i, ints))
+    """As the query's SQL: every row is a candidate, a query id has one list."""
+    vectors = [
+        (i, [math.floor(scale * float(np.float32(x))) for x in v])
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
     out = []
-    for q in (i for i in vectors if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)
+    for q in {i for i, _ in vectors if i % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for j, w in vectors if j == q for i, v in vectors if i != q)
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], start=1)]
     return sorted(out)
 
@@ -53,7 +53,14 @@ def test_nulls_gaps_repeats_and_short_tables(spark):
         (6, [-1.0, -1.0]),
     ]
     assert found(spark, rows) == brute(rows, 5)
-    assert len(found(spark, rows, k=20)) == 3 * 4
+    assert found(spark, rows, k=20) == brute(rows, 20)
+
+
+def test_rows_that_repeat_an_id_are_candidates_each(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 30, rng.normal(size=4).astype("float32").tolist()) for i in range(200)]
+    assert found(spark, rows, block_queries=3, shard_vectors=8) == brute(rows, 5)
+    assert len(found(spark, [(20, [1.0]), (1, [2.0]), (1, [3.0])])) == 2
 
 
 def test_empty_table(spark):

@@ -127,3 +127,12 @@ def test_prechecks_agree_with_the_bare_patterns():
         for name, pattern in tx._COMPILED.items():
             assert not pattern.search(text) or tx._may_match(name, text, tx._words(text)), (name, text)
     assert all(any(p.search(t) for t in texts) for p in tx._COMPILED.values())
+
+
+def test_kept_rows_have_columns_of_any_name(spark):
+    rows = [(i, "you pathetic idiot" if i % 4 == 0 else "a fine day", f"k{i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(200)], "doc_id long, toxic int, quality int")
+    kept = tx.keep_clean(frame, tx.fit_toxicity(frame, marks))
+    assert kept.columns == frame.columns and {r["a.b"] for r in kept.collect()} == {f"k{i}" for i in range(200) if i % 4}
+    assert tx.keep_clean(frame.where("false"), tx.fit_toxicity(frame, marks)).count() == 0
