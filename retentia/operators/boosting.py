@@ -322,9 +322,12 @@ def grow_together(
     sc = df.sparkSession.sparkContext
     ensure_checkpoint_dir(df.sparkSession)
     df = df.where(F.col(label).isNotNull())
-    edges = _edges(df, features, key, df.count(), max_bins)
+    rows = df.count()
+    edges = _edges(df, features, key, rows, max_bins)
     n_bins, depth = max(len(e) for e in edges) + 1, max(s.depth for s in specs)
-    blocks = _packed(df, features, label, key, fold, edges, len(specs)).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = _packed(df, features, label, key, fold, edges, len(specs))
+    # no more tasks a level than full blocks; a single one needs no shuffle
+    blocks = blocks.coalesce(max(1, math.ceil(rows / BLOCK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
     reducers = max(1, min(blocks.getNumPartitions(), len(specs), sc.defaultParallelism))
     forest: list[Trees] = []
     before, saved = None, None

@@ -49,8 +49,10 @@ def test_a_model_is_that_of_the_spark_classifier(table, trees, step, depth, min_
     assert np.abs(got - want["p"].to_numpy()).max() < 1e-9
 
 
-def test_models_grown_together_are_those_grown_alone(spark, table, monkeypatch):
+@pytest.mark.parametrize("block_rows", [8_192, 250])  # in one task, in several
+def test_models_grown_together_are_those_grown_alone(spark, table, monkeypatch, block_rows):
     monkeypatch.setattr(boosting, "CHECKPOINT_TREES", 2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", block_rows)
     specs = [
         Boosted(7, 0.1, 2, held_out=0, seed=3),
         Boosted(4, 0.2, 4, 5, row_share=0.7, held_out=1, seed=3),
