@@ -39,7 +39,7 @@ def test_entry_contract(spark):
 
 # Queries whose plans change shape with the data size. At sf0.01 they take
 # the small-data paths; these parameters force the paths a large table takes
-# (many value buckets per group, a coarse quantile sketch with wide brackets,
+# (many value buckets per group in a deep tree of cuts, a coarse quantile sketch with wide brackets,
 # many rounds and buckets of the split) and the results must not change.
 SCALE_PATH_QUERIES = ["roc_auc", "average_precision", "quality_by_side", "drift_psi", "drift_ks", "drift_wasserstein",
                       "drift_summary", "feature_medians", "scenario_features", "stratified_split", "cv_folds", "top_factors"]
@@ -52,6 +52,8 @@ def test_large_data_paths_match_oracle(spark, con, monkeypatch, name):
     import retentia.operators.split as S
 
     monkeypatch.setattr(P, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(P, "FAN_OUT", 8)  # two levels of cuts
+    monkeypatch.setattr(P, "BROADCAST_CUTS", 4)
     monkeypatch.setattr(Q, "SKETCH_ACCURACY", 200)
     monkeypatch.setattr(S, "BUCKET_ROWS", 3)
     monkeypatch.setattr(S, "DIGITS", 2)

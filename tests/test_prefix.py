@@ -46,3 +46,19 @@ def test_value_scan_coarse_sketch(spark, monkeypatch):
     df = spark.range(0, 5000).select(F.col("id"), (F.col("id") % 2).alias("g"),
                                      F.sin(F.col("id")).alias("k"), F.lit(1).alias("v"))
     _check(df, ["g"], ["v"])
+
+
+def test_value_scan_through_a_deep_tree_of_cuts(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(P, "FAN_OUT", 4)
+    monkeypatch.setattr(P, "BROADCAST_CUTS", 3)
+    df = spark.range(0, 3000).select(
+        F.col("id"),
+        F.when(F.col("id") < 2900, F.lit("hot")).otherwise((F.col("id") % 3).cast("string")).alias("g"),
+        F.pow(F.col("id") * 7919 % 100003, F.lit(3)).alias("k"),
+        (F.col("id") % 5).alias("v"))
+    deep = P._bucketed(df, "k", ["g"])
+    assert deep.select("g", P.BUCKET).distinct().count() > 2900 / 20
+    assert deep.groupBy("g", P.BUCKET).count().where("count > 20").count() == 0
+    _check(df, ["g"], ["v"])
+    _check(df, [], ["v"])
