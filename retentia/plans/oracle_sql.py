@@ -664,4 +664,14 @@ SELECT CAST(trial AS INTEGER) AS trial, fold, COUNT(*) AS held_out_rows,
 FROM folds, range({CFG.n_trials}) AS t(trial) GROUP BY trial, fold"""
 
 
-MODEL_CHECKS = ("score_accounts_check", "explained_accounts_check", "cv_trials_check")
+def fixed_model_scores() -> str:
+    # both trees have the same leaves: -1 and 1, then the residual of a margin of one
+    margin = f"({d(1)} + {d(0.1)} * 4 / (1 + exp({d(2)})))"
+    renewed = "login_frequency > 5 AND last_login_days <= 10"
+    p = f"1 / (1 + exp(-2 * (CASE WHEN {renewed} THEN 1 ELSE -1 END) * {margin}))"
+    return with_(ACCOUNTS_SQL, features_ctes()) + f"""
+SELECT account_id, {q6(p)} AS renewal_probability, CASE WHEN {renewed} THEN 1 ELSE 0 END AS renewal_prediction,
+  CASE WHEN {renewed} THEN 'renewed' ELSE 'not_renewed' END AS renewal_label FROM feat"""
+
+
+MODEL_CHECKS = ("score_accounts_check", "explained_accounts_check", "cv_trials_check", "fixed_model_scores")

@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_CONFIG, RenewalConfig
+from ..functions.columns import q6
 from ..operators import boosting
 from ..operators import metrics as metric_ops
 from ..operators import scoring as score_ops
@@ -477,6 +478,28 @@ def q_explained_accounts_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Logins, days since the last one, label: planted rows that two trees of two
+#: levels reproduce (renewed: more than 5 logins, the last at most 10 days ago).
+PLANTED_ROWS = ((0.0, 0.0, 0), (0.0, 20.0, 0), (10.0, 0.0, 1), (10.0, 20.0, 0))
+PLANTED_STEP = 0.1
+
+
+def q_fixed_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every account, scored by a model whose rules are known: the classifier
+    fitted to ``PLANTED_ROWS``, two trees."""
+    from .catalog import features as account_rows
+
+    cfg = DEFAULT_CONFIG
+    names = ("login_frequency", "last_login_days", cfg.target)
+    planted = spark.createDataFrame([(i, *row) for i, row in enumerate(PLANTED_ROWS)], f"account_id long, {names[0]} double, {names[1]} double, {names[2]} int")
+    others = [F.lit(0.0).alias(c) for c in cfg.model_features if c not in names]
+    pipeline, gbt = build_pipeline(cfg)
+    exact = {gbt.maxIter: 2, gbt.stepSize: PLANTED_STEP, gbt.maxDepth: 2, gbt.subsamplingRate: 1.0, gbt.featureSubsetStrategy: "all"}
+    model = pipeline.fit(laid_out(training_table(planted.select("*", *others), cfg), cfg), params=exact)
+    scored = score(Bundle(model, {}), account_rows(spark, sf_dir))
+    return scored.select("account_id", q6(score_ops.PROBABILITY).alias(score_ops.PROBABILITY), score_ops.PREDICTION, score_ops.LABEL)
+
+
 def searched(spark: SparkSession, sf_dir: str) -> SearchResult:
     """The configured random search on the train split."""
     from .catalog import split_features as splits
@@ -515,6 +538,7 @@ MODEL_QUERIES = {
     "score_accounts": q_score_accounts,
     "score_accounts_check": q_score_accounts_check,
     "explained_accounts_check": q_explained_accounts_check,
+    "fixed_model_scores": q_fixed_model_scores,
     "cv_trials": q_cv_trials,
     "cv_trials_check": q_cv_trials_check,
 }

@@ -65,7 +65,7 @@ def test_large_data_paths_match_oracle(spark, con, monkeypatch, name):
 def test_model_checks_match_oracle(spark, con):
     from retentia.plans.training import MODEL_QUERIES
 
-    for name in ("score_accounts_check", "explained_accounts_check", "cv_trials_check"):
+    for name in ("score_accounts_check", "explained_accounts_check", "cv_trials_check", "fixed_model_scores"):
         ok, why = compare(MODEL_QUERIES[name](spark, SF_ORACLE).toPandas(), con.execute(SQL[name]).df())
         assert ok, (name, why)
 
