@@ -37,7 +37,8 @@ from ..operators.split import stratified_split
 from ..functions.columns import parse_numeric
 from ..session import drop_stored, get_spark, stored
 from ..sources.accounts import account_table
-from ..sources.sinks import ensure_table, is_whole, write_report, write_scored_csv, write_splits, write_table
+from ..sources.manifest import ensure_current
+from ..sources.sinks import write_report, write_scored_csv, write_splits, write_table
 from ..sources.tables import load_accounts
 from . import training as T
 
@@ -98,14 +99,31 @@ def stage_validate(spark: SparkSession, accounts: str, out: str, config: Renewal
     return quality.check_accounts(rows, config, _paths(out)["validation"], accounts)
 
 
-def stage_features(spark: SparkSession, accounts: str, out: str, config: RenewalConfig, fmt: str = "csv") -> None:
-    ensure_table(account_features(read_accounts(spark, accounts, config, fmt), config), _paths(out)["features"])
+#: Settings that a table depends on, and the tables that accounts come from.
+FEATURE_SETTINGS = (
+    "plan_scores", "inactivity_risk_weight", "payment_failure_risk_weight", "support_ticket_risk_weight",
+    "engagement_relief_weight", "model_features", "input_features", "source_columns", "target", "id_column",
+)
+SPLIT_SETTINGS = ("target", "test_share", "random_state", "id_column")
+ACCOUNT_TABLES = ("customer", "orders", "lineitem")
 
 
-def stage_split(spark: SparkSession, out: str, config: RenewalConfig) -> None:
+def _settings(config: RenewalConfig, names: tuple[str, ...]) -> dict[str, Any]:
+    return {n: getattr(config, n) for n in names}
+
+
+def stage_features(spark: SparkSession, accounts: str, out: str, config: RenewalConfig, fmt: str = "csv") -> bool:
+    """The feature table, built unless it is that of these files and settings."""
+    inputs = [f"{accounts}/{t}.parquet" for t in ACCOUNT_TABLES] if fmt == "tables" else [accounts]
+    build = lambda: account_features(read_accounts(spark, accounts, config, fmt), config)
+    return ensure_current(spark, _paths(out)["features"], build, inputs, _settings(config, FEATURE_SETTINGS) | {"format": fmt})
+
+
+def stage_split(spark: SparkSession, out: str, config: RenewalConfig) -> bool:
+    """The split, made again when the feature table or its settings change."""
     p = _paths(out)
-    if not is_whole(spark, p["splits"]):
-        write_splits(stratified_split(spark.read.parquet(p["features"]), config), p["splits"])
+    build = lambda: stratified_split(spark.read.parquet(p["features"]), config)
+    return ensure_current(spark, p["splits"], build, [p["features"]], _settings(config, SPLIT_SETTINGS), write_splits)
 
 
 def stage_train(spark: SparkSession, out: str, config: RenewalConfig, n_trials: int | None) -> dict[str, Any]:

@@ -50,14 +50,20 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, Any] | None:
 
 
 def ensure_current(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], inputs: Sequence[str], settings: Mapping[str, Any], fmt: str = "parquet"
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    inputs: Sequence[str],
+    settings: Mapping[str, Any],
+    write: Callable[[DataFrame, str], None] = write_table,
 ) -> bool:
     """Build the table at ``path`` unless it is whole and its manifest is that
-    of these inputs and settings; True if it was built. The manifest is
-    written last, so a table that a failed job left behind is built again."""
+    of these inputs and settings; True if it was built. ``write`` replaces
+    what is there. The manifest is written last, so a table that a failed job
+    left behind is built again."""
     now = manifest_of(spark, inputs, settings)
     if read_manifest(spark, path) == now:
         return False
-    write_table(build(), path, fmt)
+    write(build(), path)
     spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{MANIFEST}")
     return True

@@ -14,9 +14,10 @@ def test_pipeline_stages_end_to_end(spark, tmp_path):
         "n_estimators": [5, 8], "learning_rate": [0.03, 0.25], "max_depth": [2, 3], "min_samples_split": [2, 18],
         "min_samples_leaf": [1, 8], "subsample": [0.7, 1.0], "max_features": ["sqrt", "log2", "null"]}}))
     cfg = jobs.load_config(str(cfg_path), spark)
-    jobs.stage_features(spark, SF_SMALL, out, cfg, "tables")
-    jobs.stage_features(spark, SF_SMALL, out, cfg, "tables")  # second run leaves the table alone
-    jobs.stage_split(spark, out, cfg)
+    assert jobs.stage_features(spark, SF_SMALL, out, cfg, "tables") and jobs.stage_split(spark, out, cfg)
+    # a second run leaves the tables alone, other settings of the split do not
+    assert not jobs.stage_features(spark, SF_SMALL, out, cfg, "tables") and not jobs.stage_split(spark, out, cfg)
+    assert jobs.stage_split(spark, out, cfg.with_(random_state=5)) and jobs.stage_split(spark, out, cfg)
     splits = spark.read.parquet(f"{out}/splits")
     assert {r[0] for r in splits.select("split").distinct().collect()} == {"train", "test"}
     metrics = jobs.stage_train(spark, out, cfg, n_trials=1)
