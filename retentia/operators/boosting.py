@@ -40,6 +40,10 @@ from ..session import ensure_checkpoint_dir
 
 #: Rows of a packed block.
 BLOCK_ROWS = 8_192
+#: Rows of a task, from which on there are more tasks than run at once.
+TASK_ROWS = 200_000
+#: Inner nodes of a level up to which rows are compared with every node's cut.
+COMPARED_NODES = 16
 #: Rows that the bins are cut from; all rows are used to fit.
 SAMPLE_ROWS = 100_000
 #: Trees between two checkpoints of the running scores.
@@ -170,47 +174,88 @@ class Trees:
         nodes = 2 ** (depth + 1) - 1
         return cls(np.full((models, nodes), -1, np.int8), np.zeros((models, nodes), np.uint8), np.zeros((models, nodes)))
 
-    def reached(self, bins: np.ndarray, models: np.ndarray, levels: int) -> np.ndarray:
-        """The node of every row (models x rows) after so many levels."""
-        node = np.zeros((len(models), bins.shape[1]), dtype=np.int64)
-        of, row = models[:, None], np.arange(bins.shape[1])[None, :]
-        for _ in range(levels):
-            feature = self.feature[of, node]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            right = bins[np.maximum(feature, 0), row] > self.cut[of, node]
-            node = np.where(inner, 2 * node + 1 + right, node)
-        return node
-
-    def outputs(self, bins: np.ndarray, models: np.ndarray) -> np.ndarray:
-        node = self.reached(bins, models, int(math.log2(self.value.shape[1] + 1)) - 1)
-        return self.value[models[:, None], node]
-
-
-def _histograms(block: Block, specs: list[Boosted], trees: Trees, tree: int, level: int, active: np.ndarray, n_bins: int) -> Iterator:
-    """(model, [sum of residuals, rows] of each (node, feature, bin) of the level)."""
-    n_features, first, width = len(block.bins), 2**level - 1, 2**level
-    place = block.bins.astype(np.int64) + n_bins * np.arange(n_features)[:, None]
-    nodes = trees.reached(block.bins, active, level)
-    cells = n_features * n_bins
-    for number, m in enumerate(active.tolist()):
+    def places(self, bins: np.ndarray, model: int, levels: int) -> np.ndarray:
+        """Where every row stands after so many levels: its node's number from
+        the left. The rows of a leaf go left from there on."""
+        place = np.zeros(bins.shape[1], dtype=np.min_scalar_type(2**levels - 1))
+        for level in range(levels):
+            nodes = slice(2**level - 1, 2 ** (level + 1) - 1)
+            feature, cut = self.feature[model, nodes], self.cut[model, nodes]
+            inner = np.flatnonzero(feature >= 0)
+            if len(inner) <= COMPARED_NODES:  # whole rows of bytes are compared faster than looked up
+                right = np.zeros(len(place), dtype=bool)
+                for node in inner.tolist():
+                    right |= (bins[feature[node]] > cut[node]) & (place == node)
+            else:
+                of = feature[place]
+                right = (bins[np.maximum(of, 0), np.arange(len(place))] > cut[place]) & (of >= 0)
+            place = (place << 1) | right
+        return place
+
+    def outputs(self, bins: np.ndarray, model: int, weight: float = 1.0) -> np.ndarray:
+        """The weighted value of every row's leaf."""
+        level, value = 0, self.value[model, :1]
+        while (at := 2**level - 1) < self.feature.shape[1] // 2 and (inner := self.feature[model, at : 2 * at + 1] >= 0).any():
+            below = self.value[model, 2 * at + 1 : 4 * at + 3].copy()
+            below[::2] = np.where(inner, below[::2], value)
+            level, value = level + 1, below
+        return (weight * value)[self.places(bins, model, level)]
+
+
+def _residuals(block: Block, model: int, tree: int, rows: np.ndarray) -> np.ndarray:
+    y = block.label[rows]
+    if tree == 0:
+        return y
+    with np.errstate(over="ignore"):
+        return 4 * y / (1 + np.exp(2 * y * block.scores[model, rows]))
+
+
+def _columns(allowed: np.ndarray) -> np.ndarray:
+    """The features that a level's histograms hold, nodes x columns: all, or
+    those drawn for the node after the first feature, which tells its total."""
+    if allowed.all():
+        return np.broadcast_to(np.arange(allowed.shape[1]), allowed.shape)
+    return np.insert(np.nonzero(allowed)[1].reshape(len(allowed), -1), 0, 0, axis=1)
+
+
+def _histograms(block: Block, specs: list[Boosted], trees: Trees, tree: int, level: int, columns: dict[int, np.ndarray], n_bins: int) -> Iterator:
+    """(model, [sum of residuals, rows] of each (node, column, bin) of the
+    level); the columns of each model with a part in the level are given."""
+    first, width, n = 2**level - 1, 2**level, len(block.label)
+    flat = block.bins.ravel()
+    draws: dict[int, np.ndarray] = {}  # models of one seed draw the same numbers
+    for m, held in columns.items():
         spec = specs[m]
-        take = nodes[number] >= first
-        if spec.held_out is not None:
-            take &= block.fold != spec.held_out
+        take = np.ones(n, dtype=bool) if spec.held_out is None else block.fold != spec.held_out
         if spec.row_share < 1:
-            take &= _draw(block.key, spec.seed, tree) < spec.row_share
-        rows = np.flatnonzero(take)
+            if spec.seed not in draws:
+                draws[spec.seed] = _draw(block.key, spec.seed, tree)
+            take &= draws[spec.seed] < spec.row_share
+        base = None
+        if level:
+            place = trees.places(block.bins, m, level)
+            present = np.repeat(trees.feature[m, 2 ** (level - 1) - 1 : first] >= 0, 2)
+            if not present.all():
+                take &= present[place]
+            rows = np.flatnonzero(take)
+            place = place[rows]
+            base = place * np.int64(n_bins)
+        else:
+            rows = np.flatnonzero(take)
         if not len(rows):
             continue
-        y = block.label[rows]
-        with np.errstate(over="ignore"):
-            residual = y if tree == 0 else 4 * y / (1 + np.exp(2 * y * block.scores[m, rows]))
-        slot = (place[:, rows] + cells * (nodes[number, rows] - first)[None, :]).ravel()
-        sums = np.bincount(slot, weights=np.tile(residual, n_features), minlength=width * cells)
-        counts = np.bincount(slot, minlength=width * cells)
-        yield m, np.stack([sums, counts]).reshape(2, width, n_features, n_bins)
+        residual = _residuals(block, m, tree, rows)
+        out = np.empty((2, width, held.shape[1], n_bins))
+        for j, features in enumerate(held.T):
+            if (features == features[0]).all():
+                slot = block.bins[features[0]][rows]
+            else:
+                slot = flat[(features * n)[place] + rows]
+            if base is not None:
+                slot = base + slot
+            out[0, :, j] = np.bincount(slot, weights=residual, minlength=width * n_bins).reshape(width, n_bins)
+            out[1, :, j] = np.bincount(slot, minlength=width * n_bins).reshape(width, n_bins)
+        yield m, out
 
 
 def best_splits(histogram: np.ndarray, min_rows: int, allowed: np.ndarray) -> list[tuple]:
@@ -248,10 +293,10 @@ def _allowed(spec: Boosted, tree: int, level: int, n_features: int) -> np.ndarra
 
 def _stepped(block: Block, specs: list[Boosted], trees: Trees, tree: int) -> Block:
     """The block after the given tree of every model that has one."""
-    active = np.array([m for m, s in enumerate(specs) if s.trees > tree])
-    weight = np.array([1.0 if tree == 0 else specs[m].step for m in active])
     scores = block.scores.copy()
-    scores[active] += weight[:, None] * trees.outputs(block.bins, active)
+    for m, spec in enumerate(specs):
+        if spec.trees > tree:
+            scores[m] += trees.outputs(block.bins, m, 1.0 if tree == 0 else spec.step)
     return Block(block.bins, block.label, block.fold, block.key, scores)
 
 
@@ -293,7 +338,7 @@ class Grown:
         bins = np.array([np.searchsorted(e, values[:, i], side="left") for i, e in enumerate(self.edges)], dtype=np.uint8)
         score = np.zeros(len(values))
         for t, trees in enumerate(self.forest[: self.specs[model].trees]):
-            score += (1.0 if t == 0 else self.specs[model].step) * trees.outputs(bins, np.array([model]))[0]
+            score += trees.outputs(bins, model, 1.0 if t == 0 else self.specs[model].step)
         return 1 / (1 + np.exp(-2 * score))
 
     def release(self) -> None:
@@ -326,8 +371,9 @@ def grow_together(
     edges = _edges(df, features, key, rows, max_bins)
     n_bins, depth = max(len(e) for e in edges) + 1, max(s.depth for s in specs)
     blocks = _packed(df, features, label, key, fold, edges, len(specs))
-    # no more tasks a level than full blocks; a single one needs no shuffle
-    blocks = blocks.coalesce(max(1, math.ceil(rows / BLOCK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+    # no more tasks a level than full blocks, nor than run at once unless they grow large; a single one needs no shuffle
+    tasks = min(math.ceil(rows / BLOCK_ROWS), max(sc.defaultParallelism, math.ceil(rows / TASK_ROWS)))
+    blocks = blocks.coalesce(max(1, tasks)).persist(StorageLevel.MEMORY_AND_DISK)
     reducers = max(1, min(blocks.getNumPartitions(), len(specs), sc.defaultParallelism))
     forest: list[Trees] = []
     before, saved = None, None
@@ -342,7 +388,8 @@ def grow_together(
                 active = [m for m in active if (trees.feature[m, above] >= 0).any()]
             if not active:
                 break
-            for m, splits in _level(blocks, specs, trees, tree, level, np.array(active), n_bins, len(edges), reducers):
+            allowed = {m: _allowed(specs[m], tree, level, len(edges)) for m in active}
+            for m, splits in _level(blocks, specs, trees, tree, level, allowed, n_bins, reducers):
                 first = 2**level - 1
                 for node, feature, cut, value, left, right in splits:
                     at = first + node
@@ -377,19 +424,22 @@ def _forget(sc, checkpoint: str | None) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _level(blocks, specs, trees, tree, level, active, n_bins, n_features, reducers) -> list[tuple]:
-    """(model, splits of the level's nodes) of every active model."""
+def _level(blocks, specs, trees, tree, level, allowed, n_bins, reducers) -> list[tuple]:
+    """(model, splits of the level's nodes) of every model with a part in it."""
+    columns = {m: _columns(features) for m, features in allowed.items()}
 
     def add_up(part: Iterator[Block]) -> Iterator[tuple]:
         total: dict[int, np.ndarray] = {}
         for block in part:
-            for m, h in _histograms(block, specs, trees, tree, level, active, n_bins):
+            for m, h in _histograms(block, specs, trees, tree, level, columns, n_bins):
                 total[m] = total[m] + h if m in total else h
         return iter(total.items())
 
     def pick(item: tuple) -> tuple:
         m, histogram = item
-        return m, best_splits(histogram, specs[m].min_rows, _allowed(specs[m], tree, level, n_features))
+        every = np.zeros((2, *allowed[m].shape, n_bins))
+        every[:, np.arange(len(every[0]))[:, None], columns[m]] = histogram
+        return m, best_splits(every, specs[m].min_rows, allowed[m])
 
     partial = blocks.mapPartitions(add_up)
     if blocks.getNumPartitions() > 1:

@@ -174,3 +174,45 @@ def test_search_reports_every_fold(spark, table):
         assert sum(n for n, _, _ in folds) == 400 and score == pytest.approx(np.mean([v for *_, v in folds]))
     assert result.best_score == max(result.scores) > 0.7
     assert result.best_params == result.trials[result.scores.index(result.best_score)]
+
+
+@pytest.mark.parametrize("compared", [16, 0])  # cuts compared by whole rows, or looked up
+def test_histograms_of_a_level_are_those_of_its_rows_with_one_draw_for_all_models(monkeypatch, compared):
+    monkeypatch.setattr(boosting, "COMPARED_NODES", compared)
+    draws = []
+    monkeypatch.setattr(boosting, "_draw", lambda key, seed, tree, draw=boosting._draw: (draws.append(seed), draw(key, seed, tree))[1])
+    rng = np.random.default_rng(2)
+    n, n_bins = 500, 6
+    block = boosting.Block(
+        rng.integers(0, n_bins, (5, n)).astype(np.uint8), rng.choice([-1.0, 1.0], n), rng.integers(0, 3, n).astype(np.int16),
+        rng.integers(0, 2**62, n).astype(np.uint64), rng.normal(size=(4, n)),
+    )
+    specs = [Boosted(3, 0.2, 3, row_share=0.6, held_out=k, features=f, seed=7) for k, f in ((0, None), (1, None), (2, 2), (None, 2))]
+    trees = boosting.Trees.stumps(4, 3)
+    trees.value[:] = rng.normal(size=trees.value.shape)
+    for m in range(4):  # of the second level one node is a leaf
+        trees.feature[m, :3], trees.cut[m, :3] = (m, 4, -1), (2, 1, 0)
+    ends = []
+    for m in range(4):
+        node = np.zeros(n, dtype=int)
+        for i in range(n):
+            while trees.feature[m, node[i]] >= 0:
+                node[i] = 2 * node[i] + 1 + (block.bins[trees.feature[m, node[i]], i] > trees.cut[m, node[i]])
+        ends.append(node)
+        assert np.array_equal(trees.outputs(block.bins, m, 0.5), 0.5 * trees.value[m, node])
+    for level, first in ((0, 0), (2, 3)):
+        draws.clear()
+        columns = {m: boosting._columns(boosting._allowed(specs[m], 1, level, 5)) for m in range(4)}
+        assert [c.shape[1] for c in columns.values()] == [5, 5, 3, 3]
+        got = dict(boosting._histograms(block, specs, trees, 1, level, columns, n_bins))
+        assert draws == [7]
+        for m, spec in enumerate(specs):
+            node = ends[m] if level else np.zeros(n, dtype=int)
+            take = (block.fold != spec.held_out) & (boosting._hashed(block.key ^ boosting._hashed(np.array([(7 << 20) + 2], dtype=np.uint64))) >> np.uint64(11) < 0.6 * 2**53)
+            want = np.zeros((2, 2**level, columns[m].shape[1], n_bins))
+            for i in np.flatnonzero(take & (node >= first)):
+                for j, feature in enumerate(columns[m][node[i] - first]):
+                    y = block.label[i]
+                    want[0, node[i] - first, j, block.bins[feature, i]] += 4 * y / (1 + np.exp(2 * y * block.scores[m, i]))
+                    want[1, node[i] - first, j, block.bins[feature, i]] += 1
+            assert np.array_equal(got[m][1], want[1]) and np.allclose(got[m][0], want[0], rtol=1e-12, atol=1e-12)
