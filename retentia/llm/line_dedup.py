@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import mixed
-from .store import written
+from .store import BROADCAST_ROWS, written
 
 GRAM, WINDOW = 2, 2
 WORD_GRAM, WORD_WINDOW = 26, 25
@@ -238,6 +238,19 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _flagged(table: DataFrame, rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """``table`` with a flag for each condition: true where ``rows`` has a row
+    of the same number that fulfils it. The flags travel as sets of 64 bits;
+    if even those are too many to broadcast, every flag is true."""
+    bit, word = F.expr("shiftleft(1L, cast(row & 63 as int))"), F.shiftright("row", 6).alias("_word")
+    sets = written(rows.groupBy(word).agg(*(F.bit_or(F.when(c, bit).otherwise(F.lit(0))).alias(f"_{k}") for k, c in flags.items())), "flags")
+    if sets.count() > BROADCAST_ROWS:
+        return table.withColumns({k: F.lit(True) for k in flags})
+    both = table.withColumn("_word", word).join(F.broadcast(sets), "_word", "left")
+    held = {k: F.coalesce(F.expr(f"getbit(_{k}, cast(row & 63 as int))") == 1, F.lit(False)) for k in flags}
+    return both.withColumns(held).drop("_word", *(f"_{k}" for k in flags))
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_lines (pieces), n_deleted (whole pieces), spans
     (character spans to delete, in order; of pieces or of words).
@@ -280,8 +293,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         later.groupBy("row", "first_row").agg(F.collect_list(F.struct("at", "origin")).alias("matches")), "matches"
     )
     of_words = F.exists("matches", lambda m: m["at"] % 2 == 1)
-    own = table.select("row", F.col("hashes").alias("later"), F.col("words").alias("later_words"))
-    other = table.select(F.col("row").alias("first_row"), F.col("hashes").alias("first"), F.col("words").alias("first_words"))
+    # only texts of a match travel, and their words only where a match is of words
+    flags = {"matched": F.lit(True), "by_words": of_words}
+    arrays = lambda rows: _flagged(table.select("row", "hashes", "words"), rows, flags).where("matched").select("row", "hashes", F.when(F.col("by_words"), F.col("words")).alias("words"))
+    own = arrays(matches).withColumnsRenamed({"hashes": "later", "words": "later_words"})
+    firsts_of = matches.select(F.col("first_row").alias("row"), "matches")
+    other = arrays(firsts_of).withColumnsRenamed({"row": "first_row", "hashes": "first", "words": "first_words"})
     extended_runs = (
         matches.join(own, "row")
         .withColumn("later_words", F.when(of_words, F.col("later_words")))
@@ -290,12 +307,18 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .mapInArrow(_extend, f"row long, runs {_LISTS}, word_runs {_LISTS}")
     )
     kinds = ["runs", "word_runs"]
-    runs = written(extended_runs, "runs").groupBy("row").agg(*(F.flatten(F.collect_list(k)).alias(k) for k in kinds))
+    found = written(extended_runs, "runs")
+    runs = found.groupBy("row").agg(*(F.flatten(F.collect_list(k)).alias(k) for k in kinds))
     n_words = F.substring("words", 1, 4).alias("n_words")  # in bytes of the array, see _small
+    described = table.select("row", "doc_id", "hashes", "starts", "ends", "steps", n_words)
+    flagged = _flagged(described, found, {"repeats": F.lit(True)})
+    none = flagged.where("not repeats").withColumns({k: F.lit(None).cast(_LISTS) for k in kinds})
     return (
-        table.select("row", "doc_id", "hashes", "starts", "ends", "steps", n_words)
+        flagged.where("repeats")
         .join(runs, "row", "left")
-        .select("doc_id", "hashes", "starts", "ends", "steps", "n_words", *(F.col(k).cast(_LISTS).alias(k) for k in kinds))
+        .withColumns({k: F.col(k).cast(_LISTS) for k in kinds})
+        .unionByName(none)
+        .select("doc_id", "hashes", "starts", "ends", "steps", "n_words", *kinds)
         .mapInArrow(_united, f"doc_id long, n_lines long, n_deleted long, spans {_LISTS}")
     )
 

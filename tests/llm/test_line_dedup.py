@@ -109,3 +109,19 @@ def test_repeats_of_over_50_words_go_whatever_their_pieces(spark):
         gone = {k for k, (a, b) in enumerate(words) if any(s <= a and b <= e for s, e in got[i])}
         assert must == gone, i
     assert got[52] and got[0] == [] and got[1] == []
+
+
+def test_arrays_travel_only_for_rows_of_a_match(spark, monkeypatch):
+    rows = [(i,) for i in (0, 5, 63, 64, 200, (3 << 33) + 1, (3 << 33) + 64)]
+    table = spark.createDataFrame(rows, "row long")
+    some = spark.createDataFrame([(5, True), (5, False), (63, False), ((3 << 33) + 64, True)], "row long, w boolean")
+    flagged = lambda: {r.row: (r.any, r.word) for r in ld._flagged(table, some, {"any": ld.F.lit(True), "word": ld.F.col("w")}).collect()}
+    want = {5: (True, True), 63: (True, False), (3 << 33) + 64: (True, True)}
+    assert flagged() == {r: want.get(r, (False, False)) for (r,) in rows}
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", 0)
+    assert set(flagged().values()) == {(True, True)}
+    same = corpus()
+    got = lambda: sorted(map(str, ld.repeated_runs(docs(spark, same).coalesce(1)).collect()))
+    every = got()
+    monkeypatch.undo()
+    assert got() == every
