@@ -243,12 +243,12 @@ def _flagged(table: DataFrame, rows: DataFrame, flags: dict[str, Column]) -> Dat
     of the same number that fulfils it. The flags travel as sets of 64 bits;
     if even those are too many to broadcast, every flag is true."""
     bit, word = F.expr("shiftleft(1L, cast(row & 63 as int))"), F.shiftright("row", 6).alias("_word")
-    sets = written(rows.groupBy(word).agg(*(F.bit_or(F.when(c, bit).otherwise(F.lit(0))).alias(f"_{k}") for k, c in flags.items())), "flags")
+    sets = written(rows.groupBy(word).agg(*(F.bit_or(F.when(c, bit).otherwise(F.lit(0))).alias(f"_set_{k}") for k, c in flags.items())), "flags")
     if sets.count() > BROADCAST_ROWS:
         return table.withColumns({k: F.lit(True) for k in flags})
     both = table.withColumn("_word", word).join(F.broadcast(sets), "_word", "left")
-    held = {k: F.coalesce(F.expr(f"getbit(_{k}, cast(row & 63 as int))") == 1, F.lit(False)) for k in flags}
-    return both.withColumns(held).drop("_word", *(f"_{k}" for k in flags))
+    held = {k: F.coalesce(F.expr(f"getbit(_set_{k}, cast(row & 63 as int))") == 1, F.lit(False)) for k in flags}
+    return both.withColumns(held).drop("_word", *(f"_set_{k}" for k in flags))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
