@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from retentia.llm import line_dedup as ld
 
@@ -125,3 +126,69 @@ def test_arrays_travel_only_for_rows_of_a_match(spark, monkeypatch):
     every = got()
     monkeypatch.undo()
     assert got() == every
+
+
+def _batches(texts, size):
+    rows = [7 * i for i in range(len(texts))]
+    table = pa.table({"row": pa.array(rows, pa.int64()), "doc_id": pa.array([None if i % 5 == 0 else i for i in rows], pa.int64()), "text": pa.array(texts)})
+    return table.combine_chunks().to_batches(max_chunksize=size)
+
+
+def test_fingerprints_travel_as_blocks_and_are_those_of_single_texts(monkeypatch):
+    rng = random.Random(9)
+    odd = ["", " ", ".", "..a", "a\n.b", "é\U0001f600 x. 　y z", "\n\n", "a.b.c!?d", "a\x1cb\x85c. q", "x" * 300 + " y"]
+    odd += ["".join(rng.choice(" \t\n.!?abé\U0001f600　。\r") for _ in range(rng.randrange(300))) for _ in range(60)]
+    texts = [t or "" for _, t in corpus()] + odd + [" ".join(rng.choice("abc") for _ in range(rng.randrange(20, 90))) for _ in range(60)]
+    for chars, prints in ((1 << 18, 1 << 20), (500, 300)):
+        monkeypatch.setattr(ld, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(ld, "BLOCK_PRINTS", prints)
+        made = pa.Table.from_batches(ld._described(iter(_batches(texts, 50)), 4)).to_pylist()
+        described, blocks = [r for r in made if r["bucket"] is None], [r for r in made if r["bucket"] is not None]
+        found = {r["row"]: set() for r in described}
+        for r in blocks:
+            row, no_id, doc_id, place = ld.unbundle(r["block"])
+            ids = [None if x else i for x, i in zip(np.frombuffer(ld.unsqueezed(no_id), bool), ld._from_steps(doc_id).tolist(), strict=True)]
+            for gram, x, i, at in zip(np.frombuffer(r["grams"], np.uint64).tolist(), ld._from_steps(row).tolist(), ids, ld.from_planes(place).tolist(), strict=True):
+                assert i == (None if x % 5 == 0 else x) and (x, at) not in found
+                found[x].add((at, gram))
+        # no row of its own for each fingerprint
+        assert len(blocks) < sum(map(len, found.values())) / (10 if prints > 300 else 2)
+        for text, r in zip(texts, described, strict=True):
+            hashes, starts, ends = ld.pieces(text)
+            at, gram = ld.fingerprints(hashes)
+            a, b, first, last = ld._layout(len(hashes), r["layout"])
+            assert r["hashes"] == hashes.tobytes() and a.tolist() == starts.tolist() and b.tolist() == ends.tolist()
+            words = [(m.start(), m.end()) for x, y in zip(starts.tolist(), ends.tolist(), strict=True) for m in re.compile(r"\S+").finditer(text, x, y)]
+            assert list(zip(first.tolist(), last.tolist(), strict=True)) == words
+            assert {x for x in found[r["row"]] if x[0] % 2 == 0} == set(zip((2 * at).tolist(), gram.tolist(), strict=True))
+            # of words: one place in each window of grams, none without a gram
+            places = sorted(x // 2 for x, _ in found[r["row"]] if x % 2)
+            n = len(words) - ld.WORD_GRAM + 1
+            assert bool(places) == (n > 0)
+            assert not places or np.diff([-1, *places, n]).max() <= ld.WORD_WINDOW
+
+
+def test_runs_of_all_pairs_at_once_equal_single_extensions():
+    rng = np.random.default_rng(4)
+    kind = np.dtype("<u4")
+    laters = [rng.integers(0, 2, rng.integers(0, 120)).astype(kind) for _ in range(40)]
+    firsts = [np.concatenate([x[len(x) // 3 :], rng.integers(0, 2, rng.integers(0, 60)).astype(kind)]) for x in laters]
+    matches, want = [], []
+    for i, (x, y) in enumerate(zip(laters, firsts, strict=True)):
+        mine = {(a, b) for a, b in rng.integers(0, 120, (30, 2)).tolist() if a < len(x) and b < len(y)}
+        matches += [(i, a, b) for a, b in mine]
+        reached, runs = {}, set()
+        for a, b in sorted(mine):
+            if a >= reached.get(a - b, 0):
+                start, end, d = a, a, b - a
+                while start > 0 and start + d > 0 and x[start - 1] == y[start + d - 1]:
+                    start -= 1
+                while end < len(x) and end + d < len(y) and x[end] == y[end + d]:
+                    end += 1
+                reached[a - b] = end
+                runs.add((start, end))
+        want.append(sorted(runs))
+    rng.shuffle(matches)
+    pair, at, origin = np.array(matches).T
+    got = ld._runs(pair, at, origin, [x.tobytes() for x in laters], [x.tobytes() for x in firsts], kind)
+    assert [[tuple(r) for r in np.frombuffer(x, kind).reshape(-1, 2).tolist()] for x in got] == want
