@@ -204,7 +204,8 @@ def _prints(found: list[tuple[np.ndarray, ...]], n: int) -> pa.RecordBatch:
     """Fingerprints (gram, text's row, no id, id, place) as a block per bucket of the gram."""
     gram, row, no_id, doc_id, place = (np.concatenate(x) for x in zip(*found, strict=True))
     out = []
-    for bucket, at in _dealt((gram >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), n):
+    # by the lower bits: as minima, fingerprints have small upper ones
+    for bucket, at in _dealt((gram & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32), n):
         block = bundle(_steps_of(row[at]), squeezed(no_id[at].tobytes(), 1), _steps_of(doc_id[at]), planes(place[at]))
         out.append((bucket, gram[at].tobytes(), block))
     return _rows(_TABLE, {"bucket": [x[0] for x in out], "grams": [x[1] for x in out], "block": [x[2] for x in out]})
@@ -392,7 +393,10 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [np.frombuffer(unsqueezed(m.as_py()), np.int32).reshape(-1, 2).cumsum(axis=0, dtype=np.int64) for m in batch.column(1)]
         pair = np.repeat(np.arange(len(both)), [len(x) for x in both])
         at, origin = np.concatenate(both).T
-        arrays = [[x or b"" for x in c.to_pylist()] for c in batch.columns[2:]]
+        later, first, later_words, first_words = (c.to_pylist() for c in batch.columns[2:])
+        later_words = [(first_words if x is None else later_words)[i] or b"" for i, x in enumerate(later)]
+        later = [y if x is None else x for x, y in zip(later, first, strict=True)]
+        arrays = [later, first, later_words, [x or b"" for x in first_words]]
         out = []
         for kind, width in enumerate((np.dtype(np.uint64), np.dtype("<u4"))):
             mine = at % 2 == kind
@@ -485,7 +489,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = (
         table.where("bucket is not null")
         .select("bucket", "grams", "block")
-        .repartition(n, "bucket")
+        .repartitionByRange(n, "bucket")  # by hash, several of the buckets would often meet in a task
         .mapInArrow(functools.partial(_matches, n=n), "bucket int, block binary")
     )
     matches = written(
@@ -499,7 +503,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other = arrays(firsts_of).withColumnsRenamed({"row": "first_row", "hashes": "first", "words": "first_words"})
     extended_runs = (
         matches.join(own, "row")
-        .withColumn("later_words", F.when(F.col("by_words"), F.col("later_words")))
+        # within one text the first one's arrays are the later one's too
+        .withColumn("later", F.when(F.col("row") != F.col("first_row"), F.col("later")))
+        .withColumn("later_words", F.when(F.col("by_words") & (F.col("row") != F.col("first_row")), F.col("later_words")))
         .join(other, "first_row")
         .select("row", "matches", "later", "first", "later_words", F.when(F.col("by_words"), F.col("first_words")).alias("first_words"))
         .mapInArrow(_extend, "row long, runs binary, word_runs binary")

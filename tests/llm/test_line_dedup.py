@@ -151,6 +151,8 @@ def test_fingerprints_travel_as_blocks_and_are_those_of_single_texts(monkeypatch
             for gram, x, i, at in zip(np.frombuffer(r["grams"], np.uint64).tolist(), ld._from_steps(row).tolist(), ids, ld.from_planes(place).tolist(), strict=True):
                 assert i == (None if x % 5 == 0 else x) and (x, at) not in found
                 found[x].add((at, gram))
+        dealt = [sum(len(r["grams"]) for r in blocks if r["bucket"] == i) for i in range(4)]
+        assert max(dealt) < 2 * min(dealt)
         # no row of its own for each fingerprint
         assert len(blocks) < sum(map(len, found.values())) / (10 if prints > 300 else 2)
         for text, r in zip(texts, described, strict=True):
