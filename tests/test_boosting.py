@@ -316,3 +316,18 @@ def test_joint_groups_hold_every_feature_once(monkeypatch):
     groups = boosting._joint(sizes)
     assert sorted(f for g in groups for f in g) == list(range(6)) and [5] in groups
     assert all(len(g) == 1 or math.prod(sizes[f] for f in g) <= 60 for g in groups) and len(groups) < 6
+
+
+def test_a_search_takes_few_jobs_however_many_trees(spark, table):
+    ranges = (("n_estimators", (60, 60)), ("learning_rate", (0.1, 0.2)), ("max_depth", (2, 2)))
+    cfg = DEFAULT_CONFIG.with_(gbt_ranges=ranges + DEFAULT_CONFIG.gbt_ranges[3:])
+    from test_training import _signal
+
+    train = TR.materialized_training_table(_signal(spark, 200), cfg)
+    sc = spark.sparkContext
+    sc.setJobGroup("search", "search")
+    result = TR.search(train, cfg, n_trials=2)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("search"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [sum(n for n, _, _ in folds) for folds in result.folds] == [200, 200]
+    assert 0 < jobs < 60, jobs
